@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, mixing, passages
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,14 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -38,6 +46,17 @@ r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, both.y FROM r JOIN bo
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id"""
 
+ORACLE["op3_suffix_array_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(range(0, len(ws) - 49)) AS s, ws FROM w WHERE len(ws) >= 50),
+h AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1:s + 50], ' ')) AS k FROM g),
+o AS (SELECT k, min(doc_id) AS f FROM h GROUP BY k HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT DISTINCT h.doc_id, s, f, f < h.doc_id AS later FROM h JOIN o USING (k)),
+m AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, later ORDER BY s) + 50 THEN 0 ELSE 1 END AS head FROM r),
+n AS (SELECT *, sum(head) OVER (PARTITION BY doc_id, later ORDER BY s) AS i FROM m)
+SELECT doc_id, CAST(min(s) AS BIGINT) AS start_word, CAST(max(s) + 50 - min(s) AS BIGINT) AS n_words, min(f) AS first_doc_id, later AS repeat
+FROM n GROUP BY doc_id, later, i"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
