@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, minhash, mips, mixing, passages
+from . import ann, minhash, mips, mixing, passages, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,14 @@ def op4_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mips.top_products(table(spark, sf_dir, "embeddings"))
 
 
+def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -73,6 +81,27 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5"""
 
+_TERM = "regexp_matches(t, '(^|[^a-z0-9]){}([^a-z0-9]|$)')"
+_WEIGHT = " + ".join(f"CASE WHEN {_TERM.format(k)} THEN {w} ELSE 0 END" for k, w in sorted(urls.WEIGHTS.items()))
+_RULES = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+    for _, h, p in sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+)
+_VERDICTS = " ".join(f"WHEN '{h}{p}' THEN '{v}'" for v, h, p in urls.RULES)
+ORACLE["op7_url_vocabulary"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN split_part(split_part(substr(url, instr(url, '://') + 3), '?', 1), '#', 1) ELSE '' END AS r FROM pages),
+s AS (SELECT page_id, translate(split_part(r, '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  CASE WHEN contains(r, '/') THEN substr(r, instr(r, '/')) ELSE '' END AS path FROM u),
+t AS (SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t, CASE {_RULES} END AS rule FROM s),
+w AS (SELECT *, CAST({_WEIGHT} AS BIGINT) AS weight FROM t)
+SELECT page_id, host, path, rule, weight, CASE rule {_VERDICTS} ELSE CASE WHEN weight >= {urls.REJECT} THEN 'block' ELSE 'allow' END END AS verdict FROM w"""
+
+ORACLE["op9_warc"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND f < page_id THEN f END AS refers_to FROM m"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
