@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, minhash, mips, mixing, passages, quality, tokens, urls, warc
+from . import ann, minhash, mips, mixing, passages, pieces, quality, tokens, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +42,12 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op8_piece_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.segmentations(table(spark, sf_dir, "documents"))
+    places = lambda x: F.struct(x.n_pieces.alias("n_pieces"), x.ids_crc32.alias("ids_crc32"), F.round(x.log_prob, 6).alias("log_prob"), F.round(x.value, 6).alias("value"), F.round(x.log_inclusion, 6).alias("log_inclusion"), x.decoded.alias("decoded"))
+    return found.withColumn("samples", F.transform("samples", places))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
