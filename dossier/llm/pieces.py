@@ -218,7 +218,8 @@ class Coder:
         return found
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
-        return [array("H", x).tobytes() for x in self.v.sp.encode(chunks, num_threads=1)]
+        # the chunk "" is a space mark alone, which the library never makes of an empty text
+        return [array("H", x if c else [self.v.sp.piece_to_id("▁")]).tobytes() for c, x in zip(chunks, self.v.sp.encode(chunks, num_threads=1))]
 
     def prepare(self, texts: list[str]):
         """Chunk numbers of each text; the codes of numbered chunks; the lattices
