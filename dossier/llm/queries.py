@@ -72,8 +72,8 @@ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_
 e AS (SELECT doc_id, unnest(sh) AS g FROM s),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y WHERE 100 * n >= 75 * (len(a.sh) + len(b.sh) - n)),
-both AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, both.y FROM r JOIN both ON both.x = r.b)
+bi AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM s UNION SELECT r.a, bi.y FROM r JOIN bi ON bi.x = r.b)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept
 FROM s JOIN (SELECT a, min(b) AS c FROM r GROUP BY a) m ON m.a = s.doc_id"""
 
