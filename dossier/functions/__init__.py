@@ -1 +1 @@
-
+"""Column functions: text normalisers, ordered rules and geography."""

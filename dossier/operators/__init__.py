@@ -1 +1 @@
-
+"""Operators: DataFrame in, DataFrame out; none collects inside but where stated."""
