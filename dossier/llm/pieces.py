@@ -249,6 +249,12 @@ class Coder:
         return b"".join(map(self.v.raw.__getitem__, ids.tolist()))[1:]
 
 
+@cache
+def _coder(path: str) -> Coder:
+    """One a worker process: later tasks find the chunks of earlier ones."""
+    return Coder(path)
+
+
 class _Chained(dict):
     rest: dict = {}
 
@@ -430,7 +436,7 @@ def _crc(ids: np.ndarray) -> int:
 
 def _segment(path: str, k: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(path)
+        coder = _coder(path)
         for batch in batches:
             texts, keys = shared.texts_of(batch), batch.column("key").to_numpy().view(np.uint64)
             for a, b in words.batches(texts, 1 << 20):
