@@ -425,13 +425,13 @@ def promote_funnel(spark: SparkSession, d: str) -> DataFrame:
 # ---- places
 
 _GAZ = (("the", "en", 45.0, -75.0), ("that", "en", 46.0, -76.0), ("of the", "en", 47.0, -77.0), ("and the", "en", 48.0, -78.0), ("nichts", "de", 49.0, -79.0), ("der", "de", 50.0, -80.0), ("en de", "fr", 51.0, -81.0))
-_GRAM = lambda n, tier: f"SELECT id, {tier} AS tier, i - 1 AS at, array_to_string(w[i:i + {n - 1}], ' ') AS place, lang FROM (SELECT *, unnest(range(1, CAST(greatest(len(w) - {n - 2}, 1) AS BIGINT))) AS i FROM d)"
+_GRAM = lambda n, tier: f"SELECT id, {tier} AS tier, i - 1 AS k, array_to_string(w[i:i + {n - 1}], ' ') AS place, lang FROM (SELECT *, unnest(range(1, CAST(greatest(len(w) - {n - 2}, 1) AS BIGINT))) AS i FROM d)"
 
 
 @query(f"""WITH d AS (SELECT doc_id AS id, lang, list_filter(string_split_regex(lower(left(text, 200)), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM documents),
 g(place, lang, lat, lon) AS (VALUES {', '.join(str(x) for x in _GAZ)}), c AS ({_GRAM(4, 1)} UNION ALL {_GRAM(3, 2)} UNION ALL {_GRAM(2, 3)}
 UNION ALL SELECT id, 4, i - 1, s[i], lang FROM (SELECT id, lang, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, lang, list_filter(w, lambda t: length(t) >= 6) AS s FROM d)))
-SELECT id, place, tier, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM c JOIN g USING (place, lang) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, at) = 1""")
+SELECT id, place, tier, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM c JOIN g USING (place, lang) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, k) = 1""")
 def gazetteer_cascade(spark: SparkSession, d: str) -> DataFrame:
     g = spark.createDataFrame(_GAZ, "place string, admin1 string, lat double, lon double")
     names = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("name"), F.lit(None).cast("string").alias("municipality"), F.col("lang").alias("admin1"))

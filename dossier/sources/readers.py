@@ -34,8 +34,8 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Objects of JSON arrays or objects, gzip or not, with their file."""
     if not exists(spark, path):
         return empty(spark, f"{schema}, _file string")
-    rows = spark.read.schema(f"{schema}, _bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)
-    return rows.withColumn("_file", F.col("_metadata.file_path")).where("_bad is null").drop("_bad")
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
@@ -72,7 +72,7 @@ def catalogues(spark: SparkSession, path: str) -> DataFrame:
 def table_rows(html: Column, least: int) -> Column:
     """Cells of an HTML table's rows, tags gone, of rows with enough cells; cells
     may lack their closing tags."""
-    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)(?=</tr>|<tr[ >]|\z)"), 1)
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)(?=</tr>|<tr[ >]|</table>|\z)"), 1)
     clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"(&nbsp;|\s)+", " "))
     cells = F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"(?i)<td[^>]*>"), 2, 1000), clean))
     return F.filter(cells, lambda c: F.size(c) >= least)

@@ -28,7 +28,7 @@ def latest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
 def fold(probes: DataFrame) -> DataFrame:
     """Probes (url, ok, ts, key, doc_date) of one batch to one record a url: the
     newest success, and how many failures came."""
-    good = F.when("ok", F.struct("ts", "key"))
+    good = F.when(F.col("ok"), F.struct("ts", "key"))
     agg = probes.groupBy("url").agg(F.max(good).alias("g"), F.count_if(~F.col("ok")).cast("int").alias("fails"), F.max("doc_date").alias("doc_date"))
     return agg.select("url", F.col("g.key").alias("key"), F.col("g.ts").cast("string").alias("fetched_at"), "fails", "doc_date")
 
