@@ -128,14 +128,15 @@ def top_products(rows: DataFrame, k: int = 5, scale: int = 256, every: int = vec
     Vectors that are null, empty or hold null or non-finite components take no
     part, nor do rows with a null id; zero vectors do.  Equal vectors are stored
     once, with the ids that can matter.  Rows repeated under one id count once.
-    Scores must stay below 2 ** 53.  All vectors must have the same length.
+    Scores must stay below 2 ** 53.  Vectors of another length than most take no
+    part.
     """
     spark = rows.sparkSession
     scratch = shared.Scratch(spark, "mips")
     v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & vectors.sound("x"))
     # + 0.0 makes -0.0 and 0.0 one vector
     v = v.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double") + F.lit(0.0)).alias("v"))
-    v = scratch.cut(v.dropDuplicates(["vec_id"]), "vectors")
+    v = vectors.one_length(scratch.cut(v.dropDuplicates(["vec_id"]), "vectors"), "v")
     items = scratch.cut(vectors.collapse(v, "v", k + 1), "items")
     shards = max(1, -(-items.count() // SHARD))
     home = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))

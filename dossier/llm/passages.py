@@ -173,9 +173,12 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pieces.append(text[at:a])
                 at = max(at, b)
             out.append((b"".join(pieces) + text[at:]).decode("utf-8", "replace"))
-        i = batch.schema.get_field_index("text")
-        batch = batch.set_column(i, "text", pa.array(out, pa.string()))
-        yield batch.set_column(batch.schema.get_field_index("n_chars"), "n_chars", pa.array([len(x) for x in out], pa.int64())).drop_columns(["__cut"])
+        columns = dict(zip(batch.schema.names, batch.columns))
+        del columns["__cut"]
+        columns["text"] = pa.array(out, columns["text"].type)
+        if "n_chars" in columns:
+            columns["n_chars"] = pa.array([len(x) for x in out]).cast(columns["n_chars"].type)
+        yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -186,7 +189,6 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     cuts = repeated_spans(docs).where("repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
     cuts = cuts.withColumnRenamed("doc_id", "__id")
     both = docs.join(cuts, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     shared.small_batches(docs.sparkSession)
-    changed = both.where("__cut is not null").select(*docs.columns, "__cut").withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(_cut_text, schema)
+    changed = both.where("__cut is not null").select(*docs.columns, "__cut").mapInArrow(_cut_text, docs.schema)
     return both.where("__cut is null").select(*docs.columns).unionByName(changed)

@@ -18,6 +18,13 @@ def sound(vector: str) -> Column:
     return F.col(vector).isNotNull() & (F.size(vector) > 0) & F.coalesce(fine, F.lit(False))
 
 
+def one_length(rows: DataFrame, vector: str) -> DataFrame:
+    """Only the vectors of the most frequent length; of equally frequent, the longer."""
+    sizes = rows.groupBy(F.size(vector).alias("n")).agg(F.count("*").alias("rows"))
+    usual = sizes.agg(F.max_by("n", F.struct("rows", "n"))).first()[0]
+    return rows.where(F.size(vector) == (usual or 0))
+
+
 def collapse(rows: DataFrame, vector: str, keep: int) -> DataFrame:
     """One row for each distinct vector: rep (its smallest id), ids (its ``keep``
     smallest, ascending) and the vector.  Equal vectors score alike, and ties go
