@@ -152,7 +152,8 @@ def _visit(tree, queries: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
     out_q, out_i, out_s = [], [], []
     q = vectors.matrix(queries.column("v"))
     for i, (query, visits) in enumerate(zip(queries.column("id").to_pylist(), queries.column("visits"))):
-        at = np.searchsorted(names, np.unique(visits.values.to_numpy()))
+        # no buckets named: all of them
+        at = np.searchsorted(names, np.unique(visits.values.to_numpy())) if len(visits) else range(len(names))
         rows = np.unique(np.concatenate([order[first[j] : first[j + 1]] for j in at]))
         approx = (x[rows] @ q[i]) / norm[rows]
         best = rows
@@ -180,7 +181,7 @@ def nearest(rows: DataFrame, k: int = 5, every: int = vectors.QUERY_EVERY, id_co
     the ids that can matter.  Vectors of another length than most take no
     part.  Rows
     repeated under one id count once.  A query whose buckets hold too few
-    candidates is searched in all buckets of the first table.  Other columns are
+    candidates is searched in all buckets.  Other columns are
     not read.
     """
     spark = rows.sparkSession
@@ -198,19 +199,19 @@ def nearest(rows: DataFrame, k: int = 5, every: int = vectors.QUERY_EVERY, id_co
     part = lambda piece: F.pmod(F.xxhash64("bucket", piece), F.lit(parts)).alias("part")
     spread = index.join(directory, "bucket").select(part(F.pmod(F.xxhash64("rep"), F.col("pieces"))), F.lit(0).alias("kind"), F.col("rep").alias("id"), "v", "ids", "bucket", F.lit(None).cast("array<long>").alias("visits"))
 
-    def search(probes: DataFrame) -> DataFrame:
-        dealt = probes.join(directory, "bucket").select("query_id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-        visits = dealt.select("query_id", "bucket", part("piece")).groupBy("query_id", "part").agg(F.collect_set("bucket").alias("visits"))
+    def search(visits: DataFrame) -> DataFrame:
         asked = visits.join(queries, "query_id").select("part", F.lit(1).alias("kind"), F.col("query_id").alias("id"), "v", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("long").alias("bucket"), "visits")
         both = spread.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
         return both.mapInArrow(_rerank(k + 1), "query_id long, rep long, ids array<long>, score double")
 
     probes = queries.mapInArrow(_probe, "query_id long, bucket long")
-    found = scratch.cut(search(probes), "found")
+    dealt = probes.join(directory, "bucket").select("query_id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+    visits = dealt.select("query_id", "bucket", part("piece")).groupBy("query_id", "part").agg(F.collect_set("bucket").alias("visits"))
+    found = scratch.cut(search(visits), "found")
     ranked = vectors.rank(found, k)
     short = scratch.cut(queries.join(ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti").select("query_id"), "short")
     if short.isEmpty():
         return ranked
-    first = directory.where(F.shiftright("bucket", 5 * FUNCTIONS) == 0).select("bucket")
-    more = scratch.cut(search(short.join(first, F.lit(True))), "more")
+    everywhere = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.array().cast("array<long>").alias("visits"))
+    more = scratch.cut(search(everywhere), "more")
     return vectors.rank(found.unionByName(more), k)

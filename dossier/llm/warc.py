@@ -103,7 +103,7 @@ def read_records(data: bytes, wanted, payloads: bool) -> Iterator[dict]:
         keep = wanted(row)
         size = row.pop("content_length")
         if keep and payloads or length is None:
-            whole = head + inflate.decompress(inflate.unconsumed_tail) + inflate.flush()
+            whole = head if inflate.eof else head + inflate.decompress(inflate.unconsumed_tail)
             block = whole[cut + 4 : cut + 4 + size]
             row["payload"] = block.partition(b"\r\n\r\n")[2] if row["record_type"] == "response" and payloads else None
         else:
