@@ -144,7 +144,10 @@ def _buckets(items: list[pa.RecordBatch]):
     ids = pa.concat_arrays([b.column("ids") for b in items])
     order = np.argsort(bucket, kind="stable")
     names, first = np.unique(bucket[order], return_index=True)
-    return x, np.sqrt((x * x).sum(1)), rep, ids, order, names, np.append(first, len(order))
+    # a vector lies in a bucket of every table; it is held and scored once
+    rep, one, which = np.unique(rep, return_index=True, return_inverse=True)
+    x = x[one]
+    return x, np.sqrt((x * x).sum(1)), rep, ids.take(pa.array(one)), which[order], names, np.append(first, len(order))
 
 
 def _visit(tree, queries: pa.RecordBatch, k: int) -> Iterator[pa.RecordBatch]:
