@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import geo, rules, text
-from .operators import crawl, dedupe, footprint, links, match, merge, predict, quality, route, search, segment, spatial
+from .functions import geo, rules, text, web
+from .operators import archive, crawl, dedupe, footprint, links, match, merge, predict, quality, route, search, segment, spatial
 from .plans import projects as P
 from .plans.tables import conditions, projects, table
 from .sources import readers
@@ -749,3 +749,61 @@ def share_by_type(spark: SparkSession, d: str) -> DataFrame:
 def distance_to_capital(spark: SparkSession, d: str) -> DataFrame:
     p = projects(spark, d)
     return p.select(F.col("ord").alias("c_custkey"), F.round(geo.haversine_km(F.col("lon"), F.col("lat"), F.lit(-75.7), F.lit(45.4)), 6).alias("km"))
+
+
+# ---- archives and pages
+
+
+@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'qc' ELSE 'on' END || '/' || 'p' || (page_id % 5) || '/' || CASE WHEN page_id % 3 = 0 THEN coalesce(nullif(regexp_extract(url, '[?&]id=([^&#]*)', 1), ''), 'file') || '.pdf'
+ WHEN b = '' OR NOT contains(b, '.') THEN left(sha1(url), 16) || '.html' ELSE b END AS key FROM (SELECT page_id, url, regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', ''), '[^/]*$') AS b FROM pages)""")
+def object_key(spark: SparkSession, d: str) -> DataFrame:
+    j = F.when(F.col("page_id") % 3 == 0, "qc").otherwise("on")
+    return table(spark, d, "pages").select("page_id", web.object_key(j, F.concat(F.lit("p"), F.col("page_id") % 5), F.col("url")).alias("key"))
+
+
+@query("""WITH o AS (SELECT 'k' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.bin' END AS path, CAST(p_size AS BIGINT) AS bytes FROM part UNION ALL SELECT 'k' || p_partkey || '.doc', 1 FROM part WHERE p_partkey % 4 = 0),
+t AS (SELECT 'u' || c_custkey AS url, 'k' || c_custkey AS base FROM customer), x(ext, k) AS (VALUES ('.pdf', 0), ('.html', 1), ('.docx', 2), ('.doc', 3), ('.zip', 4), ('.xlsx', 5), ('.xls', 6), ('.bin', 7))
+SELECT url, path AS key, bytes FROM t CROSS JOIN x JOIN o ON o.path = base || ext QUALIFY row_number() OVER (PARTITION BY url ORDER BY k) = 1""")
+def bucket_reconcile(spark: SparkSession, d: str) -> DataFrame:
+    p, k = table(spark, d, "part"), F.col("p_partkey") % 3
+    one = p.select(F.concat(F.lit("k"), "p_partkey", F.when(k == 0, ".pdf").when(k == 1, ".html").otherwise(".bin")).alias("path"), F.col("p_size").cast("long").alias("bytes"))
+    two = p.where("p_partkey % 4 = 0").select(F.concat(F.lit("k"), "p_partkey", F.lit(".doc")).alias("path"), F.lit(1).cast("long").alias("bytes"))
+    return archive.reconcile(table(spark, d, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("url"), F.concat(F.lit("k"), "c_custkey").alias("key_base")), one.unionAll(two))
+
+
+@query("""WITH f AS (SELECT p_brand AS project, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS t, min(p_partkey) AS k FROM part GROUP BY 1, 2),
+l AS (SELECT 'Brand#' || (s_suppkey % 25 + 1) AS project, CASE s_suppkey % 2 WHEN 0 THEN 'Red-Gear' ELSE 'BLUE bolt!' END AS title, 'u' || s_suppkey AS url FROM supplier)
+SELECT url, 'f' || k AS path FROM l JOIN f ON l.project = f.project AND regexp_replace(lower(title), '[^a-z0-9]+', '', 'g') = t""")
+def title_join(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "part").select(F.col("p_brand").alias("project"), F.col("p_name").alias("title"), F.concat(F.lit("f"), "p_partkey").alias("path"), F.col("p_partkey").alias("ord"))
+    s = F.col("s_suppkey")
+    l_ = table(spark, d, "supplier").select(F.concat(F.lit("Brand#"), s % 25 + 1).alias("project"), F.when(s % 2 == 0, "Red-Gear").otherwise("BLUE bolt!").alias("title"), F.concat(F.lit("u"), s).alias("url"))
+    return archive.by_title(l_, f)
+
+
+@query(r"""WITH n AS (SELECT page_id, url, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[^/]*$')) AS n FROM pages), f AS (SELECT n, max(page_id) AS k FROM n GROUP BY 1) SELECT page_id, k AS last_page FROM n JOIN f USING (n) WHERE n <> ''""")
+def basename_join(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages").select("page_id", "url")
+    hit = archive.by_basename(p.select("url").distinct(), p.select(F.col("url").alias("path"), F.col("page_id").alias("ord")))
+    last = hit.join(p.select(F.col("url").alias("path"), "page_id").groupBy("path").agg(F.max("page_id").alias("last_page")), "path").select("url", "last_page")
+    return p.join(last, "url").select("page_id", "last_page")
+
+
+@query(r"""SELECT page_id, CAST(3 * len(regexp_extract_all(url, '(?i)project|permit|impact')) + len(regexp_extract_all(url, '(?i)wind|station')) AS BIGINT) AS priority FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/Project-impact' WHEN 1 THEN url || '/wind-station' WHEN 2 THEN url || '/permit' ELSE url END AS url FROM pages)""")
+def crawl_priority(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("page_id") % 4
+    u = F.concat("url", F.when(k == 0, "/Project-impact").when(k == 1, "/wind-station").when(k == 2, "/permit").otherwise(""))
+    return table(spark, d, "pages").select("page_id", web.priority(u, F.lit("")).cast("long").alias("priority"))
+
+
+@query("""WITH a AS (SELECT user_id, arg_min(event_type, event_id) AS v FROM events GROUP BY 1), b AS (SELECT user_id, arg_max(event_type, event_id) AS v FROM events GROUP BY 1 HAVING user_id % 3 > 0)
+SELECT a.user_id AS url, CASE WHEN a.v = 'error' THEN coalesce(b.v, a.v) ELSE a.v END AS verdict, CASE WHEN a.v = 'error' THEN coalesce(b.v = a.v, false) END AS confirmed FROM a LEFT JOIN b USING (user_id)""")
+def confirm_pass(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("url")).agg(F.min_by("event_type", "event_id").alias("verdict"), F.max_by("event_type", "event_id").alias("last"))
+    return archive.rechecked(e.select("url", "verdict"), e.where("url % 3 > 0").select("url", F.col("last").alias("verdict")), F.col("verdict") == "error")
+
+
+@query("SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND event_id < 500)")
+def resume_unseen(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return archive.unseen(e.select("event_id", "user_id"), e.where("event_type = 'signup' and event_id < 500").select("user_id"), "user_id").select("event_id")
