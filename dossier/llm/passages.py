@@ -161,23 +161,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts the spans in __cut; rows without any pass as they are."""
     for batch in batches:
-        texts, out = shared.texts_of(batch), []
-        for text, rows in zip(texts, batch.column("__cut").to_pylist()):
-            _, _, starts, ends, _ = words.hash_words([text])
-            pieces, at = [], 0
-            for r in sorted(rows, key=lambda r: r["start_word"]):
-                a = int(starts[r["start_word"]])
-                last = r["start_word"] + r["n_words"]
-                b = int(starts[last]) if last < len(starts) else int(ends[-1])
-                pieces.append(text[at:a])
-                at = max(at, b)
-            out.append((b"".join(pieces) + text[at:]).decode("utf-8", "replace"))
         columns = dict(zip(batch.schema.names, batch.columns))
-        del columns["__cut"]
-        columns["text"] = pa.array(out, columns["text"].type)
-        if "n_chars" in columns:
-            columns["n_chars"] = pa.array([len(x) for x in out]).cast(columns["n_chars"].type)
+        cuts = columns.pop("__cut").to_pylist()
+        if any(cuts):
+            texts, changed = shared.texts_of(batch), {}
+            for i, rows in enumerate(cuts):
+                if not rows:
+                    continue
+                _, _, starts, ends, _ = words.hash_words([texts[i]])
+                pieces, at = [], 0
+                for r in sorted(rows, key=lambda r: r["start_word"]):
+                    a = int(starts[r["start_word"]])
+                    last = r["start_word"] + r["n_words"]
+                    pieces.append(texts[i][at:a])
+                    at = max(at, int(starts[last]) if last < len(starts) else int(ends[-1]))
+                changed[i] = b"".join(pieces) + texts[i][at:]
+            kind = columns["text"].type
+            columns["text"] = pa.array([changed.get(i, t) for i, t in enumerate(texts)], pa.large_binary()).cast(pa.large_string()).cast(kind)
+            if "n_chars" in columns:
+                old = columns["n_chars"].to_pylist()
+                columns["n_chars"] = pa.array([len(changed[i].decode()) if i in changed else n for i, n in enumerate(old)]).cast(columns["n_chars"].type)
         yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
@@ -187,8 +192,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     and columns stay; n_chars follows the new text.  A document whose whole text
     is a later copy stays with what white space led it."""
     cuts = repeated_spans(docs).where("repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
-    cuts = cuts.withColumnRenamed("doc_id", "__id")
+    cuts = cuts.withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
     both = docs.join(cuts, F.col("doc_id") == F.col("__id"), "left").drop("__id")
     shared.small_batches(docs.sparkSession)
-    changed = both.where("__cut is not null").select(*docs.columns, "__cut").mapInArrow(_cut_text, docs.schema)
-    return both.where("__cut is null").select(*docs.columns).unionByName(changed)
+    return both.mapInArrow(_cut_text, docs.schema)
