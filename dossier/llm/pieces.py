@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding, and sampled segmentations by perturbed
 A-star search.
 
-Encoding.  No piece has a space mark behind another character, so a text falls
-into chunks (space marks and what follows up to the next) that are encoded, and
-have their lattices, on their own; equal chunks share that work.
+Encoding.  No piece has a space mark behind another character or a line feed
+next to one, so a text falls into chunks (space marks or a line feed and what
+follows up to the next) that are encoded, and have their lattices, on their own;
+equal chunks share that work.
 
 Sampling.  A piece of rank r has weight (r + 2.7) ** -SHARPNESS, a segmentation
 the product of its pieces' weights.  Backward sums over the lattice turn weights
@@ -25,7 +26,6 @@ import heapq
 import math
 import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -42,7 +42,7 @@ SAMPLES = 2
 LONGEST = 16
 KNOWN_CHUNKS = 120_000
 _FAINT = -46.0
-_CHUNKS = re.compile(" *[^ ]+| +$")
+_CHUNKS = re.compile("\n[^ \n]*| +[^ \n]+| +")
 
 
 class Vocabulary:
@@ -60,6 +60,9 @@ class Vocabulary:
         self.score[self.plain] = -SHARPNESS * np.log(ranks + 2.7)
         self.byte_score = -SHARPNESS * math.log(len(self.plain) + 2.7)
         self.raw = [b"" if sp.is_control(i) or sp.is_unknown(i) else bytes([int(self.text[i][1:-1], 16)]) if sp.is_byte(i) else self.text[i].replace("▁", " ").encode() for i in range(n)]
+        self.raw_size = np.array([len(x) for x in self.raw])
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_flat = np.frombuffer(b"".join(self.raw), np.uint8)
         self.longest = min(LONGEST, max((len(self.text[i]) for i in self.plain), default=1))
         # pieces by the hash of their code points, a filter of 2 ** 20 bits ahead
         cps = [np.array([ord(c) for c in self.text[i]], np.uint64) for i in self.plain]
@@ -73,6 +76,15 @@ class Vocabulary:
         self.singles = {self.text[i] for i in self.plain if len(self.text[i]) == 1}
 
 
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[first:first + size] numbered ``at``, joined, and their ends."""
+    n = size[at]
+    ends = np.cumsum(n)
+    if not len(at) or not ends[-1]:
+        return flat[:0], ends
+    return flat[np.repeat(first[at] - (ends - n), n) + np.arange(ends[-1])], ends
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -83,7 +95,7 @@ class Lattices:
     their chance, each with its cumulated chance, piece and next state."""
 
     def __init__(self, v: Vocabulary, chunks: list[str]):
-        marked = ["▁" + c.replace(" ", "▁") for c in chunks]
+        marked = [c if c[:1] == "\n" else "▁" + c.replace(" ", "▁") for c in chunks]
         size = np.fromiter(map(len, marked), np.int64, len(marked))
         cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         at = np.zeros(len(size) + 1, np.int64)
@@ -206,24 +218,29 @@ class Coder:
     def __init__(self, path: str):
         self.v = vocabulary(path)
         self.known = _Chained()
-        self.codes: list[bytes] = []
+        self.codes, self.code_size = np.zeros(0, np.uint16), np.zeros(0, np.int64)
         self.lattices = Lattices(self.v, [])
 
     def split(self, text: str) -> list[str]:
-        """Chunks, each without the one space mark it starts with."""
-        found = text.replace("▁", " ").split(" ")
+        """Chunks: those of a line feed with it, others without the one space mark
+        they start with."""
+        text = text.replace("▁", " ")
+        found = text.replace("\n", " \n").split(" ")
         if "" in found:
-            joined = " " + " ".join(found)
-            found = [c[1:] for c in _CHUNKS.findall(joined)] if text else []
+            found = [c if c[0] == "\n" else c[1:] for c in _CHUNKS.findall(" " + text)] if text else []
         return found
 
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        # the chunk "" is a space mark alone, which the library never makes of an empty text
-        return [array("H", x if c else [self.v.sp.piece_to_id("▁")]).tobytes() for c, x in zip(chunks, self.v.sp.encode(chunks, num_threads=1))]
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and how many each chunk has."""
+        mark = self.v.sp.piece_to_id("▁")
+        # the library marks a space ahead of every text but an empty one
+        ids = [x[1:] if c[:1] == "\n" else x or [mark] for c, x in zip(chunks, self.v.sp.encode(chunks, num_threads=1))]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint16, int(size.sum())), size
 
     def prepare(self, texts: list[str]):
-        """Chunk numbers of each text; the codes of numbered chunks; the lattices
-        of the remembered chunks and of this call's others, and where these begin."""
+        """Chunk numbers and ids of each text; the lattices of the remembered chunks
+        and of this call's others, and where these begin."""
         split = [self.split(t) for t in texts]
         flat = list(chain.from_iterable(split))
         new = list(set(flat).difference(self.known))
@@ -234,7 +251,8 @@ class Coder:
             often = [new[i] for i in np.flatnonzero(times > 1)[:room]]
             if often:
                 self.known.update(zip(often, range(len(self.known), len(self.known) + len(often))))
-                self.codes.extend(self._encode(often))
+                codes, size = self._encode(often)
+                self.codes, self.code_size = np.concatenate([self.codes, codes]), np.concatenate([self.code_size, size])
                 self.lattices.extend(Lattices(self.v, often))
                 new = list(set(new).difference(often))
         base = len(self.known)
@@ -242,11 +260,21 @@ class Coder:
         self.known.rest = dict(zip(new, range(base, base + len(new))))
         numbers = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         cuts = np.cumsum([len(ws) for ws in split])
-        return np.split(numbers, cuts[:-1]), _Tail(self.codes, self._encode(new)), (self.lattices, extra), base
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """The text's bytes; the one space that encoding put first is left out."""
-        return b"".join(map(self.v.raw.__getitem__, ids.tolist()))[1:]
+        codes, size = self._encode(new)
+        size = np.concatenate([self.code_size, size])
+        ids, ends = gather(np.concatenate([self.codes, codes]), np.cumsum(size) - size, size, numbers)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], cuts])]
+        return np.split(numbers, cuts[:-1]), [ids[a:b] for a, b in zip(ends[:-1], ends[1:])], (self.lattices, extra), base
+
+    def decode(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The texts' bytes; the one space that encoding put first is left out
+        (a text that starts with a line feed has it too)."""
+        sizes = np.array([len(r) for r in rows])
+        flat = np.concatenate(rows).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+        out, ends = gather(self.v.raw_flat, self.v.raw_first, self.v.raw_size, flat)
+        ends = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])].tolist()
+        raw = out.tobytes()
+        return [raw[a + 1 : b] for a, b in zip(ends[:-1], ends[1:])]
 
 
 @cache
@@ -262,14 +290,6 @@ class _Chained(dict):
         return self.rest[key]
 
 
-class _Tail:
-    def __init__(self, head: list, tail: list):
-        self.head, self.tail, self.n = head, tail, len(head)
-
-    def __getitem__(self, i: int):
-        return self.head[i] if i < self.n else self.tail[i - self.n]
-
-
 class Sampler:
     """The top-k search over the texts of one batch."""
 
@@ -371,7 +391,7 @@ class Sampler:
                 if mass >= _FAINT:
                     u = float(uniform(np.array([key ^ np.uint64(len(shut) << 32)]))[0])
                     heapq.heappush(heap, (-truncated(mass, value, u), sample, step, tuple(sorted(shut)), ahead, path, in_word))
-        n = 64
+        n = 160
         while True:  # chances ahead fall off fast
             part = logs[:n]
             ahead = known_log + np.cumsum(part) - part
@@ -410,11 +430,21 @@ class Sampler:
 
     def ids(self, edges: np.ndarray) -> np.ndarray:
         """Pieces of edges; those that fall back become their bytes' pieces."""
-        p = self.of_edges(edges, "piece")
-        if len(p) and p.min() < 0:
-            b = self.coder.v.bytes
-            return np.array([y for x in p.tolist() for y in ([x] if x >= 0 else [b[o] for o in chr(-1 - x).encode()])], np.int64)
-        return p
+        p = self.of_edges(edges, "piece").astype(np.int64)
+        low = np.flatnonzero(p < 0)
+        if not len(low):
+            return p
+        codes, which = np.unique(-1 - p[low], return_inverse=True)
+        octets = [chr(c).encode() for c in codes.tolist()]
+        size = np.ones(len(p), np.int64)
+        size[low] = np.array([len(o) for o in octets])[which]
+        first = np.cumsum(size) - size
+        out = np.repeat(p, size)
+        for i, o in enumerate(octets):
+            at = first[low[which == i]]
+            for j, byte in enumerate(o):
+                out[at + j] = self.coder.v.bytes[byte]
+        return out
 
 
 def _inclusion(log: float, threshold: float) -> float:
@@ -442,26 +472,24 @@ def _segment(path: str, k: int, with_ids: bool):
             for a, b in words.batches(texts, 1 << 20):
                 plain = [(t or b"").decode("utf-8") for t in texts[a:b]]
                 prepared = coder.prepare(plain)
-                chunks, codes, *_ = prepared
                 sampler = Sampler(coder, prepared, words.mix(keys[a:b].copy()))
-                rows = sampler.top(k)
-                out = {"n": [], "crc": [], "ok": [], "samples": [], "ids": []}
-                for text, numbers, drawn in zip(plain, chunks, rows):
-                    ids = np.frombuffer(b"".join([codes[i] for i in numbers.tolist()]), np.uint16)
-                    want = text.replace("▁", " ").encode()
-                    out["n"].append(len(ids))
-                    out["crc"].append(_crc(ids))
-                    out["ok"].append(coder.decode(ids) == want)
+                drawn = sampler.top(k)
+                own = [sampler.ids(x["edges"]) for row in drawn for x in row]
+                encoded = prepared[1]
+                back = coder.decode([*encoded, *own])
+                want = [t.replace("▁", " ").encode() for t in plain]
+                out = {"n": [len(x) for x in encoded], "crc": [_crc(x) for x in encoded], "ok": [x == w for x, w in zip(back, want)], "samples": [], "ids": [x.tolist() for x in encoded] if with_ids else []}
+                at = 0
+                for w, row in zip(want, drawn):
                     samples = []
-                    for x in drawn:
-                        own = sampler.ids(x["edges"])
-                        row = {"n_pieces": len(own), "ids_crc32": _crc(own), "log_prob": x["log"], "value": x["value"], "log_inclusion": _inclusion(x["log"], x["threshold"]), "decoded": coder.decode(own) == want}
+                    for x in row:
+                        ids = own[at]
+                        found = {"n_pieces": len(ids), "ids_crc32": _crc(ids), "log_prob": x["log"], "value": x["value"], "log_inclusion": _inclusion(x["log"], x["threshold"]), "decoded": back[len(encoded) + at] == w}
                         if with_ids:
-                            row["ids"] = own.tolist()
-                        samples.append(row)
+                            found["ids"] = ids.tolist()
+                        samples.append(found)
+                        at += 1
                     out["samples"].append(samples)
-                    if with_ids:
-                        out["ids"].append(ids.tolist())
                 fields = [("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("value", pa.float64()), ("log_inclusion", pa.float64()), ("decoded", pa.bool_())]
                 columns = [batch.column("doc_id").slice(a, b - a), pa.array(out["n"], pa.int64()), pa.array(out["crc"], pa.int64()), pa.array(out["ok"], pa.bool_())]
                 names = ["doc_id", "n_pieces", "ids_crc32", "decoded"]
