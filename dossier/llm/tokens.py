@@ -14,11 +14,13 @@ decoded alone from its checkpoint, with one table lookup an id.
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +33,7 @@ from . import huffman, shared, words
 MAGIC = b"DTOKHUF1"
 END_ID = 1
 BLOCK = 1024
+STEP = 256
 FILE_IDS = 4 << 20
 CACHED_WORDS = 300_000
 
@@ -45,51 +48,113 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+#: Words that take the quick way: visible ASCII and Latin-1 letters, which neither
+#: compose nor change with their neighbours in lower case.
+_PLAIN = re.compile("[\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: The vocabulary's own split of such words, in lower case.
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
     """Encodes whole texts with a tokenizer that drops white space and joins
-    nothing across it: the ids of a text are those of its words in turn.  The
-    first ``CACHED_WORDS`` distinct words are remembered."""
+    nothing across it: the ids of a text are those of its words in turn, and of
+    a plain word those of its parts.  The first ``CACHED_WORDS`` distinct words
+    and parts are remembered; parts that are new are encoded as one text, cut
+    again after the pieces that end a word."""
 
     def __init__(self, path: str):
         self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, bytes] = {}
+        self.words, self.parts = _Words(), _Known()
+        self.ends = np.zeros(1 << 16, bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
+
+    def _part_ids(self, parts: set[str]) -> dict[str, bytes]:
+        new = list(parts.difference(self.parts))
+        if not new:
+            return self.parts
+        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u2")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) == len(new):
+            raw, at = ids.tobytes(), [0, *(2 * cuts).tolist()]
+            fresh = {p: raw[a:b] for p, a, b in zip(new, at, at[1:])}
+        else:  # a vocabulary without word ends
+            codes = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+            fresh = {p: np.array(c.ids, "<u2").tobytes() for p, c in zip(new, codes)}
+        self.parts.add(fresh)
+        return self.parts
+
+    def _word_ids(self, words: list[bytes]) -> dict[bytes, bytes]:
+        split, slow = {}, []
+        for w in words:
+            text = w.decode("utf-8")
+            if _PLAIN.fullmatch(text) and "<|" not in text:
+                split[w] = _PARTS.findall(text.lower())
+            else:
+                slow.append(w)
+        known = self._part_ids(set(chain.from_iterable(split.values())))
+        get = known.__getitem__
+        out = {w: get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps)) for w, ps in split.items()}
+        codes = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in slow], add_special_tokens=False)
+        out.update((w, np.array(c.ids, "<u2").tobytes()) for w, c in zip(slow, codes))
+        return out
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text and the end id, as little-endian uint16."""
-        split = [t.split() if t else [] for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        found = self.known
-        if new:
-            new = list(new)
-            codes = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in new], add_special_tokens=False)
-            fresh = {w: np.array(c.ids, "<u2").tobytes() for w, c in zip(new, codes)}
-            if len(self.known) < CACHED_WORDS:
-                self.known.update(fresh)
-                found = self.known
-            else:
-                found = _Both(fresh, self.known)
+        self.words.rest = fresh = {}
+        get = self.words.__getitem__
+        rows = [list(map(get, t.split())) if t else [] for t in texts]
+        if fresh:
+            ids = self._word_ids(list(fresh))
+            for word, place in fresh.items():
+                place += ids[word]
+            if len(self.words) < CACHED_WORDS:
+                self.words.update(ids)
         end = np.array([END_ID], "<u2").tobytes()
-        get = found.__getitem__
-        return [b"".join(map(get, ws)) + end for ws in split]
+        return [b"".join(row) + end for row in rows]
+
+
+class _Words(dict):
+    """Known words; one that isn't gets an empty place, to be filled later."""
+
+    rest: dict = {}
 
+    def __missing__(self, key):
+        found = self.rest.get(key)
+        if found is None:
+            found = self.rest[key] = bytearray()
+        return found
+
+
+class _Known(dict):
+    """Remembers up to CACHED_WORDS entries, and beyond that those added last."""
+
+    rest: dict = {}
 
-class _Both(dict):
-    def __init__(self, own: dict, rest: dict):
-        super().__init__(own)
-        self.rest = rest
+    def add(self, fresh: dict) -> None:
+        if len(self) < CACHED_WORDS:
+            self.update(fresh)
+        else:
+            self.rest = fresh
 
     def __missing__(self, key):
         return self.rest[key]
 
 
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One a worker process: later tasks find the words of earlier ones."""
+    return WordEncoder(path)
+
+
 def _encode_texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, part, seq = WordEncoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = _encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, texts = batch.column("doc_id"), shared.texts_of(batch)
-            for a, b in words.batches(texts, 1 << 19):
+            for a, b in words.batches(texts, 1 << 21):
                 out = encoder.encode(texts[a:b])
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.full(b - a, part)), pa.array(np.arange(seq, seq + b - a)), pa.array(out, pa.binary())], names=["doc_id", "part", "seq", "ids"])
                 seq += b - a
@@ -112,10 +177,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> bytes:
-    bits, at = huffman.encode(ids, lengths, codes)
+    """A file's bytes.  Ids are coded ``STEP`` blocks at a time, each such run from
+    a new 64-bit word on."""
     known = zlib.compress(lengths.tobytes())
+    starts, bits, base = [], [], 0
+    for a in range(0, len(ids), STEP * BLOCK):
+        part, at = huffman.encode(ids[a : a + STEP * BLOCK], lengths, codes)
+        starts.append((at[:-1:BLOCK] + 64 * base).astype("<u8").tobytes())
+        bits.append(part.astype("<u8").tobytes())
+        base += len(part)
     head = MAGIC + struct.pack("<4Q", len(doc_ids), len(ids), BLOCK, len(known))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), at[:-1:BLOCK].astype("<u8").tobytes(), known, bits.astype("<u8").tobytes()])
+    return b"".join([head, doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), *starts, known, *bits])
 
 
 def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
