@@ -349,7 +349,7 @@ pr AS (SELECT ext_id, our_id, count(*) AS shared, sum(idf) AS mass FROM xt JOIN
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    tok = F.array_distinct(F.filter(F.split(F.lower(F.substring("text", 1, 120)), "[^a-z0-9]+"), lambda t: F.length(t) >= 4))
+    tok = F.array_distinct(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda t: F.length(t) >= 4))
     empty = F.array().cast("array<string>")
 
     def side(df: DataFrame, key: str, name: str) -> DataFrame:
