@@ -464,6 +464,19 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _sizes(rows: list) -> pa.Array:
+    return pa.array(map(len, rows), pa.int64())
+
+
+def _offsets(rows: list) -> pa.Array:
+    return pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    flat = np.concatenate(rows) if rows else np.zeros(0)
+    return pa.ListArray.from_arrays(_offsets(rows), pa.array(flat.astype(np.int32)))
+
+
 def _segment(path: str, k: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
@@ -478,32 +491,21 @@ def _segment(path: str, k: int, with_ids: bool):
                 encoded = prepared[1]
                 back = coder.decode([*encoded, *own])
                 want = [t.replace("▁", " ").encode() for t in plain]
-                out = {"n": [len(x) for x in encoded], "crc": [_crc(x) for x in encoded], "ok": [x == w for x, w in zip(back, want)], "samples": [], "ids": [x.tolist() for x in encoded] if with_ids else []}
-                at = 0
-                for w, row in zip(want, drawn):
-                    samples = []
-                    for x in row:
-                        ids = own[at]
-                        found = {"n_pieces": len(ids), "ids_crc32": _crc(ids), "log_prob": x["log"], "value": x["value"], "log_inclusion": _inclusion(x["log"], x["threshold"]), "decoded": back[len(encoded) + at] == w}
-                        if with_ids:
-                            found["ids"] = ids.tolist()
-                        samples.append(found)
-                        at += 1
-                    out["samples"].append(samples)
-                fields = [("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("log_prob", pa.float64()), ("value", pa.float64()), ("log_inclusion", pa.float64()), ("decoded", pa.bool_())]
-                columns = [batch.column("doc_id").slice(a, b - a), pa.array(out["n"], pa.int64()), pa.array(out["crc"], pa.int64()), pa.array(out["ok"], pa.bool_())]
-                names = ["doc_id", "n_pieces", "ids_crc32", "decoded"]
+                ok = [x == w for x, w in zip(back, chain(want, (w for w, row in zip(want, drawn) for _ in row)))]
+                flat, n = [x for row in drawn for x in row], len(encoded)
+                found = {"n_pieces": _sizes(own), "ids_crc32": pa.array(map(_crc, own), pa.int64())}
+                found |= {name: pa.array([x[key] for x in flat], pa.float64()) for name, key in (("log_prob", "log"), ("value", "value"))}
+                found |= {"log_inclusion": pa.array([_inclusion(x["log"], x["threshold"]) for x in flat], pa.float64()), "decoded": pa.array(ok[n:], pa.bool_())}
+                columns = {"doc_id": batch.column("doc_id").slice(a, b - a), "n_pieces": _sizes(encoded), "ids_crc32": pa.array(map(_crc, encoded), pa.int64()), "decoded": pa.array(ok[:n], pa.bool_())}
                 if with_ids:
-                    fields.append(("ids", pa.list_(pa.int64())))
-                    columns.append(pa.array(out["ids"], pa.list_(pa.int64())))
-                    names.append("ids")
-                columns.append(pa.array(out["samples"], pa.list_(pa.struct(fields))))
-                yield pa.RecordBatch.from_arrays(columns, names=[*names, "samples"])
+                    found["ids"], columns["ids"] = _lists(own), _lists(encoded)
+                columns["samples"] = pa.ListArray.from_arrays(_offsets(drawn), pa.StructArray.from_arrays(list(found.values()), list(found)))
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The encoding of every whole text and k sampled segmentations.
 
     Rows: doc_id, n_pieces and ids_crc32 (of the ids as little-endian 32-bit
@@ -511,7 +513,7 @@ def segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, w
     text again) and samples, in the order of their perturbed values: n_pieces,
     ids_crc32, log_prob (of the segmentation), value (perturbed), log_inclusion
     (log chance of being above the best value left out, 0 if none is left) and
-    decoded.  With ``with_ids`` both also hold the ids.
+    decoded.  Both also hold the ids, but without ``with_ids`` only the digests.
 
     A text with fewer than k segmentations has them all.  Null and empty texts
     have no pieces and one empty segmentation.  The sign U+2581 stands for a
@@ -527,5 +529,5 @@ def segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, w
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(8), F.col(id_col).cast("long")).alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = SCHEMA
     if with_ids:
-        schema = schema.replace("decoded boolean, samples", "decoded boolean, ids array<long>, samples").replace("decoded:boolean>", "decoded:boolean,ids:array<long>>")
+        schema = schema.replace("decoded boolean, samples", "decoded boolean, ids array<int>, samples").replace("decoded:boolean>", "decoded:boolean,ids:array<int>>")
     return rows.mapInArrow(_segment(model, k, with_ids), schema)

@@ -44,7 +44,7 @@ def op7_url_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_piece_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.segmentations(table(spark, sf_dir, "documents"))
-    places = lambda x: F.struct(x.n_pieces.alias("n_pieces"), x.ids_crc32.alias("ids_crc32"), F.round(x.log_prob, 6).alias("log_prob"), F.round(x.value, 6).alias("value"), F.round(x.log_inclusion, 6).alias("log_inclusion"), x.decoded.alias("decoded"))
+    places = lambda x: F.struct(x.n_pieces.alias("n_pieces"), x.ids_crc32.alias("ids_crc32"), F.round(x.log_prob, 6).alias("log_prob"), F.round(x.value, 6).alias("value"), F.round(x.log_inclusion, 6).alias("log_inclusion"), x.decoded.alias("decoded"), x.ids.alias("ids"))
     return found.withColumn("samples", F.transform("samples", places))
 
 

@@ -51,3 +51,30 @@ def test_pipeline_stages(spark):
         docs = stage(spark, docs, FOLDER)
         assert docs.columns == columns, name
     assert cp.run(spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", ["op8_piece_segmentations", "pipeline"])
+def test_segmentations_come_whole(spark, name):
+    """Ids of the encoding and of every sample, which decode to the text."""
+    import zlib
+
+    import public_tokenizers
+
+    import corpus_pipeline as cp
+    from dossier.llm import pieces
+
+    sp = pieces.vocabulary(public_tokenizers.path("piece_bpe_32k.model")).sp
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    if name == "pipeline":
+        docs = docs.limit(20)
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    found = queries.op8_piece_segmentations(spark, FOLDER) if name != "pipeline" else cp.STAGES[-1][1](spark, docs, FOLDER)
+    got = found.collect()
+    crc = lambda ids: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+    assert {r.doc_id for r in got} == set(text)
+    for r in got:
+        assert list(r.ids) == sp.encode(text[r.doc_id]) and r.samples
+        assert len({tuple(x.ids) for x in r.samples}) == len(r.samples)
+        for x in [r, *r.samples]:
+            assert x.n_pieces == len(x.ids) and x.ids_crc32 == crc(x.ids) and x.decoded
+            assert sp.decode(list(x.ids)) == text[r.doc_id].replace("▁", " ")
