@@ -630,7 +630,7 @@ def public_body_filter(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH e AS (SELECT user_id, event_id, value, CASE WHEN event_type IN ('view','click') THEN 'approval' ELSE 'amendment' END AS kind FROM events WHERE event_id % 40 = 1), k AS (SELECT user_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n FROM e GROUP BY 1)
 SELECT event_id, kinds IN ('approval','amendment,approval') AND n > 1 AS relabel FROM e JOIN k USING (user_id)""")
 def section_relabel(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 40 = 1").select("user_id", "event_id", F.when(F.col("event_type").isin("view", "click"), "approval").otherwise("amendment").alias("kind"))
+    e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("view", "click"), "approval").otherwise("amendment").alias("kind"))
     return footprint.section_relabel(e, ["user_id"], "kind").select("event_id", "relabel")
 
 

@@ -18,3 +18,11 @@ def con():
 def test_matching_reads_whole_texts(spark, con, name):
     sql = queries.oracle_sql()[name].replace("left(text, 120)", "text")
     same(spark, con, queries.queries()[name], sql, FOLDER)
+
+
+def test_sections_hold_all_events(spark, con, tmp_path):
+    query, sql = queries.queries()["section_relabel"], queries.oracle_sql()["section_relabel"]
+    assert same(spark, con, query, sql.replace(" WHERE event_id % 40 = 1", ""), FOLDER) == 1000
+    events = [(1, 1, "view"), (2, 1, "click"), (3, 2, "view"), (4, 2, "error"), (5, 3, "error"), (41, 3, "signup"), (42, 4, "view"), (81, 5, "view"), (82, 5, "error")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.event_id: r.relabel for r in query(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 41: False, 42: False, 81: True, 82: True}
