@@ -434,7 +434,7 @@ UNION ALL SELECT id, 4, i - 1, s[i], lang FROM (SELECT id, lang, s, unnest(range
 SELECT id, place, tier, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM c JOIN g USING (place, lang) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, k) = 1""")
 def gazetteer_cascade(spark: SparkSession, d: str) -> DataFrame:
     g = spark.createDataFrame(_GAZ, "place string, admin1 string, lat double, lon double")
-    names = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("name"), F.lit(None).cast("string").alias("municipality"), F.col("lang").alias("admin1"))
+    names = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("name"), F.lit(None).cast("string").alias("municipality"), F.col("lang").alias("admin1"))
     return spatial.geocode(names, g)
 
 

@@ -26,3 +26,16 @@ def test_sections_hold_all_events(spark, con, tmp_path):
     events = [(1, 1, "view"), (2, 1, "click"), (3, 2, "view"), (4, 2, "error"), (5, 3, "error"), (41, 3, "signup"), (42, 4, "view"), (81, 5, "view"), (82, 5, "error")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert {r.event_id: r.relabel for r in query(spark, str(tmp_path)).collect()} == {1: True, 2: True, 3: True, 4: True, 5: False, 41: False, 42: False, 81: True, 82: True}
+
+
+def test_places_of_whole_texts(spark, con):
+    sql = queries.oracle_sql()["gazetteer_cascade"].replace("left(text, 200)", "text")
+    same(spark, con, queries.queries()["gazetteer_cascade"], sql, FOLDER)
+
+
+def test_places_far_into_a_text(spark, tmp_path):
+    late = "word " * 60
+    docs = [(1, f"{late}of the end", "en"), (2, f"the{' x' * 200} nichts", "de"), (3, f"{late}nowhere", "fr"), (4, f"nichts {late}en de", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.id, r.place, r.tier) for r in queries.queries()["gazetteer_cascade"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "of the", 3), (2, "nichts", 4), (4, "en de", 3)}
