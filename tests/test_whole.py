@@ -39,3 +39,16 @@ def test_places_far_into_a_text(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.id, r.place, r.tier) for r in queries.queries()["gazetteer_cascade"](spark, str(tmp_path)).collect()}
     assert got == {(1, "of the", 3), (2, "nichts", 4), (4, "en de", 3)}
+
+
+def test_ids_and_terms_of_whole_tables(spark, con):
+    sql, found = queries.oracle_sql(), queries.queries()
+    assert same(spark, con, found["collision_suffix"], sql["collision_suffix"].replace(" WHERE p_size = 7", ""), FOLDER) == spark.read.parquet(f"{FOLDER}/part.parquet").count()
+    same(spark, con, found["fts_index"], sql["fts_index"].replace(" HAVING count(*) >= 5", ""), FOLDER)
+
+
+def test_stems_of_all_languages(spark, tmp_path):
+    docs = [(1, "running maps", "en"), (2, "Running die runs", "de"), (3, "maps", None), (4, None, "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stem: r.df for r in queries.queries()["fts_porter"](spark, str(tmp_path)).collect()}
+    assert got == {"run": 2, "map": 2, "die": 1}
