@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,6 +17,27 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def folded(text: Column) -> Column:
+    """Lower-case runs of Unicode letters and digits without their accents."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [] if t is None else _RUNS.findall(_plain(t)))
+
+    return run(text)
+
+
+_RUNS = re.compile(r"[^\W_]+")
+_ACCENTS = re.compile("[\u0300-\u036f]+")
+
+
+def _plain(text: str) -> str:
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFC", _ACCENTS.sub("", unicodedata.normalize("NFD", text.lower())))
+
+
 def index(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """term, document, tf, and the document's length in terms."""
     words = docs.select(F.col(id_col).alias("doc"), terms(text).alias("w"))

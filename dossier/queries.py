@@ -662,7 +662,7 @@ def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def fts_porter(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.explode(search.stemmed(search.terms(F.col("text")))).alias("stem"))
+    w = table(spark, d, "documents").select("doc_id", F.explode(search.stemmed(search.folded(F.col("text")))).alias("stem"))
     return w.groupBy("stem").agg(F.countDistinct("doc_id").alias("df"))
 
 

@@ -52,3 +52,10 @@ def test_stems_of_all_languages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.stem: r.df for r in queries.queries()["fts_porter"](spark, str(tmp_path)).collect()}
     assert got == {"run": 2, "map": 2, "die": 1}
+
+
+def test_stems_of_folded_words(spark, tmp_path):
+    docs = [(1, "Kéy KEYS café_Ünd", "fr"), (2, "中文 x² Ель", "zh")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.stem: r.df for r in queries.queries()["fts_porter"](spark, str(tmp_path)).collect()}
+    assert got == {"key": 1, "cafe": 1, "und": 1, "中文": 1, "x²": 1, "ель": 1}
