@@ -16,6 +16,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_SIZE = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _powers: dict[int, np.ndarray] = {}
 
@@ -48,7 +49,7 @@ def spans(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(h * powers(_BASE, n), out=total[1:])
     out = (total[ends] - total[starts]) * powers(_INVERSE, n + 1)[starts]
-    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    return mix(out ^ ((ends - starts).astype(np.uint64) * np.uint64(_SIZE)))
 
 
 def scan(buf: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
