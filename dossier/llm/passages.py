@@ -4,16 +4,18 @@
    minimum of the hashes of ``GRAM`` words among the first ``SPAN`` positions of
    any window of ``LENGTH`` words.  Equal windows select the same position, so
    every passage of ``LENGTH`` words that repeats has a retained suffix in each
-   of its copies, with at least ``PREFIX`` common words from there on.
-2. The suffixes are sorted over the cluster (by range, on the hash of their
-   first PREFIX words, then document and position, so one very common passage is
-   spread over many ranges) and each is compared with its neighbours; one that
-   agrees with neither is dropped.  The first and last of a range are kept
-   unseen, as what follows is exact.
-3. What is left is extended left and right: all windows of LENGTH words that
-   select a surviving suffix are compared, by hash, over the cluster; the
-   smallest document that holds a window owns it.  Adjoining windows merge into
-   maximal spans.
+   of its copies, with at least ``PREFIX`` common words from there on.  Texts
+   that occur more than once take part once.
+2. A first sort, of the hashes of the suffixes' first PREFIX words alone, drops
+   those that no other text shares: each is compared with its neighbours.
+3. The suffixes that are left are sorted over the cluster by their words (the
+   first PREFIX as one symbol, the rest one by one) and compared with their
+   neighbours: the common prefix of neighbours tells how far to the right each
+   match extends, and the words to the left, compared backwards, how far to the
+   left.  Together they tell which windows around a suffix other documents hold
+   too; the smallest document that holds a window owns it.
+4. A run of equal prefixes that ends with its range may go on in the next one:
+   its windows, and no others, are aggregated over the cluster.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ from . import shared, words
 
 LENGTH, GRAM, SPAN = 50, 5, 21
 PREFIX = LENGTH - SPAN + 1
+SIDE = SPAN - 1
+BUFFER = 1 << 16
 _STEP = 1 << 15
 
 
@@ -47,122 +52,325 @@ def selected(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_numpy(), shared.texts_of(batch)
+        keys, texts = batch.column("key").to_numpy(), shared.texts_of(batch)
         for a, b in words.batches(texts):
             h, first, *_ = words.hash_words(texts[a:b])
-            doc, place, prefix = [], [], []
+            key, place, prefix = [], [], []
             for i in range(b - a):
                 own = h[first[i] : first[i + 1]]
                 p = np.unique(selected(own))
                 if len(p):
-                    doc.append(np.full(len(p), ids[a + i]))
+                    key.append(np.full(len(p), keys[a + i]))
                     place.append(p)
                     prefix.append(words.spans(own, p, p + PREFIX))
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(prefix).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(place))], names=["suffix", "doc_id", "place"])
+            if key:
+                yield _batch({"prefix": np.concatenate(prefix).view(np.int64), "key": np.concatenate(key), "place": np.concatenate(place).astype(np.int32)})
+
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes sorted by prefix and text, those whose prefix two texts share,
+    each once.  What lies at the ends of the range is kept unseen."""
+    held: list[np.ndarray] = []  # the last run, which may go on
+    start = True
+
+    def rows(parts: list[np.ndarray], whole: bool) -> Iterator[pa.RecordBatch]:
+        """whole: the last run is complete; the first run of a range never is."""
+        nonlocal start
+        s, k, p = parts
+        if not len(s):
+            return
+        head = np.r_[True, s[1:] != s[:-1]]
+        run = np.cumsum(head) - 1
+        several = np.zeros(run[-1] + 1, bool)
+        several[run[1:][~head[1:] & (k[1:] != k[:-1])]] = True
+        several[0] |= start
+        several[-1] |= not whole
+        start = False
+        once = np.r_[True, head[1:] | (k[1:] != k[:-1]) | (p[1:] != p[:-1])]
+        keep = several[run] & once
+        if keep.any():
+            yield _batch({"key": k[keep], "place": p[keep]})
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes, those that agree with a neighbour, and the two ends."""
-    held: list[np.ndarray] | None = None  # the last row, its successor still unseen
-    before: int | None = None  # the suffix ahead of it
     for batch in batches:
         if not batch.num_rows:
             continue
-        s, d, p = (batch.column(c).to_numpy() for c in ("suffix", "doc_id", "place"))
-        if held is not None:
-            s, d, p = (np.concatenate([x, y]) for x, y in zip(held, (s, d, p)))
-        same = np.ones(len(s) + 1, bool)
-        same[1:-1] = s[1:] == s[:-1]
-        same[0] = before is None or before == s[0]
-        keep = same[:-1] | same[1:]
-        keep[-1] = False
-        held = [x[-1:].copy() for x in (s, d, p)]
-        if len(s) > 1:
-            before = int(s[-2])
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(d[keep]), pa.array(p[keep])], names=["doc_id", "place"])
-    if held is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(held[1]), pa.array(held[2])], names=["doc_id", "place"])
+        parts = [batch.column(c).to_numpy() for c in ("prefix", "key", "place")]
+        if held:
+            parts = [np.concatenate(x) for x in zip(held, parts)]
+        last = int(np.searchsorted(parts[0], parts[0][-1]))
+        if len(parts[0]) - last > BUFFER:  # a very long run is kept part by part
+            yield from rows(parts, False)
+            start, held = True, []
+            continue
+        yield from rows([x[:last] for x in parts], True)
+        held = [x[last:].copy() for x in parts]
+    if held:
+        yield from rows(held, False)
+
+
+def _bytes(codes: np.ndarray, real: np.ndarray) -> pa.Array:
+    """The real codes of each row as one binary value."""
+    ends = np.zeros(len(codes) + 1, np.int32)
+    np.cumsum(4 * real.sum(axis=1), out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(codes), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(codes[real].astype(">u4").tobytes())])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _codes(column: pa.Array) -> np.ndarray:
+    """The codes of each row, SIDE columns, 0 where a row has fewer."""
+    column = pa.concat_arrays([column])  # offsets from 0
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[: len(column) + 1].astype(np.int64) // 4
+    flat = np.frombuffer(data, ">u4") if data is not None else np.zeros(0, ">u4")
+    out = np.zeros((len(column), SIDE), np.uint32)
+    n = np.diff(ends)
+    out[np.arange(SIDE) < n[:, None]] = flat[: ends[-1]]
+    return out
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Retained suffixes with the words around them that their windows hold, and
+    a row without words for each text that has copies (near, far: its windows)."""
     for batch in batches:
-        ids, texts, places = batch.column("doc_id").to_numpy(), shared.texts_of(batch), batch.column("places")
+        doc, last, key = (batch.column(c).to_numpy() for c in ("doc", "last", "key"))
+        texts, places = shared.texts_of(batch), batch.column("places")
         for a, b in words.batches(texts):
             h, first, *_ = words.hash_words(texts[a:b])
-            doc, start, window = [], [], []
+            out: dict[str, list] = {c: [] for c in ("prefix", "row", "place", "near", "far")}
+            right, left, right_real, left_real = [], [], [], []
             for i in range(b - a):
                 own = h[first[i] : first[i + 1]]
                 pick = selected(own)
-                kept = np.zeros(len(own) + 1, bool)
-                kept[places[a + i].values.to_numpy()] = True
-                s = np.flatnonzero(kept[pick])
-                if len(s):
-                    doc.append(np.full(len(s), ids[a + i]))
-                    start.append(s)
-                    window.append(words.spans(own, s, s + LENGTH))
-            if doc:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(window).view(np.int64)), pa.array(np.concatenate(doc)), pa.array(np.concatenate(start).astype(np.int32))], names=["window", "doc_id", "start"])
+                if not len(pick):
+                    continue
+                code = (own >> np.uint64(32)).astype(np.uint32)
+                values = places[a + i].values
+                p = np.zeros(0, np.int64) if values is None else np.sort(values.to_numpy()).astype(np.int64)
+                # windows that select a suffix are neighbours: first and last start
+                lo, hi = np.searchsorted(pick, p), np.searchsorted(pick, p, "right") - 1
+                near, far, side = p - hi, p - lo, np.arange(SIDE)
+                to_right, to_left = side < (SIDE - near)[:, None], side < far[:, None]
+                right.append(code[np.minimum(p[:, None] + PREFIX + side, len(own) - 1)])
+                left.append(code[np.maximum(p[:, None] - 1 - side, 0)])
+                right_real.append(to_right)
+                left_real.append(to_left)
+                for name, x in (("prefix", words.spans(own, p, p + PREFIX).view(np.int64)), ("row", np.full(len(p), a + i)), ("place", p), ("near", near), ("far", far)):
+                    out[name].append(x)
+                if last[a + i] > doc[a + i]:
+                    right.append(np.zeros((1, SIDE), np.uint32))
+                    left.append(right[-1])
+                    right_real.append(np.zeros((1, SIDE), bool))
+                    left_real.append(right_real[-1])
+                    for name, x in (("prefix", 0), ("row", a + i), ("place", -1), ("near", 0), ("far", len(pick) - 1)):
+                        out[name].append(np.array([x]))
+            if out["row"]:
+                x = {name: np.concatenate(v) for name, v in out.items()}
+                row = x["row"]
+                r, l = (_bytes(np.concatenate(c), np.concatenate(m)) for c, m in ((right, right_real), (left, left_real)))
+                yield _batch({"prefix": x["prefix"], "right": r, "left": l, "doc": doc[row], "last": last[row], "key": key[row], "place": x["place"].astype(np.int32), "near": x["near"].astype(np.int32), "far": x["far"].astype(np.int32)})
+
+
+SUFFIX = "prefix long, right binary, left binary, doc long, last long, key long, place int, near int, far int"
+MATCH = "doc long, key long, low int, high int, first long, part long, window long, last long"
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted suffixes to ranges of starts (low to high) of windows that several
+    documents hold, with their owner; and, of runs that may go on in another
+    range, every window with its hash."""
+    task = TaskContext.get()
+    number = (task.partitionId() if task else 0) << 32
+    names = ("prefix", "doc", "last", "key", "place", "near", "far")
+    held: tuple | None = None
+    opened = True  # the run at hand began in the range before, for all we know
+
+    def windows(prefix, right, left, doc, last, key, place, near, far) -> pa.RecordBatch:
+        nonlocal number
+        number += 1
+        n = (far - near + 1).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        back = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + near[row]
+        r, l = _sums(right), _sums(left)
+        h = words.mix(words.mix(prefix.view(np.uint64)[row] ^ r[row, SIDE - back]) + l[row, back] + back.astype(np.uint64))
+        start = (place[row] - back).astype(np.int32)
+        none = pa.nulls(len(row), pa.int64())
+        return _batch({"doc": doc[row], "key": key[row], "low": start, "high": start, "first": none, "part": np.full(len(row), number), "window": h.view(np.int64), "last": last[row]})
+
+    def ranges(prefix, right, left, doc, last, key, place, near, far) -> Iterator[pa.RecordBatch]:
+        n = len(prefix)
+        same = np.zeros(n, np.int64)  # words beyond PREFIX in common with the suffix before; -1: not even those
+        equal = right[1:] == right[:-1]
+        same[1:] = np.where(equal.all(axis=1), SIDE, equal.argmin(axis=1))
+        same[1:][prefix[1:] != prefix[:-1]] = -1
+        same[0] = -1
+        sums = _sums(left)
+        first = np.zeros((n, SPAN), np.int64)
+        found = np.zeros((n, SPAN + 1), bool)
+        for back in range(SPAN):
+            run = np.cumsum(same < SIDE - back)
+            live = (near <= back) & (far >= back)
+            live &= np.bincount(run[live], minlength=int(run[-1]) + 1)[run] > 1
+            at = np.flatnonzero(live)
+            if not len(at):
+                continue
+            group = words.mix(run[at].astype(np.uint64) * np.uint64(words._BASE) ^ sums[at, back])
+            order = np.argsort(group, kind="stable")
+            at, group = at[order], group[order]
+            heads = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            owner, final = np.minimum.reduceat(doc[at], heads), np.maximum.reduceat(last[at], heads)
+            size = np.diff(np.r_[heads, len(at)])
+            several = np.repeat(owner < final, size)
+            first[at, back] = np.repeat(owner, size)
+            found[at[several], back] = True
+        head = found[:, :-1].copy()
+        head[:, 1:] &= ~(found[:, :-2] & (first[:, 1:] == first[:, :-1]))
+        tail = found[:, :-1] & ~(found[:, 1:] & np.c_[first[:, 1:] == first[:, :-1], np.zeros(n, bool)])
+        row, a = np.nonzero(head)
+        _, b = np.nonzero(tail)
+        if len(row):
+            none = pa.nulls(len(row), pa.int64())
+            yield _batch({"doc": doc[row], "key": key[row], "low": (place[row] - b).astype(np.int32), "high": (place[row] - a).astype(np.int32), "first": first[row, a], "part": none, "window": none, "last": last[row]})
+
+    def pick(parts: tuple, a: int, b: int) -> tuple:
+        return tuple(x[a:b] for x in parts)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = {c: batch.column(c).to_numpy() for c in names}
+        parts = (x["prefix"], _codes(batch.column("right")), _codes(batch.column("left")), x["doc"], x["last"], x["key"], x["place"].astype(np.int64), x["near"].astype(np.int64), x["far"].astype(np.int64))
+        if held is not None:
+            parts = tuple(np.concatenate(v) for v in zip(held, parts))
+        p = parts[0]
+        if len(p) < BUFFER:
+            held = parts
+            continue
+        last = int(np.searchsorted(p, p[-1]))
+        if opened:
+            end = int(np.searchsorted(p, p[0], "right"))
+            yield windows(*pick(parts, 0, end))
+            opened = end == len(p)
+            parts, last = pick(parts, end, len(p)), max(0, last - end)
+        if last:
+            yield from ranges(*pick(parts, 0, last))
+        held = pick(parts, last, len(parts[0]))
+        if len(held[0]) >= BUFFER:  # a very long run: its parts meet later
+            yield windows(*held)
+            held, opened = None, True
+    if held is not None and len(held[0]):
+        p = held[0]
+        end = int(np.searchsorted(p, p[0], "right")) if opened else 0
+        last = max(end, int(np.searchsorted(p, p[-1])))
+        if end:
+            yield windows(*pick(held, 0, end))
+        if end < last:
+            yield from ranges(*pick(held, end, last))
+        if last < len(p):
+            yield windows(*pick(held, last, len(p)))
+
+
+def _sums(codes: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, ... codes of each row."""
+    out = np.zeros((len(codes), SIDE + 1), np.uint64)
+    np.cumsum(words.mix(codes.astype(np.uint64) + np.uint64(1)) * words.powers(words._BASE, SIDE), axis=1, out=out[:, 1:])
+    return out
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of one document, with their owners, to maximal spans."""
+    """The ranges of one text to maximal spans."""
     for batch in batches:
-        out = ([], [], [], [], [])
-        for doc, rows in zip(batch.column("doc_id").to_pylist(), batch.column("rows")):
+        out = ([], [], [], [], [], [])
+        for doc, key, rows in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("rows")):
             x = rows.values
-            s, f = x.field("start").to_numpy().astype(np.int64), x.field("first").to_numpy()
-            order = np.argsort(s, kind="stable")
+            low, high, f = (x.field(c).to_numpy() for c in ("low", "high", "first"))
+            n = (high - low + 1).astype(np.int64)
+            row = np.repeat(np.arange(len(n)), n)
+            s, f = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row], f[row]
+            order = np.lexsort((f, s))
             s, f = s[order], f[order]
+            once = np.r_[True, s[1:] != s[:-1]]
+            s, f = s[once], f[once]  # of each window its smallest owner
             own = f == doc
             for mine in (True, False):
                 t, g = s[own == mine], f[own == mine]
                 if len(t):
-                    # a repeated id may bring the same start twice
                     heads = np.flatnonzero(np.r_[True, t[1:] > t[:-1] + LENGTH])
                     lasts = np.r_[heads[1:] - 1, len(t) - 1]
-                    n = len(heads)
-                    for column, values in zip(out, ([doc] * n, t[heads].tolist(), (t[lasts] + LENGTH - t[heads]).tolist(), np.minimum.reduceat(g, heads).tolist(), [not mine] * n)):
+                    k = len(heads)
+                    for column, values in zip(out, ([doc] * k, [key] * k, t[heads].tolist(), (t[lasts] + LENGTH - t[heads]).tolist(), np.minimum.reduceat(g, heads).tolist(), [not mine] * k)):
                         column.extend(values)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.bool_())], names=["doc_id", "start_word", "n_words", "first_doc_id", "repeat"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["doc_id", "text_key", "start_word", "n_words", "first_doc_id", "repeat"])
+
+
+def text_key(column) -> F.Column:
+    return F.xxhash64(F.col(column).cast("string"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Spans of 50 or more words that occur, word for word, in several documents.
 
-    Rows: doc_id, start_word (from 0), n_words, first_doc_id (the smallest
-    document with a window of the span) and repeat: false for the copy in that
-    document, which stays, true for all later copies.  Spans of one document and
-    one kind don't overlap or touch.
+    Rows: doc_id, text_key (xxhash64 of the text), start_word (from 0), n_words,
+    first_doc_id (the smallest document with a window of the span) and repeat:
+    false for the copy in that document, which stays, true for all later copies.
+    Spans of one text and one kind don't overlap or touch.
 
-    Null, empty and short texts give no rows; nor do rows with a null id.  A
-    passage that only one document repeats gives none; rows repeated under one
-    id count as one document.  Other columns are not read.
+    Null, empty and short texts give no rows; nor do rows with a null id.  Texts
+    under one id are one document: a passage that only they share gives none, and
+    each has spans of its own, by text_key.  Equal rows count once.  An empty
+    table gives an empty result.  Other columns are not read.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
-    scratch = shared.Scratch(spark, "passages")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    anchors = scratch.cut(docs.mapInArrow(_anchors, "suffix long, doc_id long, place long"), "anchors", "zstd")
-    order = ["suffix", "doc_id", "place"]
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept = scratch.cut(anchors.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, "doc_id long, place long"), "kept", "zstd")
-    scratch.drop("anchors")
-    places = kept.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    windows = scratch.cut(places.hint("shuffle_hash").join(docs, "doc_id").select("doc_id", "text", "places").mapInArrow(_windows, "window long, doc_id long, start int"), "windows", "zstd")
-    owners = windows.groupBy("window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("window", "first")
-    rows = windows.join(owners, "window").groupBy("doc_id").agg(F.collect_list(F.struct("start", "first")).alias("rows"))
-    spans = scratch.cut(rows.mapInArrow(_merge, "doc_id long, start_word long, n_words long, first_doc_id long, repeat boolean"), "spans")
-    scratch.drop("windows", "kept")
-    return spans
+    with shared.small_batches(spark):
+        scratch = shared.Scratch(spark, "passages")
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
+        docs = docs.withColumn("key", text_key("text"))
+        ids = scratch.cut(docs.select("doc_id", "key", F.xxhash64(F.lit(1), "text").alias("key2")).distinct(), "ids", "zstd")
+        texts = scratch.cut(ids.groupBy("key", "key2").agg(F.min("doc_id").alias("doc"), F.max("doc_id").alias("last")), "texts", "zstd")
+
+        anchors = scratch.cut(docs.select("key", "text").mapInArrow(_anchors, "prefix long, key long, place int"), "anchors", "zstd")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        order = ["prefix", "key", "place"]
+        kept = scratch.cut(anchors.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_shared, "key long, place int"), "kept", "zstd")
+        scratch.drop("anchors")
+        places = kept.groupBy("key").agg(F.collect_set("place").alias("places"))
+        chosen = texts.join(places, "key", "left").where("places is not null or doc < last").select("doc", "last", F.col("key").alias("k"), "places")
+        found = chosen.hint("shuffle_hash").join(docs, (F.col("doc_id") == F.col("doc")) & (F.col("key") == F.col("k")))
+        found = found.select("doc", "last", "key", "places", "text").mapInArrow(_suffixes, SUFFIX)
+        suffixes = scratch.cut(found, "suffixes", "zstd")
+        scratch.drop("kept")
+
+        order = ["prefix", "right", "doc", "place"]
+        array = suffixes.where("place >= 0").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        matches = scratch.cut(array.mapInArrow(_matches, MATCH), "matches", "zstd")
+        opened = matches.where("window is not null")
+        owners = opened.groupBy("window").agg(F.min("doc").alias("first"), F.max("last").alias("final"), F.collect_set("part").alias("parts"))
+        owners = scratch.cut(owners.where("first < final").select(F.col("window").alias("w"), F.col("first").alias("f"), F.explode("parts").alias("p")), "owners", "zstd")
+        ranges = matches.where("window is null").select("doc", "key", "low", "high", "first")
+        # a window's rows meet its owner range by range, so no key is hotter than a range
+        ranges = ranges.unionAll(opened.join(owners, (F.col("part") == F.col("p")) & (F.col("window") == F.col("w"))).select("doc", "key", "low", "high", F.col("f").alias("first")))
+        ranges = ranges.unionAll(suffixes.where("place < 0").select("doc", "key", "near", "far", "doc"))
+        rows = ranges.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high", "first")).alias("rows"))
+        spans = scratch.cut(rows.mapInArrow(_merge, "doc_id long, text_key long, start_word long, n_words long, first_doc_id long, repeat boolean"), "spans")
+        scratch.drop("suffixes", "matches", "owners")
+
+        # copies of a text are later copies as a whole
+        several = texts.where("doc < last").select("doc", F.col("key").alias("k1"), F.col("key2").alias("k2"))
+        whole = spans.groupBy("doc_id", "text_key").agg(F.max(F.col("start_word") + F.col("n_words")).alias("n_words"), F.min("first_doc_id").alias("first_doc_id"))
+        whole = scratch.cut(several.join(whole, (F.col("doc") == F.col("doc_id")) & (F.col("k1") == F.col("text_key"))).drop("doc_id", "text_key"), "whole", "zstd")
+        later = ids.join(whole, (F.col("key") == F.col("k1")) & (F.col("key2") == F.col("k2")) & (F.col("doc_id") > F.col("doc")))
+        later = later.select("doc_id", F.col("key").alias("text_key"), F.lit(0).cast("long").alias("start_word"), "n_words", "first_doc_id", F.lit(True).alias("repeat"))
+        return spans.unionAll(later)
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the spans in __cut; rows without any pass as they are."""
-    for batch in batches:
+    for batch in shared.small(batches):
         columns = dict(zip(batch.schema.names, batch.columns))
         cuts = columns.pop("__cut").to_pylist()
         if any(cuts):
@@ -190,9 +398,13 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     """``documents`` without the later copies of repeated passages: the words of
     a span go, with the white space up to the next word.  All other text, rows
     and columns stay; n_chars follows the new text.  A document whose whole text
-    is a later copy stays with what white space led it."""
-    cuts = repeated_spans(docs).where("repeat").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
-    cuts = cuts.withColumnRenamed("doc_id", "__id").hint("shuffle_hash")
-    both = docs.join(cuts, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    shared.small_batches(docs.sparkSession)
+    is a later copy stays with what white space led it.
+
+    Null, empty and short texts and rows with a null id pass as they are; texts
+    repeated under one id are cut each by its own spans; an empty table stays
+    empty; other columns, whatever their names, pass through.
+    """
+    cuts = repeated_spans(docs).where("repeat").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
+    cuts = cuts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}).hint("shuffle_hash")
+    both = docs.join(cuts, (F.col("doc_id").cast("long") == F.col("__id")) & (text_key("text") == F.col("__key")), "left").drop("__id", "__key")
     return both.mapInArrow(_cut_text, docs.schema)

@@ -74,8 +74,8 @@ def test_near_duplicates_equal_brute_force(spark, corpus, monkeypatch):
 def test_near_duplicates_awkward_rows(spark):
     rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "a b c", "x"), (2, "a b c", "x")]
     docs = frame(spark, rows).withColumn("component_id", F.lit("mine")).withColumn("class", F.lit(0))
-    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
-    assert got == [(1, 1), (1, 1), (2, 1)]
+    got = sorted(((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect()), key=str)
+    assert got == [(1, 1), (1, 1), (2, 1), (None, None)]
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
@@ -106,26 +106,84 @@ def spans(rows):
 
 
 def test_repeated_spans_equal_brute_force(spark, corpus):
-    got = {tuple(r) for r in passages.repeated_spans(frame(spark, corpus)).collect()}
+    got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.repeat) for r in passages.repeated_spans(frame(spark, corpus)).collect()}
     assert got == spans(corpus) and got
 
 
-def test_neighbours_meet_across_batches():
+def test_shared_prefixes_meet_across_batches(monkeypatch):
     import pyarrow as pa
 
     rng = random.Random(1)
-    rows = sorted((rng.randrange(30), rng.randrange(50), i) for i in range(200))
-    n = Counter(r[0] for r in rows)
+    rows = sorted((rng.randrange(30), rng.randrange(8), rng.randrange(6)) for _ in range(200))
+    texts = {}
+    for s, k, _ in rows:
+        texts.setdefault(s, set()).add(k)
 
     def parts(size):
         for i in range(0, len(rows), size):
-            s, d, p = zip(*rows[i : i + size])
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int64())], names=["suffix", "doc_id", "place"])
-
-    for size in (1, 3, 200):
-        got = {p for b in passages._neighbours(parts(size)) for p in b.column("place").to_pylist()}
-        need = {p for s, _, p in rows if n[s] > 1}
-        assert need <= got <= need | {rows[0][2], rows[-1][2]}
+            s, k, p = zip(*rows[i : i + size])
+            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.int64()), pa.array(p, pa.int32())], names=["prefix", "key", "place"])
+
+    need = {(k, p) for s, k, p in rows if len(texts[s]) > 1}
+    for size, buffer in ((1, 1000), (3, 1000), (200, 1000), (7, 4)):
+        monkeypatch.setattr(passages, "BUFFER", buffer)
+        got = {x for b in passages._shared(parts(size)) for x in zip(b.column("key").to_pylist(), b.column("place").to_pylist())}
+        assert need <= got <= {(k, p) for _, k, p in rows}
+
+
+def test_spans_do_not_depend_on_ranges(spark, corpus, monkeypatch):
+    """Runs cut by many ranges and by a small buffer meet again."""
+    want = spans(corpus)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(passages, "BUFFER", 8)
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.repeat) for r in passages.repeated_spans(frame(spark, corpus)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want
+
+
+def test_texts_under_one_id(spark):
+    """Two texts of one document: no crash, no spans of the other's, no foreign cut."""
+    rng = random.Random(11)
+    shared_, own, other = prose(rng, 80), prose(rng, 200), prose(rng, 60, 9000)
+    rows = [(5, shared_ + " " + prose(rng, 20), "a"), (5, own, "a"), (5, "short text", "a"), (7, other + " " + shared_, "a"), (7, own, "a"), (9, own, "b"), (9, own, "b")]
+    got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.repeat) for r in passages.repeated_spans(frame(spark, rows)).collect()}
+    assert got == {(5, 0, 80, 5, False), (7, 60, 80, 5, True), (5, 0, 200, 5, False), (7, 0, 200, 5, True), (9, 0, 200, 5, True)}
+    out = sorted((r.doc_id, len(WORD.findall(r.text))) for r in passages.cut_repeats(frame(spark, rows)).collect())
+    assert out == [(5, 2), (5, 100), (5, 200), (7, 0), (7, 60), (9, 0), (9, 0)]
+    alone = [(1, own, "a"), (1, own + " more words", "a")]
+    assert passages.repeated_spans(frame(spark, alone)).count() == 0
+
+
+def test_near_texts_under_one_id(spark):
+    rng = random.Random(12)
+    a, b = prose(rng, 60, 5000), prose(rng, 60, 5000)
+    docs = frame(spark, [(5, a, "s"), (5, b, "s"), (3, a, "s"), (7, b, "s"), (8, "", "s"), (8, a, "s"), (9, None, "s")])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == [(3, 56, 3), (5, 56, 3), (5, 56, 3), (7, 56, 3), (8, 0, 8), (8, 56, 3), (9, 0, 9)]
+
+
+def test_collisions_equal_brute_force():
+    rng = np.random.default_rng(4)
+    sig = rng.integers(1, 4, (60, minhash.COORDINATES)).astype(np.uint64) + np.arange(minhash.COORDINATES, dtype=np.uint64) * np.uint64(1000)
+    sig[40:] = rng.integers(1, 1 << 40, (20, minhash.COORDINATES)).astype(np.uint64)
+    got = {(i, int(j)): int(h) for i, js, hits in minhash.collisions(sig) for j, h in zip(js, hits)}
+    want = {(i, j): n for i in range(60) for j in range(i + 1, 60) if (n := int((sig[i] == sig[j]).sum())) >= minhash.MATCHES}
+    assert got == want and want
+
+
+def test_near_duplicates_without_a_common_original(spark):
+    """Copies of copies: no document is near all others, so stars don't settle it."""
+    rng = random.Random(8)
+    w, rows = prose(rng, 100, 50_000).split(), []
+    for i in range(60):
+        rows.append((i, " ".join(w), "s"))
+        for _ in range(2):
+            w[rng.randrange(len(w))] = f"n{i}"
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == classes(rows)
 
 
 def test_cut_repeats_keeps_the_rest(spark, corpus):
