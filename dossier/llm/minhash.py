@@ -7,15 +7,19 @@
    fewer than ``MATCHES`` shared values: it can reach no partner.
 3. Prefix: two documents that agree on at least T values share one among the
    c - T + 1 rarest shared values of each (c: how many shared values it has, in
-   one global order).  Only that prefix is posted again; the skipped values are
-   merged later, straight from the signatures.
-4. Documents that share a prefix value are drawn together into one candidate
-   class (a linear star to each posting's smallest id, no pairs).  A class is
-   cut into blocks of bounded shingle mass and every pair of blocks is one unit
-   of work: collisions are counted between signatures, pairs with at least T
-   are tried best first, and each is confirmed on the full sets unless the two
-   are already known to be connected.  Only confirmed forest edges leave a task.
-5. Components of those edges, spread back over the equal sets.
+   one global order).  Only those postings are merged; collisions under the
+   skipped values are looked up in the signatures of the candidates alone.
+4. Stars: in every posting the document with the most company is its lead, and
+   all others are counted and confirmed against it.  A group of near copies is
+   settled so with as many pairs as it has members; a posting whose members are
+   connected by then is done.
+5. What is left: the members of the other postings are cut into blocks of bounded
+   shingle mass, and two blocks that share such a posting are one unit of work.
+   Within it collisions are counted by merging prefix postings, pairs with at
+   least T are tried best first, and each is confirmed on the full sets unless
+   the two are already known to be connected.  Only confirmed forest edges leave
+   a task.
+6. Components of all links, spread back over the equal sets.
 
 With 64 coordinates and T = 28, a pair of similarity 0.75 is missed with a
 probability below one in ten million.
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared, words
@@ -35,6 +39,7 @@ from . import shared, words
 COORDINATES, MATCHES, SHINGLE = 64, 28, 5
 NEAR_PERCENT = 75
 BLOCK_SHINGLES = 1 << 19
+STAR_PART = 512
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -70,29 +75,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = words.shingle_sets([t.translate(words.LOWER) if t else t for t in texts[a:b]], SHINGLE)
             n = np.array([len(s) for s in sets])
             sig = signatures(sets)
-            rows = np.full(b - a, -1)
-            rows[n > 0] = np.arange(len(sig))
-            h = np.zeros((b - a, 2), np.uint64)
-            for i, s in enumerate(sets):
-                if len(s):
-                    h[i] = s.sum(dtype=np.uint64), words.mix(s * _A[0] + _B[1]).sum(dtype=np.uint64)
+            h = np.array([_digest(s) for s in sets]).reshape(-1, 2)
             offsets = np.zeros(b - a + 1, np.int32)
             np.cumsum((n > 0) * COORDINATES, out=offsets[1:])
             values = pa.array(sig.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(a, b - a), pa.array(n), pa.array(h[:, 0].view(np.int64)), pa.array(h[:, 1].view(np.int64)), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [ids.slice(a, b - a), pa.array(n), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.ListArray.from_arrays(pa.array(offsets), values)],
                 names=["doc_id", "n_shingles", "h1", "h2", "sig"],
             )
 
 
-def _join_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, class, ..., text) to the sorted set as bytes."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, h1, h2, text) to the sorted set as bytes; only the text whose set has
+    those hashes counts, as several may stand under one id."""
     for batch in batches:
         texts = shared.texts_of(batch)
         for a, b in words.batches(texts):
             sets = words.shingle_sets([t.translate(words.LOWER) if t else t for t in texts[a:b]], SHINGLE)
-            cols = [batch.column(c).slice(a, b - a) for c in ("node", "class", "block", "blocks")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "class", "block", "blocks", "set"])
+            want = [batch.column(c).slice(a, b - a).to_pylist() for c in ("node", "h1", "h2")]
+            real = [(node, s.tobytes()) for node, x, y, s in zip(*want, sets) if (x, y) == _digest(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in real], pa.int64()), pa.array([r[1] for r in real], pa.binary())], names=["node", "set"])
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set, as signed integers."""
+    x = np.array([s.sum(dtype=np.uint64), words.mix(s * _A[0] + _B[1]).sum(dtype=np.uint64)], np.uint64)
+    return tuple(x.view(np.int64).tolist())
 
 
 def near(x: np.ndarray, y: np.ndarray) -> bool:
@@ -106,13 +114,43 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= NEAR_PERCENT * (len(x) + len(y) - both)
 
 
-def _forest(nodes: list[int], sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row i of keys, the rows j > i with at least MATCHES keys in common
+    and how many, by prefix and skip merging: the postings of the rarest shared
+    keys are merged, and what the longer ones hold is looked up for the rows that
+    the short ones name."""
+    m, k = sig.shape
+    keys, which, df = np.unique(sig, return_inverse=True, return_counts=True)
+    which = which.reshape(m, k)
+    freq = np.where(df[which] > 1, df[which], m + 1)
+    order = np.lexsort((which, freq), axis=1)
+    mine = np.take_along_axis(which, order, axis=1)
+    have = (freq <= m).sum(axis=1)
+    short = np.arange(k) < (have - MATCHES + 1)[:, None]
+    row, value = np.nonzero(short)[0], mine[short]
+    posted = np.argsort(value, kind="stable")
+    postings, heads = row[posted], np.searchsorted(value[posted], np.arange(len(keys) + 1))
+    for i in range(m - 1):
+        own = mine[i, short[i]]
+        lists = [postings[heads[v] : heads[v + 1]] for v in own.tolist()]
+        if not lists:
+            continue
+        js = np.unique(np.concatenate(lists))
+        js = js[np.searchsorted(js, i, "right") :]
+        if len(js):
+            hits = np.count_nonzero(sig[js] == sig[i], axis=1)
+            ok = hits >= MATCHES
+            if ok.any():
+                yield i, js[ok], hits[ok]
+
+
+def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Confirmed links between members that connect all that links connect.
-    sides: 0 or 1, where only links between the two sides are wanted, else all 0."""
-    sig = signatures(sets)
-    m = len(sets)
+    known: the component each is already in; sides: 0 or 1, where only links
+    between the two sides are wanted, else all 0."""
+    at: dict[int, int] = {}
+    root = [at.setdefault(c, i) for i, c in enumerate(known)]
     size = np.array([len(s) for s in sets])
-    root = np.arange(m)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -122,17 +160,10 @@ def _forest(nodes: list[int], sides: np.ndarray, sets: list[np.ndarray]) -> list
 
     two = bool(sides.any())
     out, pairs = [], []
-    for i in range(m - 1):
-        if two and sides[i] == 1:
-            continue
-        js = np.arange(i + 1, m)
+    for i, js, hits in collisions(signatures(sets)):
+        ok = 100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i])
         if two:
-            js = js[sides[js] == 1]
-        js = js[(100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i]))]
-        if not len(js):
-            continue
-        hits = np.count_nonzero(sig[js] == sig[i], axis=1)
-        ok = hits >= MATCHES
+            ok &= sides[js] != sides[i]
         if ok.any():
             pairs.append(np.stack([hits[ok], np.full(ok.sum(), i), js[ok]]).astype(np.int32))
     if not pairs:
@@ -147,77 +178,148 @@ def _forest(nodes: list[int], sides: np.ndarray, sets: list[np.ndarray]) -> list
     return out
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (class, lo, hi): one unit of work after another."""
-    unit, nodes, sides, sets = None, [], [], []
+LINK = "u long, v long"
+
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if len(nodes) > 1:
-            found = _forest(nodes, np.array(sides), sets)
-            if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+def _links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if pairs:
+        u, v = zip(*pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
+
+def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by unit: one after another."""
+    unit, nodes, known, sides, sets = None, [], [], [], []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("class", "lo", "hi", "node", "block", "set")]
-        for c, lo, hi, node, block, data in zip(*cols):
-            if (c, lo, hi) != unit:
-                yield from done()
-                unit, nodes, sides, sets = (c, lo, hi), [], [], []
+        cols = [batch.column(c).to_pylist() for c in ("lo", "hi", "node", "component", "block", "set")]
+        for lo, hi, node, c, block, data in zip(*cols):
+            if (lo, hi) != unit:
+                if len(nodes) > 1:
+                    yield from _links(_forest(nodes, known, np.array(sides), sets))
+                unit, nodes, known, sides, sets = (lo, hi), [], [], [], []
             nodes.append(node)
+            known.append(c)
             sides.append(int(block != lo))
             sets.append(np.frombuffer(data, np.uint64))
-    yield from done()
+    if len(nodes) > 1:
+        yield from _links(_forest(nodes, known, np.array(sides), sets))
+
+
+def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (lead, part), the lead's own set (node null) first."""
+    lead, own = None, None
+    for batch in batches:
+        found = []
+        for a, b, data in zip(*(batch.column(c).to_pylist() for c in ("lead", "node", "set"))):
+            s = np.frombuffer(data, np.uint64)
+            if b is None:
+                lead, own = a, s
+            elif a == lead and near(own, s):
+                found.append((a, b))
+        yield from _links(found)
+
+
+def _star_links(pairs: DataFrame, sets: DataFrame, scratch: shared.Scratch) -> DataFrame:
+    """The pairs (lead, node) that the full sets confirm.  A lead's partners are
+    dealt over parts of about STAR_PART, each with a copy of its set."""
+    many = scratch.cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / STAR_PART).alias("parts")), "star-parts")
+    dealt = pairs.join(many.select(F.col("lead").alias("l"), "parts"), F.col("lead") == F.col("l")).select("lead", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
+    heads = many.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    heads = heads.join(sets.select(F.col("node").alias("n"), "set"), F.col("lead") == F.col("n")).select("lead", F.lit(None).cast("long").alias("node"), "part", "set")
+    rest = dealt.join(sets.select(F.col("node").alias("n"), "set"), F.col("node") == F.col("n")).select("lead", "node", "part", "set")
+    order = ["lead", "part", F.col("node").asc_nulls_first()]
+    return heads.unionAll(rest).repartition("lead", "part").sortWithinPartitions(*order).mapInArrow(_confirm_stars, LINK)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Classes of near-duplicate documents.
 
-    Returns one row for each row of ``docs`` that has an id: doc_id, n_shingles,
-    component_id (smallest id reachable over links, itself included) and kept
-    (doc_id = component_id).  Texts are compared by their sets of five-word
-    shingles, A-Z lower-cased; two are linked from a similarity of 0.75 on.
+    Returns one row for each row of ``docs``: doc_id, n_shingles, component_id
+    (smallest id reachable over links, itself included) and kept (doc_id =
+    component_id).  Texts are compared by their sets of five-word shingles, A-Z
+    lower-cased; two are linked from a similarity of 0.75 on.
 
-    Null or wordless texts have an empty set and link with nothing.  Rows with a
-    null id name no document and are left out.  Rows repeated under one id are
-    one document and share its class.  An empty table gives an empty result.
-    Other columns are not read, whatever their names.
+    Null or wordless texts have an empty set, link with nothing and are their own
+    component.  Rows under one id are one document: what one of their texts
+    reaches, all reach that have words.  A row with a null id names no document:
+    it links with nothing, its component_id and kept are null.  An empty table
+    gives an empty result.  Other columns are not read, whatever their names.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
+    with shared.small_batches(spark):
+        return _near_duplicates(spark, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+
+
+def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = shared.Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     signed = scratch.cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "signed")
-    reps = scratch.cut(signed.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
+    full = signed.where("n_shingles > 0 and doc_id is not null")
+    reps = scratch.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
+    # a representative is a text: its document may have others
+    reps = reps.withColumn("node", F.xxhash64("h1", "h2"))
 
     posted = reps.select("node", F.explode("sig").alias("key"))
-    counts = posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
+    counts = scratch.cut(posted.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"), "counts", "zstd")
     common = posted.join(counts, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys")).where(F.size("keys") >= MATCHES)
-    prefix = scratch.cut(common.select("node", F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("x")).select("node", F.col("x.key").alias("key")), "prefix")
-    lead = prefix.groupBy("key").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
-    stars = prefix.join(lead, "key").select(F.col("node").alias("u"), "v")
-    classes = shared.components(stars, scratch, "class").withColumnRenamed("component", "class")
-
-    mass = Window.partitionBy("class").orderBy("node")
-    sized = classes.join(reps.select("node", "n"), "node").withColumn("block", F.floor((F.sum("n").over(mass) - F.col("n")) / BLOCK_SHINGLES))
-    # a block number may be skipped after a long text; units without members cost nothing
-    members = sized.join(sized.groupBy("class").agg((F.max("block") + 1).alias("blocks")), "class").select("node", "class", "block", "blocks")
-    sets = members.hint("shuffle_hash").join(docs, F.col("doc_id") == F.col("node")).select("node", "class", "block", "blocks", "text").mapInArrow(_join_sets, "node long, class long, block long, blocks long, set binary")
-    sets = scratch.cut(sets, "sets")
-    units = sets.select("class", "node", "block", "set", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    units = units.select("class", "node", "block", "set", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    links = units.repartition("class", "lo", "hi").sortWithinPartitions("class", "lo", "hi", "block", "node").mapInArrow(_confirm, "u long, v long")
-    found = shared.components(links, scratch, "link")
-    scratch.drop("prefix", "sets")
-
-    named = reps.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
+    company = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + x.df)
+    prefix = common.select("node", company.alias("company"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("x"))
+    prefix = scratch.cut(prefix.select("node", "company", F.col("x.key").alias("key")), "prefix")
+    members = scratch.cut(reps.join(prefix.select("node").distinct(), "node").select("node", "doc", "h1", "h2"), "members")
+    sets = members.join(docs, F.col("doc_id") == F.col("doc")).select("node", "h1", "h2", "text").mapInArrow(_sets, "node long, set binary")
+    sets = scratch.cut(sets.dropDuplicates(["node"]), "sets")
+
+    leads = prefix.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
+    leads = scratch.cut(leads.select("key", "lead"), "leads")
+    pairs = prefix.join(leads, "key").where("node <> lead").select("lead", "node").distinct()
+    sig = reps.select(F.col("node").alias("n1"), F.col("n").alias("size1"), F.col("sig").alias("sig1"))
+    other = sig.toDF("n2", "size2", "sig2")
+    pairs = scratch.cut(pairs, "pairs").join(sig, F.col("lead") == F.col("n1")).join(other, F.col("node") == F.col("n2"))
+    pairs = pairs.where(100 * F.least("size1", "size2") >= NEAR_PERCENT * F.greatest("size1", "size2"))
+    pairs = scratch.cut(pairs.where(F.size(F.array_intersect("sig1", "sig2")) >= MATCHES).select("lead", "node"), "matched")
+    stars = scratch.cut(_star_links(pairs, sets, scratch), "stars")
+    settled = shared.components(stars, scratch, "settled").select(F.col("node").alias("s"), "component")
+
+    # postings that still have several components; their leads have met everyone
+    led = scratch.cut(prefix.join(leads, "key").select("key", "node", (F.col("node") == F.col("lead")).alias("leads")), "led", "zstd")
+    lists = led.where("not leads").join(settled, F.col("node") == F.col("s"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    lists = scratch.cut(lists, "lists", "zstd")
+    mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v")).where("low < high")
+    mixed = scratch.cut(mixed.select("key", "v"), "mixed", "zstd")
+    left = scratch.cut(lists.join(mixed, "key"), "left", "zstd")
+    classes = scratch.cut(shared.components(left.select(F.col("node").alias("u"), "v"), scratch, "class").select(F.col("node").alias("m"), F.col("component").alias("class")), "classes")
+    sized = left.select("node", "component").distinct().join(classes, F.col("node") == F.col("m")).join(reps.select(F.col("node").alias("r"), "n"), F.col("node") == F.col("r"))
+    sized = scratch.cut(sized.select("node", "component", "class", "n"), "sized")
+    # blocks of a class: its components by hash, a large component in parts
+    parts = lambda by: scratch.cut(sized.groupBy(F.col(by).alias(f"{by}_id")).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(f"{by}_parts")), f"{by}-parts")
+    sized = sized.join(parts("class"), F.col("class") == F.col("class_id")).join(parts("component"), F.col("component") == F.col("component_id"))
+    place = F.xxhash64("class", F.pmod(F.xxhash64("component"), "class_parts"), F.pmod(F.xxhash64("node"), "component_parts"))
+    blocks = scratch.cut(sized.select("node", "component", place.alias("block")), "blocks")
+    at = left.select("key", "node").join(blocks.select("node", "block"), "node").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    units = at.select(F.explode("blocks").alias("lo"), "blocks").select("lo", F.explode(F.filter("blocks", lambda x: x >= F.col("lo"))).alias("hi")).distinct()
+    units = scratch.cut(units, "units")
+    ends = units.select("lo", "hi", F.col("lo").alias("b")).unionAll(units.where("lo < hi").select("lo", "hi", "hi"))
+    work = ends.join(blocks, F.col("block") == F.col("b")).join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
+    work = work.select("lo", "hi", "node", "component", "block", "set").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "block", "node")
+    links = stars.unionAll(work.mapInArrow(_confirm_units, LINK))
+
+    # texts of one document are one node
+    ids = full.select("doc_id", F.xxhash64("h1", "h2").alias("node"))
+    several = ids.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("doc_id", "u")
+    ties = ids.join(several, "doc_id").select("u", F.col("node").alias("v"))
+    found = scratch.cut(shared.components(links.unionAll(ties), scratch, "link"), "found")
+    scratch.drop("prefix", "sets", "lists", "left", "counts")
+
+    named = reps.select("h1", "h2", "node", "doc").join(found, "node", "left").select("h1", "h2", "doc", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("doc").alias("least"))
+    named = scratch.cut(named.join(least, "component").select("h1", "h2", "least"), "named")
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
-    own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, without near copies of a document with
-    a smaller id.  Rows with a null id stay, as do all rows of a kept id."""
+    a smaller id.  Rows with a null id stay, as do all rows of a kept id and documents
+    without words; an empty table stays empty; other columns pass through."""
     gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

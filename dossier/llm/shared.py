@@ -3,10 +3,14 @@ connected components and small Arrow helpers."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +18,15 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, and
-    only where that is unset (tests on one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a
+    session on one machine may leave it unset and gets a temporary folder; on a
+    cluster each executor would write to a disk of its own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="dossier-"))
     return _own[0]
@@ -30,10 +38,23 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch carries, since texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings that hold for the tables written inside; the caller's come back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def small_batches(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
+    """Bound what one Arrow batch carries, since texts can be long.  What runs
+    after the operator has returned has Spark's own bound of 64 MB a batch."""
+    return settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)})
 
 
 class Scratch:
@@ -76,7 +97,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     node of an edge, the component being its smallest node.
 
     Alternates large-star and small-star steps, each a partial aggregate and a
-    join, until the edges stay; every node then points at its minimum.
+    join, until the edges stay; every node then points at its minimum.  The
+    aggregates are written first: both sides of a join then come straight from an
+    exchange, and the edges of a node with very many can be split over tasks.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.cut(e, f"{name}-0")
@@ -84,14 +107,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     mark, step = digest(e), 0
     while mark[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least-{step}")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = scratch.cut(large, f"{name}-large-{step}")
+        low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{step}")
         small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.where("x.v <> x.m").select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).distinct()
+        e = scratch.cut(small, f"{name}-{step + 1}")
+        scratch.drop(f"{name}-{step}", f"{name}-least-{step}", f"{name}-large-{step}", f"{name}-low-{step}")
         step += 1
-        e = scratch.cut(small, f"{name}-{step}")
-        scratch.drop(f"{name}-{step - 1}")
         now = digest(e)
         if now == mark:
             break
@@ -100,5 +124,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return nodes.unionAll(e.select("v", "v").distinct())
 
 
+def small(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``limit`` bytes of the column ``name``, for
+    functions that run with whatever batches the caller's session makes."""
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = int(total[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(total, before + limit, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     return batch.column(name).cast(pa.large_binary()).to_pylist()
