@@ -37,7 +37,7 @@ from . import shared, words
 
 SHARPNESS = 0.35
 SAMPLES = 2
-BATCH = 4 << 20
+BATCH = 2 << 20
 LONGEST = 16
 #: Edges of remembered lattices, of 24 bytes each.
 KNOWN_EDGES = 5_000_000
@@ -547,7 +547,7 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def _segment(path: str, k: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path)
-        for batch in batches:
+        for batch in shared.small(batches, limit=BATCH):
             texts, keys = shared.texts_of(batch), batch.column("key").to_numpy().view(np.uint64)
             for a, b in words.batches(texts, BATCH):
                 plain = [(t or b"").decode("utf-8").replace("▁", " ") for t in texts[a:b]]
@@ -587,13 +587,13 @@ def segmentations(docs: DataFrame, model: str | None = None, k: int = SAMPLES, w
     have no pieces and one empty segmentation.  The sign U+2581 stands for a
     space, as in the model.  Rows with a null id have their chance from a null
     key; rows repeated under one id get the same segmentations if their texts
-    are equal.  Other columns are not read.
+    are equal.  An empty table gives an empty
+    result.  Other columns are not read, whatever their names.
     """
     if model is None:
         import public_tokenizers
 
         model = public_tokenizers.path("piece_bpe_32k.model")
-    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.lit(8), F.col(id_col).cast("long")).alias("key"), F.col(text_col).cast("string").alias("text"))
     schema = SCHEMA
     if with_ids:

@@ -23,7 +23,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_spans(table(spark, sf_dir, "documents"))
+    return passages.repeated_spans(table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op4_ball_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

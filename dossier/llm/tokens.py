@@ -263,22 +263,22 @@ def write_token_files(docs: DataFrame, tokenizer: str, scratch: shared.Scratch,
     start (the ids of all files before), a row for each file in doc_id order.
 
     Null texts are empty: a document then has the end id alone.  Rows with a null
-    id are left out.  Rows repeated under one id are written one after another.
-    Ids must fit 16 bits.
+    id are left out.  Rows repeated under one id are written one after another,
+    in an order that their texts fix.  Ids must fit 16 bits.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    ids = scratch.cut(rows.mapInArrow(_encode_texts(tokenizer), "doc_id long, part long, seq long, ids binary"), "ids", "zstd")
-    counts = np.zeros(1 << 16, np.int64)
-    # one row for each id of the vocabulary
-    for row in ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[row["id"]] = row["n"]
-    root = scratch.path("files")
-    files = scratch.cut(ids.mapInArrow(_write_files(root, huffman.code_lengths(counts)), "part long, seq long, name string, n_ids long"), "manifest")
-    scratch.drop("ids")
+    with shared.small_batches(spark):
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("order", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "order").sortWithinPartitions("doc_id", "order", "text").drop("order")
+        ids = scratch.cut(rows.mapInArrow(_encode_texts(tokenizer), "doc_id long, part long, seq long, ids binary"), "ids", "zstd")
+        counts = np.zeros(1 << 16, np.int64)
+        # one row for each id of the vocabulary
+        for row in ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[row["id"]] = row["n"]
+        root = scratch.path("files")
+        files = scratch.cut(ids.mapInArrow(_write_files(root, huffman.code_lengths(counts)), "part long, seq long, name string, n_ids long"), "manifest")
+        scratch.drop("ids")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     return root, files.select("name", "n_ids", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
 

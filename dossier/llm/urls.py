@@ -80,10 +80,9 @@ def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None,
     has an empty host and path, no rule and no hit: it is allowed.
     """
     terms = tuple(sorted((WEIGHTS if weights is None else weights).items()))
-    shared.small_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in shared.small(batches, "url"):
             out = ([], [], [], [], [])
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)

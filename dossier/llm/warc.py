@@ -245,19 +245,20 @@ def write_pages(pages: DataFrame, path: str) -> None:
     their id is the smallest.  Rows with a null page_id are left out.
     """
     pages.sparkSession.dataSource.register(WarcDataSource)
-    shared.small_batches(pages.sparkSession)
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    named = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    named = named.withColumn("payload_digest", F.sha2(F.encode("html", "utf-8"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
-    light = named.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= LEAST_PAYLOAD)
-    first = light.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("payload_digest", "first")
-    again = light.join(first, "payload_digest").where("page_id > first").select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
-    rows = named.join(again.hint("shuffle_hash"), ["page_id", "payload_digest"], "left")
-    rows.select("page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").write.format("warc").mode("append").save(path)
+    with shared.small_batches(pages.sparkSession):
+        html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+        named = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+        named = named.withColumn("payload_digest", F.sha2(F.encode("html", "utf-8"), 256)).withColumn("payload_bytes", F.octet_length("html").cast("long"))
+        light = named.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= LEAST_PAYLOAD)
+        first = light.groupBy("payload_digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("payload_digest", "first")
+        again = light.join(first, "payload_digest").where("page_id > first").select("page_id", "payload_digest", F.col("first").alias("refers_to")).distinct()
+        rows = named.join(again.hint("shuffle_hash"), ["page_id", "payload_digest"], "left")
+        rows.select("page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").write.format("warc").mode("append").save(path)
 
 
 def read(spark, path: str, payload: bool = True) -> DataFrame:
-    """The records of the archives under ``path``."""
+    """The records of the archives under ``path``.  Turns on, for the session, the
+    setting by which Spark pushes filters into Python sources."""
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
