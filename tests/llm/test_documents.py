@@ -132,10 +132,10 @@ def test_shared_prefixes_meet_across_batches(monkeypatch):
 
 
 def test_spans_do_not_depend_on_ranges(spark, corpus, monkeypatch):
-    """Runs cut by many ranges and by a small buffer meet again."""
+    """Runs dealt in parts meet again, whatever the partitions."""
     want = spans(corpus)
     before = spark.conf.get("spark.sql.shuffle.partitions")
-    monkeypatch.setattr(passages, "BUFFER", 8)
+    monkeypatch.setattr(passages, "RUN", 3)
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
         got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.repeat) for r in passages.repeated_spans(frame(spark, corpus)).collect()}
@@ -244,17 +244,70 @@ def test_mix_deals_disjoint_blocks(spark, corpus):
     rows = mixing.mix(frame(spark, corpus), shards=5, blocks=6).collect()
     shard = {}
     for r in rows:
-        assert shard.setdefault((r.source, r.block), r.shard) == r.shard
+        assert shard.setdefault((r.source, r.start), r.shard) == r.shard
         assert 0 <= r.shard < 5
     spans_ = sorted((r.source or "", r.ahead, r.words) for r in rows)
     for (s, a, n), (t, b, _) in zip(spans_, spans_[1:]):
-        assert s != t or a + n == b
-    goal = spark.createDataFrame([("a", 70.0), ("b", 30.0)], "source string, target double")
-    dealt = mixing.block_shards(goal, 8, 100, 1).groupBy("shard").count().collect()
-    assert {r["count"] for r in dealt} == {100}
+        assert s != t or a + n <= b
+    places = [r.place for r in rows]
+    assert len(set(places)) == len(places)
+
+
+def test_mix_tree_splits_exact_quotas(spark):
+    goal = spark.createDataFrame([("a", 700, 699.6), ("b", 300, 300.2), (None, 5, 0.2), ("d", 9, 1.0)], "source string, source_size long, target double")
+    quota = mixing.quotas(goal, 8, 100)
+    assert {r.source: r.quota for r in quota.collect()} == {"a": 558, "b": 240, "d": 2}
+    dealt = mixing.deal_units(quota, 8, 1)
+    assert {r["count"] for r in dealt.groupBy("shard").count().collect()} == {100}
     # the tree's counts vary as draws without replacement do
-    by = [r["count"] for r in mixing.block_shards(goal, 8, 100, 1).where("source = 'b'").groupBy("shard").count().collect()]
+    by = [r["count"] for r in dealt.where("source = 'b'").groupBy("shard").count().collect()]
     assert sum(by) == 240 and 1 < np.std(by) < 10
+    drawn = mixing.draw_blocks(dealt, 1).collect()
+    for s, words in (("a", 700), ("b", 300), ("d", 1)):
+        own = sorted((r.start, r.length) for r in drawn if r.source == s)
+        assert sum(n for _, n in own) == words
+        assert all(x + n <= y for (x, n), (y, _) in zip(own, own[1:]))
+
+
+def test_mix_follows_the_tree(spark, corpus):
+    """The same units in another tree draw other words of the same sum."""
+    docs = frame(spark, corpus)
+    one, two = ({(r.doc_id, r.size): r.taken for r in mixing.taken(docs, shards=n, blocks=b).collect()} for n, b in ((4, 8), (8, 4)))
+    assert one != two and sum(one.values()) == sum(two.values())
+
+
+def test_mix_of_equal_rows(spark):
+    rows = [(1, "one two three four five six seven eight nine ten", "a")] * 6 + [(2, "x " * 50, "b"), (3, "y " * 20, "b")]
+    got = mixing.taken(frame(spark, rows)).collect()
+    goal = next(r.target for r in got if r.source == "a")
+    assert goal == pytest.approx(130 / 3) and len(got) == 8
+    assert sum(r.taken for r in got if r.source == "a") == round(goal)
+    assert all(r.taken <= 3 * r.size for r in got)
+    other = [(1, "a b c", "s"), (1, "a b c d e f", "s"), (1, None, "s"), (1, "a b c", "t"), (1, "a b c", None)]
+    first, second = (sorted(map(str, mixing.taken(frame(spark, x)).collect())) for x in (other, other[::-1]))
+    assert first == second and len(first) == 5
+
+
+def test_mixed_documents_come_whole(spark, corpus):
+    docs = frame(spark, corpus).withColumn("shard", F.lit(1)).withColumn("index", F.lit("x"))
+    out = mixing.mixed_documents(docs, shards=4, blocks=8)
+    assert out.columns == docs.columns
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in corpus}
+    text = {i: t for i, t, _ in corpus}
+    got = Counter()
+    for r in out.collect():
+        assert r.text == text[r.doc_id]
+        got[r.doc_id] += 1
+    assert max(got.values()) <= 3
+    sums, total = Counter(), Counter()
+    for i, _, s in corpus:
+        sums[s] += got[i] * size[i]
+        total[s] += size[i]
+    want = water_filling(total)
+    assert all(abs(sums[s] - want[s]) <= 4 * max(size.values()) for s in want)
+    assert mixing.mixed_documents(frame(spark, [])).count() == 0
+    twice = mixing.mixed_documents(frame(spark, [(1, "a b", "s"), (1, "a b", "s"), (1, "a", "s"), (2, None, "s"), (None, "c d", None)]))
+    assert {(r.doc_id, r.text) for r in twice.collect()} <= {(1, "a b"), (1, "a"), (None, "c d")}
 
 
 def test_mix_awkward_rows(spark):
