@@ -8,14 +8,15 @@
    that occur more than once take part once.
 2. A first sort, of the hashes of the suffixes' first PREFIX words alone, drops
    those that no other text shares: each is compared with its neighbours.
-3. The suffixes that are left are sorted over the cluster by their words (the
+3. The suffixes that are left are sorted by their words (the
    first PREFIX as one symbol, the rest one by one) and compared with their
    neighbours: the common prefix of neighbours tells how far to the right each
    match extends, and the words to the left, compared backwards, how far to the
    left.  Together they tell which windows around a suffix other documents hold
    too; the smallest document that holds a window owns it.
-4. A run of equal prefixes that ends with its range may go on in the next one:
-   its windows, and no others, are aggregated over the cluster.
+4. Equal prefixes meet in one task, unless more than ``RUN`` suffixes have one: then
+   they are dealt over many, and their windows, and no others, are aggregated over
+   the cluster.
 """
 
 from __future__ import annotations
@@ -25,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from . import shared, words
 LENGTH, GRAM, SPAN = 50, 5, 21
 PREFIX = LENGTH - SPAN + 1
 SIDE = SPAN - 1
-BUFFER = 1 << 16
+BUFFER = RUN = 1 << 16
 _STEP = 1 << 15
 
 
@@ -181,17 +181,12 @@ MATCH = "doc long, key long, low int, high int, first long, part long, window lo
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes to ranges of starts (low to high) of windows that several
-    documents hold, with their owner; and, of runs that may go on in another
-    range, every window with its hash."""
-    task = TaskContext.get()
-    number = (task.partitionId() if task else 0) << 32
+    documents hold, with their owner; and, of runs dealt in parts, every window
+    with its hash and its suffix's part."""
     names = ("prefix", "doc", "last", "key", "place", "near", "far")
     held: tuple | None = None
-    opened = True  # the run at hand began in the range before, for all we know
 
-    def windows(prefix, right, left, doc, last, key, place, near, far) -> pa.RecordBatch:
-        nonlocal number
-        number += 1
+    def windows(part, prefix, right, left, doc, last, key, place, near, far) -> pa.RecordBatch:
         n = (far - near + 1).astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         back = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + near[row]
@@ -199,7 +194,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = words.mix(words.mix(prefix.view(np.uint64)[row] ^ r[row, SIDE - back]) + l[row, back] + back.astype(np.uint64))
         start = (place[row] - back).astype(np.int32)
         none = pa.nulls(len(row), pa.int64())
-        return _batch({"doc": doc[row], "key": key[row], "low": start, "high": start, "first": none, "part": np.full(len(row), number), "window": h.view(np.int64), "last": last[row]})
+        return _batch({"doc": doc[row], "key": key[row], "low": start, "high": start, "first": none, "part": part[row], "window": h.view(np.int64), "last": last[row]})
 
     def ranges(prefix, right, left, doc, last, key, place, near, far) -> Iterator[pa.RecordBatch]:
         n = len(prefix)
@@ -236,42 +231,26 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             none = pa.nulls(len(row), pa.int64())
             yield _batch({"doc": doc[row], "key": key[row], "low": (place[row] - b).astype(np.int32), "high": (place[row] - a).astype(np.int32), "first": first[row, a], "part": none, "window": none, "last": last[row]})
 
-    def pick(parts: tuple, a: int, b: int) -> tuple:
-        return tuple(x[a:b] for x in parts)
+    def arrays(batch: pa.RecordBatch) -> tuple:
+        x = {c: batch.column(c).to_numpy() for c in names}
+        return (x["prefix"], _codes(batch.column("right")), _codes(batch.column("left")), x["doc"], x["last"], x["key"], x["place"].astype(np.int64), x["near"].astype(np.int64), x["far"].astype(np.int64))
 
     for batch in batches:
-        if not batch.num_rows:
+        parts = batch.column("part")
+        dealt, whole = batch.filter(parts.is_valid()), batch.filter(parts.is_null())
+        if dealt.num_rows:
+            yield windows(dealt.column("part").to_numpy(), *arrays(dealt))
+        if not whole.num_rows:
             continue
-        x = {c: batch.column(c).to_numpy() for c in names}
-        parts = (x["prefix"], _codes(batch.column("right")), _codes(batch.column("left")), x["doc"], x["last"], x["key"], x["place"].astype(np.int64), x["near"].astype(np.int64), x["far"].astype(np.int64))
-        if held is not None:
-            parts = tuple(np.concatenate(v) for v in zip(held, parts))
-        p = parts[0]
-        if len(p) < BUFFER:
-            held = parts
+        held = tuple(np.concatenate(v) for v in zip(held, arrays(whole))) if held is not None else arrays(whole)
+        if len(held[0]) < BUFFER:
             continue
-        last = int(np.searchsorted(p, p[-1]))
-        if opened:
-            end = int(np.searchsorted(p, p[0], "right"))
-            yield windows(*pick(parts, 0, end))
-            opened = end == len(p)
-            parts, last = pick(parts, end, len(p)), max(0, last - end)
+        last = int(np.searchsorted(held[0], held[0][-1]))
         if last:
-            yield from ranges(*pick(parts, 0, last))
-        held = pick(parts, last, len(parts[0]))
-        if len(held[0]) >= BUFFER:  # a very long run: its parts meet later
-            yield windows(*held)
-            held, opened = None, True
+            yield from ranges(*(x[:last] for x in held))
+        held = tuple(x[last:] for x in held)
     if held is not None and len(held[0]):
-        p = held[0]
-        end = int(np.searchsorted(p, p[0], "right")) if opened else 0
-        last = max(end, int(np.searchsorted(p, p[-1])))
-        if end:
-            yield windows(*pick(held, 0, end))
-        if end < last:
-            yield from ranges(*pick(held, end, last))
-        if last < len(p):
-            yield windows(*pick(held, last, len(p)))
+        yield from ranges(*held)
 
 
 def _sums(codes: np.ndarray) -> np.ndarray:
@@ -345,14 +324,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         suffixes = scratch.cut(found, "suffixes", "zstd")
         scratch.drop("kept")
 
-        order = ["prefix", "right", "doc", "place"]
-        array = suffixes.where("place >= 0").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+        array = suffixes.where("place >= 0")
+        many = array.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > RUN)
+        many = scratch.cut(many.select(F.col("prefix").alias("hot"), F.ceil(F.col("n") / RUN).alias("shares")), "many")
+        part = F.when(F.col("hot").isNotNull(), F.xxhash64("prefix", F.pmod(F.xxhash64("key"), "shares")))
+        array = array.join(many, F.col("prefix") == F.col("hot"), "left").withColumn("part", part).drop("hot", "shares")
+        array = array.repartition(parts, "prefix", "part").sortWithinPartitions("prefix", "right", "doc", "place")
         matches = scratch.cut(array.mapInArrow(_matches, MATCH), "matches", "zstd")
         opened = matches.where("window is not null")
         owners = opened.groupBy("window").agg(F.min("doc").alias("first"), F.max("last").alias("final"), F.collect_set("part").alias("parts"))
         owners = scratch.cut(owners.where("first < final").select(F.col("window").alias("w"), F.col("first").alias("f"), F.explode("parts").alias("p")), "owners", "zstd")
         ranges = matches.where("window is null").select("doc", "key", "low", "high", "first")
-        # a window's rows meet its owner range by range, so no key is hotter than a range
+        # a window's rows meet its owner part by part, so no key is hotter than a part
         ranges = ranges.unionAll(opened.join(owners, (F.col("part") == F.col("p")) & (F.col("window") == F.col("w"))).select("doc", "key", "low", "high", F.col("f").alias("first")))
         ranges = ranges.unionAll(suffixes.where("place < 0").select("doc", "key", "near", "far", "doc"))
         rows = ranges.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high", "first")).alias("rows"))
