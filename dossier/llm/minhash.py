@@ -12,9 +12,10 @@
 4. Stars: in every posting the document with the most company is its lead, and
    all others are counted and confirmed against it.  A group of near copies is
    settled so with as many pairs as it has members; a posting whose members are
-   connected by then is done.
-5. What is left: the members of the other postings are cut into blocks of bounded
-   shingle mass, and two blocks that share such a posting are one unit of work.
+   all linked to one lead is done.
+5. What is left: the members of the other postings go to blocks of bounded shingle
+   mass, by the longest posting each has, and two blocks that share such a posting
+   are one unit of work.
    Within it collisions are counted by merging prefix postings, pairs with at
    least T are tried best first, and each is confirmed on the full sets unless
    the two are already known to be connected.  Only confirmed forest edges leave
@@ -40,6 +41,7 @@ COORDINATES, MATCHES, SHINGLE = 64, 28, 5
 NEAR_PERCENT = 75
 BLOCK_SHINGLES = 1 << 19
 STAR_PART = 512
+FLOOR = 14
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -116,9 +118,10 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
 
 def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row i of keys, the rows j > i with at least MATCHES keys in common
-    and how many, by prefix and skip merging: the postings of the rarest shared
-    keys are merged, and what the longer ones hold is looked up for the rows that
-    the short ones name."""
+    and how many, by prefix and skip merging.  Of c shared keys the c - MATCHES +
+    FLOOR rarest have postings that are merged; two rows with MATCHES keys in common
+    share FLOOR of them at least, and only for those rows the longer postings are
+    looked up, in the signatures."""
     m, k = sig.shape
     keys, which, df = np.unique(sig, return_inverse=True, return_counts=True)
     which = which.reshape(m, k)
@@ -126,17 +129,16 @@ def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     order = np.lexsort((which, freq), axis=1)
     mine = np.take_along_axis(which, order, axis=1)
     have = (freq <= m).sum(axis=1)
-    short = np.arange(k) < (have - MATCHES + 1)[:, None]
-    row, value = np.nonzero(short)[0], mine[short]
+    merged = (np.arange(k) < (have - MATCHES + FLOOR)[:, None]) & (have >= MATCHES)[:, None] & (np.arange(k) < have[:, None])
+    row, value = np.nonzero(merged)[0], mine[merged]
     posted = np.argsort(value, kind="stable")
     postings, heads = row[posted], np.searchsorted(value[posted], np.arange(len(keys) + 1))
     for i in range(m - 1):
-        own = mine[i, short[i]]
-        lists = [postings[heads[v] : heads[v + 1]] for v in own.tolist()]
-        if not lists:
+        own = mine[i, merged[i]]
+        if not len(own):
             continue
-        js = np.unique(np.concatenate(lists))
-        js = js[np.searchsorted(js, i, "right") :]
+        counts = np.bincount(np.concatenate([postings[heads[v] : heads[v + 1]] for v in own.tolist()]), minlength=m)
+        js = i + 1 + np.flatnonzero(counts[i + 1 :] >= FLOOR)
         if len(js):
             hits = np.count_nonzero(sig[js] == sig[i], axis=1)
             ok = hits >= MATCHES
@@ -144,7 +146,7 @@ def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 yield i, js[ok], hits[ok]
 
 
-def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Confirmed links between members that connect all that links connect.
     known: the component each is already in; sides: 0 or 1, where only links
     between the two sides are wanted, else all 0."""
@@ -160,7 +162,7 @@ def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sets: list[np
 
     two = bool(sides.any())
     out, pairs = [], []
-    for i, js, hits in collisions(signatures(sets)):
+    for i, js, hits in collisions(sig):
         ok = 100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i])
         if two:
             ok &= sides[js] != sides[i]
@@ -189,20 +191,25 @@ def _links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
 
 def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: one after another."""
-    unit, nodes, known, sides, sets = None, [], [], [], []
+    unit, nodes, known, sides, sigs, sets = None, [], [], [], [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if len(nodes) > 1:
+            yield from _links(_forest(nodes, known, np.array(sides), np.stack(sigs), sets))
+
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("lo", "hi", "node", "component", "block", "set")]
-        for lo, hi, node, c, block, data in zip(*cols):
+        rows = batch.column("sig").flatten().to_numpy().view(np.uint64).reshape(-1, COORDINATES)
+        for lo, hi, node, c, block, data, row in zip(*cols, rows):
             if (lo, hi) != unit:
-                if len(nodes) > 1:
-                    yield from _links(_forest(nodes, known, np.array(sides), sets))
-                unit, nodes, known, sides, sets = (lo, hi), [], [], [], []
+                yield from done()
+                unit, nodes, known, sides, sigs, sets = (lo, hi), [], [], [], [], []
             nodes.append(node)
             known.append(c)
             sides.append(int(block != lo))
+            sigs.append(row)
             sets.append(np.frombuffer(data, np.uint64))
-    if len(nodes) > 1:
-        yield from _links(_forest(nodes, known, np.array(sides), sets))
+    yield from done()
 
 
 def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +229,7 @@ def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _star_links(pairs: DataFrame, sets: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """The pairs (lead, node) that the full sets confirm.  A lead's partners are
     dealt over parts of about STAR_PART, each with a copy of its set."""
-    many = scratch.cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / STAR_PART).alias("parts")), "star-parts")
+    many = scratch.cut(pairs.groupBy("lead").agg(F.ceil(F.count("*") / STAR_PART).alias("parts")), "star-parts", "zstd")
     dealt = pairs.join(many.select(F.col("lead").alias("l"), "parts"), F.col("lead") == F.col("l")).select("lead", "node", F.pmod(F.xxhash64("node"), "parts").alias("part"))
     heads = many.select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     heads = heads.join(sets.select(F.col("node").alias("n"), "set"), F.col("lead") == F.col("n")).select("lead", F.lit(None).cast("long").alias("node"), "part", "set")
@@ -254,8 +261,8 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch = shared.Scratch(spark, "minhash")
     signed = scratch.cut(docs.mapInArrow(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sig array<long>"), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")
+    # equal sets are one text, and later one node
     reps = scratch.cut(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "reps")
-    # a representative is a text: its document may have others
     reps = reps.withColumn("node", F.xxhash64("h1", "h2"))
 
     posted = reps.select("node", F.explode("sig").alias("key"))
@@ -264,50 +271,51 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     company = F.aggregate("keys", F.lit(0).cast("long"), lambda a, x: a + x.df)
     prefix = common.select("node", company.alias("company"), F.explode(F.slice("keys", F.lit(1), F.size("keys") - MATCHES + 1)).alias("x"))
     prefix = scratch.cut(prefix.select("node", "company", F.col("x.key").alias("key")), "prefix")
-    members = scratch.cut(reps.join(prefix.select("node").distinct(), "node").select("node", "doc", "h1", "h2"), "members")
+    members = scratch.cut(reps.join(prefix.select("node").distinct(), "node").select("node", "doc", "h1", "h2", "n", "sig"), "members")
     sets = members.join(docs, F.col("doc_id") == F.col("doc")).select("node", "h1", "h2", "text").mapInArrow(_sets, "node long, set binary")
-    sets = scratch.cut(sets.dropDuplicates(["node"]), "sets")
+    ids = scratch.cut(full.groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("rows")), "ids", "zstd")
+    if not ids.where("rows > 1").isEmpty():  # equal rows under one id
+        sets = sets.dropDuplicates(["node"])
+    sets = scratch.cut(sets, "sets")
 
     leads = prefix.groupBy("key").agg(F.max_by("node", F.struct("company", "node")).alias("lead"), F.count("*").alias("n")).where("n > 1")
-    leads = scratch.cut(leads.select("key", "lead"), "leads")
+    leads = scratch.cut(leads.select("key", "lead"), "leads", "zstd")
     pairs = prefix.join(leads, "key").where("node <> lead").select("lead", "node").distinct()
-    sig = reps.select(F.col("node").alias("n1"), F.col("n").alias("size1"), F.col("sig").alias("sig1"))
+    sig = members.select(F.col("node").alias("n1"), F.col("n").alias("size1"), F.col("sig").alias("sig1"))
     other = sig.toDF("n2", "size2", "sig2")
-    pairs = scratch.cut(pairs, "pairs").join(sig, F.col("lead") == F.col("n1")).join(other, F.col("node") == F.col("n2"))
+    pairs = pairs.join(sig, F.col("lead") == F.col("n1")).join(other, F.col("node") == F.col("n2"))
     pairs = pairs.where(100 * F.least("size1", "size2") >= NEAR_PERCENT * F.greatest("size1", "size2"))
     pairs = scratch.cut(pairs.where(F.size(F.array_intersect("sig1", "sig2")) >= MATCHES).select("lead", "node"), "matched")
     stars = scratch.cut(_star_links(pairs, sets, scratch), "stars")
-    settled = shared.components(stars, scratch, "settled").select(F.col("node").alias("s"), "component")
-
-    # postings that still have several components; their leads have met everyone
-    led = scratch.cut(prefix.join(leads, "key").select("key", "node", (F.col("node") == F.col("lead")).alias("leads")), "led", "zstd")
-    lists = led.where("not leads").join(settled, F.col("node") == F.col("s"), "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    lists = scratch.cut(lists, "lists", "zstd")
-    mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("v")).where("low < high")
-    mixed = scratch.cut(mixed.select("key", "v"), "mixed", "zstd")
+
+    # postings whose members aren't all linked to one lead; their own leads have met everyone
+    settled = stars.groupBy(F.col("v").alias("s")).agg(F.min("u").alias("component"))
+    lists = prefix.join(leads, "key").where("node <> lead").join(settled, F.col("node") == F.col("s"), "left")
+    lists = scratch.cut(lists.select("key", "node", F.coalesce("component", "node").alias("component")), "lists", "zstd")
+    mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+    mixed = scratch.cut(mixed.select("key", "size"), "mixed", "zstd")
     left = scratch.cut(lists.join(mixed, "key"), "left", "zstd")
-    classes = scratch.cut(shared.components(left.select(F.col("node").alias("u"), "v"), scratch, "class").select(F.col("node").alias("m"), F.col("component").alias("class")), "classes")
-    sized = left.select("node", "component").distinct().join(classes, F.col("node") == F.col("m")).join(reps.select(F.col("node").alias("r"), "n"), F.col("node") == F.col("r"))
-    sized = scratch.cut(sized.select("node", "component", "class", "n"), "sized")
-    # blocks of a class: its components by hash, a large component in parts
-    parts = lambda by: scratch.cut(sized.groupBy(F.col(by).alias(f"{by}_id")).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(f"{by}_parts")), f"{by}-parts")
-    sized = sized.join(parts("class"), F.col("class") == F.col("class_id")).join(parts("component"), F.col("component") == F.col("component_id"))
-    place = F.xxhash64("class", F.pmod(F.xxhash64("component"), "class_parts"), F.pmod(F.xxhash64("node"), "component_parts"))
-    blocks = scratch.cut(sized.select("node", "component", place.alias("block")), "blocks")
-    at = left.select("key", "node").join(blocks.select("node", "block"), "node").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
-    units = at.select(F.explode("blocks").alias("lo"), "blocks").select("lo", F.explode(F.filter("blocks", lambda x: x >= F.col("lo"))).alias("hi")).distinct()
-    units = scratch.cut(units, "units")
-    ends = units.select("lo", "hi", F.col("lo").alias("b")).unionAll(units.where("lo < hi").select("lo", "hi", "hi"))
-    work = ends.join(blocks, F.col("block") == F.col("b")).join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
-    work = work.select("lo", "hi", "node", "component", "block", "set").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "block", "node")
+    # blocks: the members that have a posting as their longest, in parts of bounded mass
+    home = left.groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("component").alias("component"))
+    home = scratch.cut(home.join(members.select(F.col("node").alias("m"), "n", "sig"), F.col("node") == F.col("m")).drop("m"), "home")
+    parts = scratch.cut(home.groupBy(F.col("home").alias("h")).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")), "parts", "zstd")
+    blocks = home.join(parts, F.col("home") == F.col("h")).select("node", "component", "sig", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+    blocks = scratch.cut(blocks, "blocks")
+    # a block's members take part in a unit if they have a posting that reaches the other block
+    placed = left.select("key", "node").join(blocks.select(F.col("node").alias("b"), "block"), F.col("node") == F.col("b")).select("key", "node", "block")
+    reach = placed.groupBy("key").agg(F.collect_set("block").alias("blocks"))
+    units = placed.join(reach, "key").select("node", "block", F.explode("blocks").alias("other")).distinct()
+    units = scratch.cut(units.select(F.col("node").alias("member"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "units")
+    work = units.join(blocks, F.col("node") == F.col("member")).join(sets.withColumnRenamed("node", "s"), F.col("node") == F.col("s"))
+    work = work.select("lo", "hi", "node", "component", "block", "sig", "set").repartition("lo", "hi").sortWithinPartitions("lo", "hi", "block", "node")
     links = stars.unionAll(work.mapInArrow(_confirm_units, LINK))
 
     # texts of one document are one node
-    ids = full.select("doc_id", F.xxhash64("h1", "h2").alias("node"))
+    ids = ids.select("doc_id", F.xxhash64("h1", "h2").alias("node"))
     several = ids.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("last")).where("u < last").select("doc_id", "u")
     ties = ids.join(several, "doc_id").select("u", F.col("node").alias("v"))
     found = scratch.cut(shared.components(links.unionAll(ties), scratch, "link"), "found")
-    scratch.drop("prefix", "sets", "lists", "left", "counts")
+    scratch.drop("prefix", "members", "sets", "lists", "left", "counts", "ids")
 
     named = reps.select("h1", "h2", "node", "doc").join(found, "node", "left").select("h1", "h2", "doc", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("doc").alias("least"))

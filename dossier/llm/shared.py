@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+SALT = 8
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -97,25 +98,26 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     node of an edge, the component being its smallest node.
 
     Alternates large-star and small-star steps, each a partial aggregate and a
-    join, until the edges stay; every node then points at its minimum.  The
-    aggregates are written first: both sides of a join then come straight from an
-    exchange, and the edges of a node with very many can be split over tasks.
+    join, until the edges stay; every node then points at its minimum.  The edges
+    of a node are dealt over ``SALT`` keys, and its minimum to each of them, so a
+    node with very many meets it in several tasks.
     """
     e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = scratch.cut(e, f"{name}-0")
     digest = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+    salted = lambda x: x.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)))
+    everywhere = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     mark, step = digest(e), 0
     while mark[0]:
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = scratch.cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-least-{step}")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.cut(large, f"{name}-large-{step}")
-        low = scratch.cut(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-low-{step}")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = salted(both).join(everywhere(least), ["u", "salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted(large).join(everywhere(low), ["u", "salt"]).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         small = small.where("x.v <> x.m").select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).distinct()
-        e = scratch.cut(small, f"{name}-{step + 1}")
-        scratch.drop(f"{name}-{step}", f"{name}-least-{step}", f"{name}-large-{step}", f"{name}-low-{step}")
         step += 1
+        e = scratch.cut(small, f"{name}-{step}")
+        scratch.drop(f"{name}-{step - 1}")
         now = digest(e)
         if now == mark:
             break
