@@ -148,6 +148,28 @@ def first_substring(text: Column, rules: Sequence[tuple[str, str]], default: str
     return F.lit(default) if out is None else out.otherwise(F.lit(default))
 
 
+# Archetypes by what a name contains, in order of precedence; also inside words.
+ARCHETYPES = (
+    ("mining", ("mine", "mining", "nickel", "gold", "copper", "iron", "coal", "quarry", "potash", "uranium", "lithium", "diamond")),
+    ("oil_gas", ("lng", "gas", "oil", "pipeline", "petroleum", "well", "offshore", "drilling")),
+    ("transport", ("highway", "bridge", "terminal", "port", "rail", "marine", "airport", "wharf")),
+    ("hydro", ("hydro", "dam", "generating station", "reservoir")),
+    ("wind", ("wind",)),
+    ("nuclear", ("nuclear", "reactor")),
+    ("industrial", ("plant", "facility", "smelter", "refinery")),
+)
+
+
+def archetype_of(name: Column) -> Column:
+    """A name's archetype by the first keyword that it contains anywhere."""
+    return first_substring(F.coalesce(name, F.lit("")), [(k, label) for label, keys in ARCHETYPES for k in keys], "other")
+
+
+def by_tier(text: Column, tiers: Sequence[tuple[str, int]], rest: int) -> Column:
+    """The tier of the first pattern that occurs, else the last."""
+    return first_match(text, [(p, str(t)) for p, t in tiers], str(rest), ignore_case=False).cast("int")
+
+
 def category(kind: Column, name: Column | None = None, description: Column | None = None) -> Column:
     """A project's category from its type, else from its name and description."""
     rules = word_rules(CATEGORY_RULES, WHOLE_WORDS)

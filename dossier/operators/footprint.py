@@ -29,8 +29,12 @@ def footprint(rows: DataFrame) -> DataFrame:
 
 def apply_aliases(rows: DataFrame, key: str, aliases: DataFrame) -> DataFrame:
     """Keys with the canonical name of the first alias (alias, canonical, ord) that is
-    the key itself, else of the first that occurs in it as words."""
-    hit = rows.select(key).distinct().join(aliases, F.concat(F.lit(" "), F.col(key), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" "))))
+    the key itself, else of the first that occurs in it as words.  Keys meet
+    aliases on the alias's first word, so neither side needs to be small."""
+    words = F.explode(F.array_distinct(F.split(key, " ")))
+    keys, first_word = rows.select(key).distinct().withColumn("__w", words), F.split("alias", " ")[0]
+    whole = F.concat(F.lit(" "), F.col(key), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("alias"), F.lit(" ")))
+    hit = keys.join(aliases.withColumn("__a", first_word), F.col("__w") == F.col("__a")).where(whole)
     first = hit.groupBy(key).agg(F.min_by("canonical", F.struct((F.col("alias") != F.col(key)).alias("part"), "ord")).alias("canonical"))
     return rows.join(first, key, "left").withColumn("canonical", F.coalesce("canonical", key))
 

@@ -34,8 +34,10 @@ def coverage(ext: DataFrame, ours: DataFrame, idf: DataFrame, n_ours: DataFrame,
     o = ours.select("our_id", F.explode(F.array_distinct("tok")).alias("token")).join(idf.select("token", F.col("idf").alias("our_idf")), "token")
     o = o.select("our_id", "token", F.sum("our_idf").over(Window.partitionBy("our_id")).alias("our_mass"))
     anchors = e if max_df is None else e.where(F.col("df") <= max_df)
-    pairs = anchors.join(o, "token").groupBy("ext_id", "our_id")
-    return pairs.agg(F.count("*").alias("shared"), F.sum("idf").alias("mass"), F.first("ext_mass").alias("ext_mass"), F.first("our_mass").alias("our_mass"))
+    pairs = anchors.join(o, "token")
+    if max_df is not None:  # rare tokens make the pairs, all tokens weigh in them
+        pairs = pairs.select("ext_id", "our_id").distinct().join(e, "ext_id").join(o, ["our_id", "token"])
+    return pairs.groupBy("ext_id", "our_id").agg(F.count("*").alias("shared"), F.sum("idf").alias("mass"), F.first("ext_mass").alias("ext_mass"), F.first("our_mass").alias("our_mass"))
 
 
 def best_match(ext: DataFrame, ours: DataFrame, max_df: int | None = None) -> DataFrame:
@@ -61,7 +63,7 @@ def best_match(ext: DataFrame, ours: DataFrame, max_df: int | None = None) -> Da
     s = s.withColumn("s", F.col("name_score") + F.when(both, 0.25 * F.coalesce("prop_score", F.lit(0.0))).otherwise(0.0))
     km = haversine_km(F.col("e_lon"), F.col("e_lat"), F.col("o_lon"), F.col("o_lat"))
     s = s.withColumn("km", km).withColumn("s", F.col("s") + F.when(F.col("km") <= 10, 0.20).when(F.col("km") <= 35, 0.10).when((F.col("km") > 150) & (F.col("s") < STRONG), -0.15).otherwise(0.0))
-    best = s.where("s > 0").groupBy("ext_id").agg(F.max_by(F.struct("our_id", "s", "name_score"), F.struct("s", (-F.col("ord")).alias("o"))).alias("b"))
+    best = s.where("s > 0").groupBy("ext_id").agg(F.max_by(F.struct("our_id", "s", "name_score"), F.struct(F.round("s", 9).alias("s"), (-F.col("ord")).alias("o"))).alias("b"))
     out = ext.select("ext_id").join(best, "ext_id", "left")
     return out.select("ext_id", F.col("b.our_id").alias("our_id"), F.round(F.coalesce("b.s", F.lit(0.0)), 6).alias("score"), F.round(F.coalesce("b.name_score", F.lit(0.0)), 6).alias("name_score")).withColumn("verdict", verdict(F.col("score"), F.col("name_score")))
 

@@ -62,3 +62,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """Rows added and removed between two snapshots, with their multiplicity."""
     add = after.exceptAll(before).withColumn("change", F.lit("added"))
     return add.unionByName(before.exceptAll(after).withColumn("change", F.lit("removed")))
+
+
+def without(rows: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows whose column isn't the value; nulls stay."""
+    return rows.where(~F.col(column).eqNullSafe(F.lit(value)))

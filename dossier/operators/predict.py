@@ -61,3 +61,24 @@ def priors_overlay(priors: DataFrame, found: DataFrame) -> DataFrame:
     """Expected pairs, flagged where no precedent supports them."""
     keys = ["discipline", "measure_type"]
     return priors.join(found.select(*keys, "precedent_projects"), keys, "left").withColumn("flag", F.when(F.col("precedent_projects").isNull(), "expected (no precedent match yet)"))
+
+
+def top_above(rows: DataFrame, value: str, least: float, limit: int, order: list) -> DataFrame:
+    """The ``limit`` greatest values of ``least`` and more."""
+    return rows.where(F.col(value) >= least).orderBy(F.desc(value), *order).limit(limit)
+
+
+def top_counts(rows: DataFrame, key: str, limit: int, **more: Column) -> DataFrame:
+    """The ``limit`` most frequent values of a key, with further aggregates."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in more.items()]).orderBy(F.desc("n"), key).limit(limit)
+
+
+def recurring(rows: DataFrame, column: str, mapped: list[str], least: int = 3) -> DataFrame:
+    """Values that no rule maps and that recur: value and n, for promotion."""
+    known = F.col(column).isin(*mapped) if mapped else F.lit(False)
+    return rows.where(F.col(column).isNotNull() & ~known).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def by_timing(pool: DataFrame) -> DataFrame:
+    """Conditions and disciplines of each timing, none for a missing one."""
+    return pool.groupBy(F.coalesce("timing", F.lit("none")).alias("timing")).agg(F.count("*").alias("n"), F.countDistinct("discipline").alias("disciplines"))

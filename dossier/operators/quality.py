@@ -5,7 +5,9 @@ checks are one table, so a run is clean if no fail is left."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
@@ -13,6 +15,10 @@ from ..functions.geo import in_canada
 from .merge import union_all
 
 
+#: Letters of a watched name that anchor its join.
+ANCHOR = 4
+
+
 def violations(rows: DataFrame, item: Column, checks: list[tuple[str, str, Column, Column]]) -> DataFrame:
     """checks: (level, name, broken, message).  One pass over the rows."""
     found = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(level).alias("level"), F.lit(name).alias("check"), message.cast("string").alias("message"))) for level, name, bad, message in checks]))
@@ -74,10 +80,19 @@ def catalogue(docs: DataFrame, key: str, url: str, title: str) -> DataFrame:
 def known_ladder(names: DataFrame, known: DataFrame) -> DataFrame:
     """For each known project (label, variant) the best level of any of its variants:
     3 a name equals it, 2 a name starts with it, 1 a name contains it, 0 none.
-    ``known`` is a watch-list kept by hand; it is checked to be small."""
+    Names meet variants on the variant's first ``ANCHOR`` letters, so neither side
+    needs to be small; shorter variants, on all theirs."""
     low = F.lower("name")
+    known = known.withColumn("__g", F.lower(F.substring("variant", 1, ANCHOR)))
+    sizes = [r["n"] for r in known.select(F.length("__g").alias("n")).where("n > 0").distinct().collect()]  # at most ANCHOR of them
+
+    def runs_of(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("name") - (n - 1), F.lit(1))), lambda i: F.substr(low, i, F.lit(n)))
+
+    runs = [runs_of(n) for n in sorted(sizes)]
+    names = names.withColumn("__h", F.explode(F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<string>")))
     level = F.when(low == F.lower("variant"), 3).when(F.startswith(low, F.lower("variant")), 2).otherwise(1)
-    hit = names.join(known, F.contains(low, F.lower("variant"))).groupBy("label").agg(F.max(level).alias("level"))
+    hit = names.join(known, F.col("__h") == F.col("__g")).where(F.contains(low, F.lower("variant"))).groupBy("label").agg(F.max(level).alias("level"))
     return known.select("label").distinct().join(hit, "label", "left").select("label", F.coalesce("level", F.lit(0)).alias("level"))
 
 
@@ -93,3 +108,34 @@ def parity(index: DataFrame, features_: DataFrame, key: str) -> DataFrame:
 
 def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("level", "check").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
+
+
+def least_rows(rows: DataFrame, item: str, least: int) -> DataFrame:
+    """Fails where a table, such as a search index, has fewer rows than it should."""
+    n = rows.agg(F.count("*").alias("n"))
+    return violations(n, F.lit(item), [("fail", "index", F.col("n") < least, F.col("n"))])
+
+
+def major_gaps(gaps: DataFrame, least: float = 1e9) -> DataFrame:
+    """Warns of projects (name, verdict, value) of great value that nothing matches."""
+    return violations(gaps, F.col("name"), [("warn", "major_gap", (F.col("verdict") == "gap") & (F.col("value") >= least), F.col("value"))])
+
+
+def predictions(p: DataFrame) -> DataFrame:
+    """Fails for labels (id, discipline, measure_type, timing) outside their enums."""
+    outside = lambda c, known: ~F.coalesce(F.col(c).isin(*known), F.lit(False))
+    checks = [("fail", "discipline", outside("discipline", rules.DISCIPLINES), F.col("discipline")), ("fail", "measure_type", outside("measure_type", rules.MEASURE_TYPES), F.col("measure_type"))]
+    return violations(p, F.col("id"), [*checks, ("fail", "timing", F.col("timing").isNotNull() & outside("timing", rules.TIMINGS), F.col("timing"))])
+
+
+def run_checks(spark: SparkSession, checks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The rows of all checks.  One that can't even be planned is a failure of its
+    own, named, with the error as message; the others still report.  What fails
+    only as it runs ends the job, as a failed job does."""
+    found = []
+    for name, check in checks.items():
+        try:
+            found.append(check())
+        except Exception as e:
+            found.append(spark.createDataFrame([("fail", "crashed", name, f"{type(e).__name__}: {e}"[:500])], "level string, check string, item string, message string"))
+    return union_all(found)

@@ -13,7 +13,7 @@ _PLAN = r"\b([A-Z][A-Za-z]+(?:\s+[A-Za-z&-]+){0,5}\s+(?:Management|Monitoring|Pr
 
 _HEADING = r"(?:^|[\s.;])(\d{1,2})\.?\s+([A-Z][A-Za-z][^0-9.;]{2,90})"
 _DEFINITION = r"^[“\"]?[A-Za-z][^.]{0,80}\bmeans\b"
-_END = r"(?s)\b(Issuance|Original signed|Signed at|SIGNATURE)\b.*"
+_END = r"\b(?:Issuance|Original signed|Signed at|SIGNATURE)\b"
 
 
 def segments(docs: DataFrame, least: int = 120, most: int = 6000, at_least: int = 3) -> DataFrame:
@@ -25,32 +25,32 @@ def segments(docs: DataFrame, least: int = 120, most: int = 6000, at_least: int
 
 
 def region(text: Column) -> Column:
-    """From the first "Conditions" to what follows the signatures' mark."""
-    rest = F.when(text.rlike(r"\bConditions\b"), F.regexp_extract(text, r"(?s)\bConditions\b.*", 0)).otherwise(text)
-    return F.regexp_replace(rest, _END, "")
+    """The part of a document that holds conditions: from the word Conditions, or
+    the start, up to the first mark of its signatures, or the end."""
+    return F.regexp_extract(text, rf"(?s)(?:\bConditions\b|^(?!.*\bConditions\b)).*?(?={_END}|\z)", 0)
 
 
 def marked_conditions(docs: DataFrame) -> DataFrame:
     """doc_id, i, condition_no, section_title, body of numbered conditions.
 
-    Each body runs to the next mark.  A section's heading is looked for in the gap
-    before its first condition and carried on; fragments and definitions go."""
-    parts = docs.select("doc_id", region(F.col("text")).alias("r"))
-    # every piece after a split starts with what follows one mark
-    marks = F.regexp_extract_all("r", F.lit(_MARK), 1)
-    bodies = F.split("r", _MARK)
-    rows = parts.select("doc_id", F.posexplode(F.arrays_zip(marks.alias("no"), F.slice(bodies, 2, F.greatest(F.size(marks), F.lit(1))).alias("body"), F.slice(bodies, 1, F.greatest(F.size(marks), F.lit(1))).alias("gap"))).alias("i", "x"))
-    rows = rows.select("doc_id", "i", F.col("x.no").alias("condition_no"), F.trim("x.body").alias("body"), F.col("x.gap").alias("gap")).where("condition_no is not null")
-    major = F.split_part("condition_no", F.lit("."), F.lit(1))
-    rows = rows.withColumn("major", major)
-    heads = F.regexp_extract_all("gap", F.lit(_HEADING), 2)
-    nos = F.regexp_extract_all("gap", F.lit(_HEADING), 1)
-    fits = F.filter(F.arrays_zip(nos.alias("n"), heads.alias("h")), lambda h: h["n"] == F.col("major"))
-    w = Window.partitionBy("doc_id", "major").orderBy("i")
-    found = F.when(F.col("condition_no").endswith(".1") | (F.row_number().over(w) == 1), F.trim(F.try_element_at(fits, F.lit(-1))["h"]))
-    rows = rows.withColumn("found", found).withColumn("section_title", F.last("found", ignorenulls=True).over(w))
-    definition = (F.col("major") == "1") & (F.col("body").rlike(_DEFINITION) | ~F.substring("body", 1, 600).contains("shall"))
-    return rows.where((F.length("body") >= 40) & ~definition).select("doc_id", "i", "condition_no", "section_title", "body")
+    A region is a row of gaps with a mark between any two; the gap behind a mark is
+    its condition's body, the one ahead of it may end with the section's heading.
+    A section has the heading that stands ahead of its latest ".1"; until there is
+    one, the first that stands ahead of any of its marks.  Bodies under 40
+    characters and definitions are no conditions, but their headings count."""
+    gaps, marks = F.split("r", _MARK), F.regexp_extract_all("r", F.lit(_MARK), 1)
+    rows = docs.select("doc_id", region(F.col("text")).alias("r")).select("doc_id", gaps.alias("gaps"), F.posexplode(marks).alias("i", "condition_no"))
+    rows = rows.select("doc_id", "i", "condition_no", F.split_part("condition_no", F.lit("."), F.lit(1)).alias("section"), F.element_at("gaps", F.col("i") + 1).alias("ahead"), F.trim(F.element_at("gaps", F.col("i") + 2)).alias("body"))
+    numbered = F.arrays_zip(F.regexp_extract_all("ahead", F.lit(_HEADING), 1).alias("section"), F.regexp_extract_all("ahead", F.lit(_HEADING), 2).alias("title"))
+    own = F.filter(numbered, lambda h: h["section"] == F.col("section"))
+    rows = rows.withColumn("title", F.trim(F.try_element_at(own, F.lit(-1))["title"])).drop("ahead")
+    section = Window.partitionBy("doc_id", "section")
+    earliest = F.min(F.when(F.col("title").isNotNull(), F.col("i"))).over(section)
+    names = (F.col("i") == earliest) | F.col("condition_no").endswith(".1")
+    so_far = section.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("named", F.when(names, F.col("title"))).withColumn("section_title", F.last("named", ignorenulls=True).over(so_far))
+    defines = (F.col("section") == "1") & (F.col("body").rlike(_DEFINITION) | ~F.substring("body", 1, 600).contains("shall"))
+    return rows.where((F.length("body") >= 40) & ~defines).select("doc_id", "i", "condition_no", "section_title", "body")
 
 
 def plan_name(text: Column) -> Column:

@@ -82,3 +82,16 @@ def in_polygon(points: DataFrame, rings: dict[str, list[tuple[float, float]]]) -
         return out
 
     return points.withColumn("polygon", inside("lon", "lat"))
+
+
+def triggered(points: DataFrame, features: DataFrame, rules: DataFrame, cell: float = 1.0) -> DataFrame:
+    """point_id, discipline and how many features trigger it: those of a kind that a
+    rule (kind, km, discipline) names and within the rule's distance.  Features
+    meet points on the cells of each rule's envelope."""
+    fires = features.join(rules, "kind").select(F.monotonically_increasing_id().alias("f"), F.col("lon").alias("x"), F.col("lat").alias("y"), "km", "discipline")
+    w, s, e, n = envelope(F.col("x"), F.col("y"), F.col("km") * 1010)
+    wide = fires.select("*", w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
+    wide = wide.select("*", F.explode(F.sequence(_cell(F.col("w"), cell), _cell(F.col("e"), cell))).alias("cx")).select("*", F.explode(F.sequence(_cell(F.col("s"), cell), _cell(F.col("n"), cell))).alias("cy"))
+    p = points.withColumn("cx", _cell(F.col("lon"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
+    near = p.join(wide, ["cx", "cy"]).where(haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) <= F.col("km"))
+    return near.groupBy("point_id", "discipline").agg(F.count("*").alias("features"))

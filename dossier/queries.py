@@ -88,8 +88,7 @@ def weak_pool_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_COND} SELECT discipline, count(*) AS n, count(DISTINCT project) AS projects FROM cond WHERE archetype = 'BUILDING' GROUP BY 1 ORDER BY n DESC, discipline LIMIT 5")
 def bridge_top5(spark: SparkSession, d: str) -> DataFrame:
-    c = conditions(spark, d).where("project_archetype = 'BUILDING'")
-    return c.groupBy("discipline").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects")).orderBy(F.desc("n"), "discipline").limit(5)
+    return predict.top_counts(conditions(spark, d).where("project_archetype = 'BUILDING'"), "discipline", 5, projects=F.countDistinct("project"))
 
 
 @query(f"WITH {_COND} SELECT discipline, count(*) AS n FROM cond WHERE project = 'Customer#000000007' GROUP BY 1")
@@ -99,7 +98,7 @@ def obligation_fingerprint(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_COND} SELECT coalesce(timing, 'none') AS timing, count(*) AS n, count(DISTINCT discipline) AS disciplines FROM cond GROUP BY 1")
 def timeline_lens(spark: SparkSession, d: str) -> DataFrame:
-    return conditions(spark, d).groupBy(F.coalesce("timing", F.lit("none")).alias("timing")).agg(F.count("*").alias("n"), F.countDistinct("discipline").alias("disciplines"))
+    return predict.by_timing(conditions(spark, d))
 
 
 _FOUR = ["Customer#000000001", "Customer#000000002", "Customer#000000003", "Customer#000000004"]
@@ -119,9 +118,9 @@ def priors_overlay(spark: SparkSession, d: str) -> DataFrame:
     return predict.priors_overlay(priors, found)
 
 
-@query("SELECT props, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1 HAVING count(*) >= 3")
+@query("SELECT props AS value, count(*) AS n FROM events WHERE props IS NOT NULL AND props <> '{\"k\": 1}' GROUP BY 1 HAVING count(*) >= 3")
 def recurring_values(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("props").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users")).where("n >= 3")
+    return predict.recurring(table(spark, d, "events"), "props", ['{"k": 1}'], 3)
 
 
 # ---- rules
@@ -144,8 +143,8 @@ def doc_type_rules(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT page_id, CASE WHEN regexp_matches(url, '\.html') THEN 1 WHEN regexp_matches(url, '/$') THEN 2 WHEN regexp_matches(url, 'utm_|page=') THEN 3 ELSE 9 END AS tier FROM pages""")
 def tier_of(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
-    return table(spark, d, "pages").select("page_id", F.when(u.rlike(r"\.html"), 1).when(u.rlike("/$"), 2).when(u.rlike("utm_|page="), 3).otherwise(9).alias("tier"))
+    tiers = ((r"\.html", 1), ("/$", 2), ("utm_|page=", 3))
+    return table(spark, d, "pages").select("page_id", rules.by_tier(F.col("url"), tiers, 9).alias("tier"))
 
 
 _KEYWORDS = (("english", ("the ", " and ", " of ")), ("french", (" le ", " la ", " de ")), ("german", (" der ", " die ", " und ")), ("spanish", (" el ", " que ", " los ")))
@@ -203,7 +202,7 @@ def disambiguate_titles(spark: SparkSession, d: str) -> DataFrame:
     return dedupe.disambiguate(p, ["host"], "title", "date", "page_id", [tag]).select("page_id", "new_title")
 
 
-@query("SELECT p_partkey, 'p-' || left(md5(p_name), 2) || repeat('x', CAST(row_number() OVER (PARTITION BY left(md5(p_name), 2) ORDER BY p_partkey) - 1 AS INTEGER)) AS unique_id FROM part WHERE p_size = 7")
+@query("SELECT p_partkey, 'p-' || left(md5(p_name), 2) || repeat('x', CAST(row_number() OVER (PARTITION BY left(md5(p_name), 2) ORDER BY p_partkey) - 1 AS INTEGER)) AS unique_id FROM part")
 def collision_suffix(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.concat(F.lit("p-"), F.substring(F.md5("p_name"), 1, 2)).alias("id"))
     return dedupe.collision_suffix(p, "id", ["p_partkey"]).select("p_partkey", "unique_id")
@@ -340,7 +339,7 @@ def process_state(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- matching
 
-_BENCH_TOK = "list_filter(string_split_regex(lower(left(text, 120)), '[^a-z0-9]+'), lambda t: length(t) >= 4)"
+_BENCH_TOK = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: length(t) >= 4)"
 _IDF = f"""o AS (SELECT doc_id AS our_id, list_distinct({_BENCH_TOK}) AS tok, doc_id % 7 AS r FROM documents), x AS (SELECT item_id AS ext_id, list_distinct({_BENCH_TOK}) AS tok, item_id % 7 AS r FROM benchmark),
 n AS (SELECT count(*) AS n FROM o), ot AS (SELECT our_id, unnest(tok) AS token FROM o), f AS (SELECT token, count(*) AS df FROM ot GROUP BY 1), idf AS (SELECT token, df, ln((n + 1) / (df + 1)) + 1.0 AS idf FROM f, n),
 xt AS (SELECT ext_id, u.token, coalesce(idf, ln(n + 1.0) + 1.0) AS idf FROM (SELECT ext_id, unnest(tok) AS token FROM x) u LEFT JOIN idf ON idf.token = u.token, n),
@@ -428,7 +427,7 @@ _GAZ = (("the", "en", 45.0, -75.0), ("that", "en", 46.0, -76.0), ("of the", "en"
 _GRAM = lambda n, tier: f"SELECT id, {tier} AS tier, i - 1 AS k, array_to_string(w[i:i + {n - 1}], ' ') AS place, lang FROM (SELECT *, unnest(range(1, CAST(greatest(len(w) - {n - 2}, 1) AS BIGINT))) AS i FROM d)"
 
 
-@query(f"""WITH d AS (SELECT doc_id AS id, lang, list_filter(string_split_regex(lower(left(text, 200)), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM documents),
+@query(f"""WITH d AS (SELECT doc_id AS id, lang, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda t: t <> '') AS w FROM documents),
 g(place, lang, lat, lon) AS (VALUES {', '.join(str(x) for x in _GAZ)}), c AS ({_GRAM(4, 1)} UNION ALL {_GRAM(3, 2)} UNION ALL {_GRAM(2, 3)}
 UNION ALL SELECT id, 4, i - 1, s[i], lang FROM (SELECT id, lang, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT id, lang, list_filter(w, lambda t: length(t) >= 6) AS s FROM d)))
 SELECT id, place, tier, CAST(lat AS DOUBLE) AS lat, CAST(lon AS DOUBLE) AS lon FROM c JOIN g USING (place, lang) QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, k) = 1""")
@@ -627,7 +626,7 @@ def public_body_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", footprint.is_public(n).alias("public"))
 
 
-@query("""WITH e AS (SELECT user_id, event_id, value, CASE WHEN event_type IN ('view','click') THEN 'approval' ELSE 'amendment' END AS kind FROM events WHERE event_id % 40 = 1), k AS (SELECT user_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n FROM e GROUP BY 1)
+@query("""WITH e AS (SELECT user_id, event_id, value, CASE WHEN event_type IN ('view','click') THEN 'approval' ELSE 'amendment' END AS kind FROM events), k AS (SELECT user_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n FROM e GROUP BY 1)
 SELECT event_id, kinds IN ('approval','amendment,approval') AND n > 1 AS relabel FROM e JOIN k USING (user_id)""")
 def section_relabel(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type").isin("view", "click"), "approval").otherwise("amendment").alias("kind"))
@@ -644,7 +643,7 @@ def _index(spark: SparkSession, d: str) -> DataFrame:
     return search.index(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@query(f"WITH {_IX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM ix GROUP BY 1 HAVING count(*) >= 5")
+@query(f"WITH {_IX} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM ix GROUP BY 1")
 def fts_index(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
@@ -754,11 +753,13 @@ def distance_to_capital(spark: SparkSession, d: str) -> DataFrame:
 # ---- archives and pages
 
 
-@query(r"""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'qc' ELSE 'on' END || '/' || 'p' || (page_id % 5) || '/' || CASE WHEN page_id % 3 = 0 THEN coalesce(nullif(regexp_extract(url, '[?&]id=([^&#]*)', 1), ''), 'file') || '.pdf'
- WHEN b = '' OR NOT contains(b, '.') THEN left(sha1(url), 16) || '.html' ELSE b END AS key FROM (SELECT page_id, url, regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', ''), '[^/]*$') AS b FROM pages)""")
+@query(r"""WITH u AS (SELECT page_id, url || CASE page_id % 4 WHEN 1 THEN '/a%20b%2Bc.pdf' WHEN 2 THEN '/%C3%A9t%C3%A9+1.doc' ELSE '' END AS url FROM pages), b AS (SELECT *, regexp_extract(regexp_replace(regexp_replace(url, '^[A-Za-z]+://[^/?#]*', ''), '[?#].*$', ''), '[^/]*$') AS b FROM u),
+n AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN coalesce(nullif(regexp_extract(url, '[?&]id=([^&#]*)', 1), ''), 'file') || '.pdf' WHEN NOT contains(b, '.') THEN left(sha1(url), 16) || '.html' ELSE url_decode(b) END AS n FROM b)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'qc' ELSE 'on' END || '/p' || (page_id % 5) || '/' || left(regexp_replace(regexp_replace(n, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 120) AS key FROM n""")
 def object_key(spark: SparkSession, d: str) -> DataFrame:
-    j = F.when(F.col("page_id") % 3 == 0, "qc").otherwise("on")
-    return table(spark, d, "pages").select("page_id", web.object_key(j, F.concat(F.lit("p"), F.col("page_id") % 5), F.col("url")).alias("key"))
+    k = F.col("page_id")
+    url = F.concat("url", F.when(k % 4 == 1, "/a%20b%2Bc.pdf").when(k % 4 == 2, "/%C3%A9t%C3%A9+1.doc").otherwise(""))
+    return table(spark, d, "pages").select("page_id", web.object_key(F.when(k % 3 == 0, "qc").otherwise("on"), F.concat(F.lit("p"), k % 5), url).alias("key"))
 
 
 @query("""WITH o AS (SELECT 'k' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.pdf' WHEN 1 THEN '.html' ELSE '.bin' END AS path, CAST(p_size AS BIGINT) AS bytes FROM part UNION ALL SELECT 'k' || p_partkey || '.doc', 1 FROM part WHERE p_partkey % 4 = 0),
@@ -807,3 +808,6 @@ def confirm_pass(spark: SparkSession, d: str) -> DataFrame:
 def resume_unseen(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     return archive.unseen(e.select("event_id", "user_id"), e.where("event_type = 'signup' and event_id < 500").select("user_id"), "user_id").select("event_id")
+
+
+from . import more_queries  # noqa: E402,F401  registers its own

@@ -36,18 +36,26 @@ def index_table(ix: DataFrame, path: str, parts: int = 16) -> None:
 
 def if_changed(rows: DataFrame, path: str) -> bool:
     """Overwrite a Parquet table only where rows differ; whether it was written.
-    The new table is written beside the old one and moved over it."""
+    The new table is written beside the old one, the old one stepped aside and the
+    new one moved in: a crash leaves one of them under ``path`` or beside it
+    (``.next``, ``.last``), and the next call starts from what is there."""
     spark = rows.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside, last = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}{end}") for end in (".next", ".last"))
+    if not fs.exists(at) and fs.exists(last):
+        fs.rename(last, at)  # a crash between the two moves
     if fs.exists(at):
         old = spark.read.parquet(path)
         if old.columns == rows.columns and rows.exceptAll(old).isEmpty() and old.exceptAll(rows).isEmpty():
             return False
-    beside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.next")
     rows.write.mode("overwrite").parquet(f"{path}.next")
-    fs.delete(at, True)
-    fs.rename(beside, at)
+    fs.delete(last, True)
+    if fs.exists(at) and not fs.rename(at, last):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(beside, at):
+        raise OSError(f"{path}.next can't be moved")
+    fs.delete(last, True)
     return True
 
 
