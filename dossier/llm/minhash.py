@@ -41,7 +41,7 @@ COORDINATES, MATCHES, SHINGLE = 64, 28, 5
 NEAR_PERCENT = 75
 BLOCK_SHINGLES = 1 << 19
 STAR_PART = 512
-FLOOR = 14
+FLOOR, LIKELY = 14, 44
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -116,9 +116,9 @@ def near(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * both >= NEAR_PERCENT * (len(x) + len(y) - both)
 
 
-def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def collisions(sig: np.ndarray, split: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row i of keys, the rows j > i with at least MATCHES keys in common
-    and how many, by prefix and skip merging.  Of c shared keys the c - MATCHES +
+    and how many, by prefix and skip merging; with ``split``, only for i < split <= j.  Of c shared keys the c - MATCHES +
     FLOOR rarest have postings that are merged; two rows with MATCHES keys in common
     share FLOOR of them at least, and only for those rows the longer postings are
     looked up, in the signatures."""
@@ -130,10 +130,12 @@ def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     mine = np.take_along_axis(which, order, axis=1)
     have = (freq <= m).sum(axis=1)
     merged = (np.arange(k) < (have - MATCHES + FLOOR)[:, None]) & (have >= MATCHES)[:, None] & (np.arange(k) < have[:, None])
-    row, value = np.nonzero(merged)[0], mine[merged]
+    probed = merged.copy()
+    probed[:split] = False  # only the far side is posted
+    row, value = np.nonzero(probed)[0], mine[probed]
     posted = np.argsort(value, kind="stable")
     postings, heads = row[posted], np.searchsorted(value[posted], np.arange(len(keys) + 1))
-    for i in range(m - 1):
+    for i in range(split or m - 1):
         own = mine[i, merged[i]]
         if not len(own):
             continue
@@ -146,10 +148,20 @@ def collisions(sig: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
                 yield i, js[ok], hits[ok]
 
 
-def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+def near_any(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """``near`` of one set and each of several, in one go."""
+    size = np.array([len(y) for y in others])
+    flat = np.concatenate(others)
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    both = np.add.reduceat((x[at] == flat).astype(np.int64), np.cumsum(size) - size)
+    return 100 * both >= NEAR_PERCENT * (len(x) + size - both)
+
+
+def _forest(nodes: list[int], known: list[int], split: int, sig: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Confirmed links between members that connect all that links connect.
-    known: the component each is already in; sides: 0 or 1, where only links
-    between the two sides are wanted, else all 0."""
+    known: the component each is already in; split: how many belong to the first
+    of two sides, where only links between sides are wanted, else 0."""
     at: dict[int, int] = {}
     root = [at.setdefault(c, i) for i, c in enumerate(known)]
     size = np.array([len(s) for s in sets])
@@ -160,23 +172,32 @@ def _forest(nodes: list[int], known: list[int], sides: np.ndarray, sig: np.ndarr
             i = root[i]
         return i
 
-    two = bool(sides.any())
-    out, pairs = [], []
-    for i, js, hits in collisions(sig):
-        ok = 100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i])
-        if two:
-            ok &= sides[js] != sides[i]
-        if ok.any():
-            pairs.append(np.stack([hits[ok], np.full(ok.sum(), i), js[ok]]).astype(np.int32))
-    if not pairs:
-        return out
-    hits, left, right = np.concatenate(pairs, axis=1)
-    order = np.argsort(-hits, kind="stable")
-    for i, j in zip(left[order].tolist(), right[order].tolist()):
+    out = []
+
+    def link(i: int, j: int) -> None:
         a, b = find(i), find(j)
-        if a != b and near(sets[i], sets[j]):
+        if a != b:
             root[max(a, b)] = min(a, b)
             out.append((nodes[i], nodes[j]))
+
+    likely, rest = [], []
+    for i, js, hits in collisions(sig, split):
+        ok = 100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i])
+        sure = ok & (hits >= LIKELY)
+        likely += [(-h, i, j) for h, j in zip(hits[sure].tolist(), js[sure].tolist())]
+        ok &= ~sure
+        if ok.any():
+            rest.append((i, js[ok]))
+    for _, i, j in sorted(likely):  # the best first: they settle most of the others
+        if find(i) != find(j) and near(sets[i], sets[j]):
+            link(i, j)
+    for i, js in rest:
+        own = find(i)
+        js = [j for j in js.tolist() if find(j) != own]
+        for first in range(0, len(js), STAR_PART):
+            part = js[first : first + STAR_PART]
+            for j in np.flatnonzero(near_any(sets[i], [sets[j] for j in part])).tolist():
+                link(i, part[j])
     return out
 
 
@@ -195,7 +216,7 @@ def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     def done() -> Iterator[pa.RecordBatch]:
         if len(nodes) > 1:
-            yield from _links(_forest(nodes, known, np.array(sides), np.stack(sigs), sets))
+            yield from _links(_forest(nodes, known, sides.count(0) if 1 in sides else 0, np.stack(sigs), sets))
 
     for batch in batches:
         cols = [batch.column(c).to_pylist() for c in ("lo", "hi", "node", "component", "block", "set")]
