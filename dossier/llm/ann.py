@@ -182,15 +182,15 @@ def nearest(rows: DataFrame, k: int = 5, every: int = vectors.QUERY_EVERY, id_co
     Vectors that are null, empty, zero or hold null or non-finite components take
     no part, nor do rows with a null id.  Equal vectors are indexed once, with
     the ids that can matter.  Vectors of another length than most take no
-    part.  Rows
-    repeated under one id count once.  A query whose buckets hold too few
+    part.  Of several vectors under one id the smallest, component by component,
+    counts.  A query whose buckets hold too few
     candidates is searched in all buckets.  Other columns are
     not read.
     """
     spark = rows.sparkSession
     scratch = shared.Scratch(spark, "ann")
     v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & vectors.sound("v") & F.exists("v", lambda x: x != 0))
-    v = vectors.one_length(scratch.cut(v.dropDuplicates(["vec_id"]), "vectors"), "v")
+    v = vectors.one_length(scratch.cut(v.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"), "v")
     items = scratch.cut(vectors.collapse(v, "v", k + 1), "items")
     queries = v.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
 

@@ -136,7 +136,7 @@ def top_products(rows: DataFrame, k: int = 5, scale: int = 256, every: int = vec
     v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where(F.col("vec_id").isNotNull() & vectors.sound("x"))
     # + 0.0 makes -0.0 and 0.0 one vector
     v = v.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("double") + F.lit(0.0)).alias("v"))
-    v = vectors.one_length(scratch.cut(v.dropDuplicates(["vec_id"]), "vectors"), "v")
+    v = vectors.one_length(scratch.cut(v.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"), "v")
     items = scratch.cut(vectors.collapse(v, "v", k + 1), "items")
     shards = max(1, -(-items.count() // SHARD))
     home = lambda c: F.pmod(F.xxhash64(c), F.lit(shards))

@@ -4,7 +4,8 @@
 2. Expectation-maximisation over the counts of vote patterns (at most 3 ** m of
    them, whatever the corpus) estimates the prior and each labeller's chance of
    each vote for either class, and so the posterior of every pattern.
-3. Posteriors label a sample of at most about ``SAMPLE`` documents, which trains
+3. Posteriors label a sample of at most about ``SAMPLE`` documents and about
+   ``SAMPLE_WORDS`` words, which trains
    a logistic scorer over hashed features: word shapes, pairs of shapes and
    binned statistics.  The sample is the one thing here that doesn't cover all
    documents; its bound is this parameter.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import shared, words
 
-SAMPLE = 10_000
+SAMPLE, SAMPLE_WORDS = 10_000, 8_000_000
 BUCKETS = 1 << 14
 ROUNDS, RATE, PENALTY = 400, 0.5, 1e-5
 
@@ -102,7 +103,7 @@ class Features:
             axis=1,
         )
         self.votes = np.where(self.stats >= _FROM, -1, np.where(self.stats <= _UP_TO, 1, 0))
-        self.votes[n[:, None] < _LEAST] = 1
+        self.votes[n[:, None] < _LEAST] = 0  # too short to tell
         # shapes: runs of equal classes count once
         shape = _SHAPE[data]
         starts = np.zeros(len(data), bool)
@@ -153,11 +154,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[Features]:
 
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(3 ** len(LABELLERS), np.int64)
+    total, words_ = np.zeros(3 ** len(LABELLERS), np.int64), np.zeros(3 ** len(LABELLERS))
     for f in _features(batches):
-        total += np.bincount(_codes(f.votes[f.n > 0]), minlength=len(total))
+        codes = _codes(f.votes[f.n > 0])
+        total += np.bincount(codes, minlength=len(total))
+        words_ += np.bincount(codes, weights=f.n[f.n > 0], minlength=len(total))
     used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], names=["pattern", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used]), pa.array(words_[used].astype(np.int64))], names=["pattern", "n", "words"])
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,12 +229,14 @@ def fit(docs: DataFrame) -> Model:
     spark = docs.sparkSession
     with shared.small_batches(spark):
         texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        rows = texts.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
+        rows = texts.select("text").mapInArrow(_patterns, "pattern long, n long, words long").groupBy("pattern").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).orderBy("pattern").collect()
         codes, counts = np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
         good, chance, prior = accuracies(codes, counts) if len(rows) else (np.zeros(0), np.zeros((len(LABELLERS) + 1, len(LABELLERS), 3)), 0.5)
         posterior = dict(zip(codes.tolist(), good.tolist()))
         span = 1 << 20
-        share = min(span, int(np.ceil(span * SAMPLE / max(1.0, counts.sum()))))
+        # in a word's features as well as in documents: what comes to the driver is bounded
+        whole = max(1.0, float(sum(r["words"] for r in rows)))
+        share = min(span, int(np.ceil(span * min(SAMPLE / max(1.0, counts.sum()), SAMPLE_WORDS / whole))))
         sample = texts.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)) < share).select("text")
         index, value, labels = [], [], []
         for r in sample.mapInArrow(_examples, "pattern long, index array<long>, value array<double>").limit(2 * SAMPLE).toLocalIterator():
@@ -267,7 +272,9 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, all columns as they are."""
+    """The rows of ``docs`` that the classifier keeps, all columns as they are.
+    Null texts and texts without words go; rows with a null id and repeated rows are
+    judged like any other; an empty table stays empty."""
     weights = (model or fit(docs)).weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

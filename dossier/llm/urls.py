@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,11 +18,49 @@ from pyspark.sql import functions as F
 from . import shared
 
 REJECT = 2
-STRICT = ("adult", "casino", "cheap-pills", "hentai", "phishing", "porn", "pornhub", "sex", "spam", "spam-farm", "viagra", "xxx")
-SOFT = ("ads", "bet", "bets", "bonus", "buy", "cheap", "click", "coupon", "deal", "discount", "farm", "free", "gamble", "jackpot", "loan", "lottery", "pills", "poker", "prize", "sale", "slots", "track", "tracker", "win")
-WEIGHTS = {**dict.fromkeys(SOFT, 1), **dict.fromkeys(STRICT, REJECT)}
-#: (verdict, host, path)
-RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+
+
+def load_terms(path: str | Path) -> dict[str, int]:
+    """Weights of terms from a table of two columns: strict or soft, and the term.
+    The table goes to every task; it is a vocabulary kept by hand, not data."""
+    rows = [line.split("\t") for line in Path(path).read_text(encoding="utf-8").splitlines() if line]
+    return {term: REJECT if kind == "strict" else 1 for kind, term in rows}
+
+
+def load_rules(path: str | Path) -> tuple[tuple[str, str, str], ...]:
+    """(verdict, host, path) from a table of these columns."""
+    return tuple(tuple(line.split("\t")) for line in Path(path).read_text(encoding="utf-8").splitlines() if line)
+
+
+WEIGHTS = load_terms(Path(__file__).with_name("url_terms.tsv"))
+RULES = load_rules(Path(__file__).with_name("url_rules.tsv"))
+
+
+class Rules:
+    """A trie of host labels from the last to the first; a node has the paths of its
+    rules, by length."""
+
+    def __init__(self, rules):
+        self.root: dict = {}
+        for verdict, host, path in rules:
+            node = self.root
+            for label in reversed(host.split(".")):
+                node = node.setdefault(label, {})
+            node.setdefault("", {}).setdefault(len(path), {})[path] = (host + path, verdict)
+
+    def find(self, host: str, path: str) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule, in all its characters, whose host is
+        this one or a parent of it and whose path starts this one."""
+        node, best = self.root, None
+        for label in reversed(host.split(".")):
+            node = node.get(label) if label else None
+            if node is None:
+                break
+            for size, paths in node.get("", {}).items():
+                found = paths.get(path[:size]) if size <= len(path) else None
+                if found and (best is None or len(found[0]) > len(best[0])):
+                    best = found
+        return best
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -64,22 +103,17 @@ def hits(text: str, terms: tuple[tuple[str, int], ...]) -> dict[str, int]:
     return found
 
 
-def find_rule(host: str, path: str, rules) -> tuple[str, str] | None:
-    """(rule, verdict) of the longest rule whose host is this one or a parent of
-    it and whose path starts this one."""
-    fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    return max(fits, key=lambda x: len(x[0]), default=None)
-
-
 def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, host, path, rule (null where none fits), weight (of the distinct
     terms that hit host and path, A-Z lower-cased) and verdict: the rule's, else
     block from a weight of ``REJECT`` on, else allow.
 
-    One row for each row, null ids included.  A null url or one without '://'
+    One row for each row, null ids and repeated rows included; whole urls are read,
+    however long; other columns are not.  A null url or one without '://'
     has an empty host and path, no rule and no hit: it is allowed.
     """
     terms = tuple(sorted((WEIGHTS if weights is None else weights).items()))
+    known = Rules(rules)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in shared.small(batches, "url"):
@@ -87,7 +121,7 @@ def judge(pages: DataFrame, rules=RULES, weights: dict[str, int] | None = None,
             for url in batch.column("url").to_pylist():
                 host, path = split_url(url)
                 weight = sum(hits(f"{host}{path}".translate(_lower), terms).values())
-                rule = find_rule(host, path, rules)
+                rule = known.find(host, path)
                 verdict = rule[1] if rule else "block" if weight >= REJECT else "allow"
                 for column, x in zip(out, (host, path, rule and rule[0], weight, verdict)):
                     column.append(x)

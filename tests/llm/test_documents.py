@@ -367,6 +367,68 @@ def test_weak_labels_find_each_kind():
     assert prior == pytest.approx(0.7, abs=0.05)
 
 
+def plain_em(votes, counts, rounds):
+    """The same model, one pattern and one labeller at a time."""
+    m = len(votes[0])
+    share = []
+    for v in votes:
+        bad = [j for j in range(m) if v[j] < 0]
+        start = [0.0 if bad else 1.0] + [1 / len(bad) if j in bad else 0.0 for j in range(m)]
+        share.append([0.98 * x + 0.02 / (m + 1) for x in start])
+    for _ in range(rounds):
+        weight = [[n * s for s in row] for n, row in zip(counts, share)]
+        prior = [(sum(w[c] for w in weight) + 0.1) / (sum(counts) + 0.1 * (m + 1)) for c in range(m + 1)]
+        chance = [[{x: sum(w[c] for w, v in zip(weight, votes) if v[j] == x) + 0.1 for x in (-1, 0, 1)} for j in range(m)] for c in range(m + 1)]
+        for row in chance:
+            for d in row:
+                total = sum(d.values())
+                for x in d:
+                    d[x] /= total
+        for i, v in enumerate(votes):
+            p = [prior[c] * float(np.prod([chance[c][j][v[j]] for j in range(m)])) for c in range(m + 1)]
+            share[i] = [x / sum(p) for x in p]
+    return [row[0] for row in share], prior[0], chance
+
+
+def test_accuracies_equal_plain_estimation():
+    rng = np.random.default_rng(6)
+    votes = rng.integers(-1, 2, (40, len(quality.LABELLERS)))
+    codes, at = np.unique(quality._codes(votes), return_index=True)
+    counts = rng.integers(1, 90, len(codes)).astype(float)
+    good, chance, prior = quality.accuracies(codes, counts, rounds=7)
+    want, want_prior, want_chance = plain_em(votes[at].tolist(), counts.tolist(), 7)
+    assert good == pytest.approx(want, abs=1e-9) and prior == pytest.approx(want_prior)
+    for c, row in enumerate(want_chance):
+        for j, d in enumerate(row):
+            assert chance[c, j] == pytest.approx([d[-1], d[0], d[1]])
+
+
+def test_scorer_equals_plain_training(monkeypatch):
+    monkeypatch.setattr(quality, "ROUNDS", 25)
+    rng = random.Random(9)
+    texts = [noisy(rng, i % 6).encode() for i in range(30)] + [b"", None, b"one"]
+    f = quality.Features(texts)
+    rows = [f.sparse(i) for i in range(30)]
+    good = np.array([rng.random() for _ in range(30)])
+    got = quality.train([r[0] for r in rows], [r[1] for r in rows], good)
+    w, seen = np.zeros(quality.BUCKETS + 1), np.full(quality.BUCKETS + 1, 1e-6)
+    x = np.zeros((30, quality.BUCKETS + 1))
+    x[:, -1] = 1
+    for i, (index, value) in enumerate(rows):
+        x[i, index] = value
+    for _ in range(25):
+        error = (1 / (1 + np.exp(-(x @ w))) - good) / 30
+        slope = x.T @ error
+        slope[:-1] += quality.PENALTY * w[:-1]
+        seen += slope**2
+        w -= quality.RATE * slope / np.sqrt(seen)
+    assert got == pytest.approx(w, abs=1e-9)
+    scores = f.scores(got)
+    assert scores[:30] == pytest.approx(x @ w, abs=1e-9)
+    # too short for a labeller: no vote of its
+    assert all(v == 0 for v, least in zip(f.votes[32], quality._LEAST) if least > 1)
+
+
 def test_token_files_equal_the_library(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer

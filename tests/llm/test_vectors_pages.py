@@ -113,6 +113,56 @@ def test_urls(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_rules_against_a_list():
+    import random
+
+    rng = random.Random(4)
+    label = lambda: rng.choice(("a", "b", "org", "x"))
+    rules = [(rng.choice(("allow", "block")), ".".join(label() for _ in range(rng.randrange(1, 4))), "/" + "/".join(label() for _ in range(rng.randrange(3)))) for _ in range(60)]
+    rules = list({h + p: (v, h, p) for v, h, p in rules}.values())
+    known = urls.Rules(rules)
+    for _ in range(2000):
+        host, path = ".".join(label() for _ in range(rng.randrange(1, 5))), "/" + "/".join(label() for _ in range(rng.randrange(4)))
+        fits = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        got = known.find(host, path)
+        assert (got is None) == (not fits)
+        assert got is None or (got in fits and len(got[0]) == max(len(f[0]) for f in fits))
+    assert known.find("", "") is None
+
+
+def test_long_and_repeated_urls(spark):
+    rows = [(1, "http://a.net/" + "x/" * 50_000 + "porn", 1), (1, "http://a.net/free/bonus", 2), (1, "http://a.net/free/bonus", 2)]
+    got = sorted(r.verdict for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, host int")).collect())
+    assert got == ["block"] * 3
+
+
+def test_recall_over_ten_thousand_vectors(spark):
+    """64 dimensions, against a scan of all rows."""
+    v = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack(v["embedding"].to_numpy()).astype(np.float64)
+    ids = v["vec_id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in ann.nearest(spark.read.parquet("/root/testdata/check_s/embeddings.parquet")).collect():
+        got.setdefault(r.query_id, []).append(r.score)
+    q = np.flatnonzero(ids % 50 == 0)
+    assert len(ids) > 10_000 and x.shape[1] == 64 and set(got) == set(ids[q].tolist())
+    hits = 0
+    for i in q:
+        s = x @ x[i]
+        s[i] = -2
+        least = np.sort(s)[-5]
+        hits += sum(y >= least - 1e-9 for y in got[int(ids[i])])
+    assert hits / (5 * len(q)) >= 0.9
+
+
+def test_several_vectors_under_one_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (2, [3.0, 0.5])]
+    for f in (ann.nearest, mips.top_products):
+        one, two = ([tuple(r) for r in f(spark.createDataFrame(x, "vec_id long, embedding array<float>")).collect()] for x in (rows, rows[::-1]))
+        assert sorted(one) == sorted(two) and len(one) == 2
+
+
 def test_hits_against_patterns():
     terms = tuple(sorted(urls.WEIGHTS.items()))
     for text in ("cheap-pills.net/x", "cheap-pillsx", "xxx", "axxx", "free free bets", "pornhub.porn", "spam-farm", ""):
