@@ -16,27 +16,32 @@ from dossier.llm.shared import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the weak-label classifier rejects go."""
+    """Documents that the weak-label classifier rejects go, as do those without words
+    (null or empty texts).  Null ids and repeated rows are judged like any other."""
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies stays, the one with the smallest id."""
+    """One document of each class of near copies stays, the one with the smallest id.
+    Rows under one id are one document; rows with a null id, null or empty texts stay."""
     return minhash.keep_one(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of passages of 50 words or more are cut from the texts."""
+    """Later copies of passages of 50 words or more are cut from the texts.  Rows with
+    a null id or text pass as they are; a text that is a later copy is left empty."""
     return passages.cut_repeats(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it, in shuffled shards.
+    Null sources are one source; documents without words are in no shard."""
     return mixing.mixed_documents(docs)
 
 
 def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The encoding of every text and its sampled segmentations."""
+    """The encoding of every text and its sampled segmentations.  A null text has no
+    pieces; rows with a null id are encoded too."""
     return pieces.segmentations(docs)
 
 
@@ -48,8 +53,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("segment", segment),
 ]
 
-#: The classifier's fit and the sampled segmentations are beyond SQL; both are
-#: tested against brute-force versions.
+#: The classifier's fit and the sampled segmentations are beyond SQL: tests hold
+#: every stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
