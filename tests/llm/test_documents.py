@@ -497,3 +497,57 @@ def test_samples_follow_the_lattice_without_replacement():
         chance = p[a] * p[b] / (1 - p[a])
         assert times / n == pytest.approx(chance, abs=4 * np.sqrt(chance / n) + 1e-3)
     assert all(len(set(r)) == 3 for r in rows)
+
+
+def test_token_files_of_repeated_ids(spark):
+    rows = [(2, "b b", "s"), (1, "second text", "s"), (1, "a", "s"), (1, "a", "s"), (3, None, "s"), (4, "long " * 60_000, "s")]
+    one, two = (sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.round_trip(frame(spark, x).withColumn("start", F.lit("x")).withColumn("part", F.lit(1))).collect()) for x in (rows, rows[::-1]))
+    assert one == two and len(one) == 6
+    at = 0
+    for _, start, n, _ in sorted(one, key=lambda r: r[1]):
+        assert start == at
+        at += n
+
+
+def test_segmentations_of_awkward_rows(spark):
+    rows = [(None, "no id here", "s"), (1, "same text", "s"), (1, "same text", "s"), (2, None, None), (3, "", "s"), (4, "Wort " * 50_000 + "x" * 200_000, "s")]
+    docs = frame(spark, rows).withColumn("samples", F.lit("x")).withColumn("key", F.lit(1)).withColumn("ids", F.lit(2))
+    got = pieces.segmentations(docs).collect()
+    assert len(got) == len(rows) and all(r.decoded and all(s.decoded for s in r.samples) for r in got)
+    same = [r for r in got if r.doc_id == 1]
+    assert [s.ids for s in same[0].samples] == [s.ids for s in same[1].samples]
+    assert all(r.n_pieces == 0 and len(r.samples) == 1 and not r.samples[0].ids for r in got if r.doc_id in (2, 3))
+    assert pieces.segmentations(frame(spark, [])).count() == 0
+
+
+def test_segmentation_does_not_depend_on_the_batch(monkeypatch, spark, corpus):
+    """The same samples, whatever was remembered and however batches are cut."""
+    want = {r.doc_id: r for r in pieces.segmentations(frame(spark, corpus)).collect()}
+    import public_tokenizers
+
+    coder = pieces.Coder(public_tokenizers.path("piece_bpe_32k.model"))
+    for a in range(0, len(corpus), 7):
+        part = [(t or "").replace("▁", " ") for _, t, _ in corpus[a : a + 7]]
+        coder.prepare(["other words than these, and again other words"] * 2 + part[::-1])
+    texts = [(t or "") for _, t, _ in corpus]
+    sp = coder.v.sp
+    _, _, ids = coder.prepare(texts)
+    assert [x.tolist() for x in ids] == [sp.encode(t) for t in texts]
+    assert all(want[i].ids == x.tolist() for (i, _, _), x in zip(corpus, ids))
+
+
+def test_mix_settings_and_folders(spark):
+    from dossier.llm import shared
+
+    before = dict(spark.sparkContext.getConf().getAll())
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    minhash.near_duplicates(frame(spark, [(1, "a b", "s")])).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch
+    assert dict(spark.sparkContext.getConf().getAll()) == before
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared.work_dir(Far)

@@ -210,3 +210,18 @@ def test_filters_are_pushed_and_payloads_passed_over(spark, tmp_path, monkeypatc
     warc.write_pages(pages(spark, [(i, "u", "x" * 150) for i in range(4)]), path)
     df = warc.read(spark, path).where("record_type = 'revisit'")
     assert sorted(r.page_id for r in df.collect()) == [1, 2, 3]
+
+
+def test_archives_of_repeated_page_ids(spark):
+    long = "p" * 300
+    rows = [(1, "u", long), (1, "u", long), (1, "v", "other " * 40), (2, "u", long), (3, "u", "other " * 40)]
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages(spark, rows)).collect())
+    assert got == [(1, "response", None)] * 3 + [(2, "revisit", 1), (3, "revisit", 1)]
+
+
+def test_searches_with_clashing_names(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)], "x", "y", 1) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string, ids string, rep int")
+    for f in (ann.nearest, mips.top_products):
+        got = f(df).collect()
+        assert len(got) == 15 and {r.query_id for r in got} == {0, 50, 100}
