@@ -22,25 +22,23 @@ def register(pool: DataFrame, archetype: str, disciplines: list[str], jurisdicti
     Groups by discipline and measure type; (other, other) never counts.  The
     numerator counts distinct projects, the denominator distinct project ids (or
     names) of the archetype in the whole pool, at least 1.  typical_timing is the
-    most frequent timing, of equals the one seen first.  One pass pre-aggregates
-    by project and by timing ahead of the shuffle.
+    most frequent timing, of equals the one seen first.  All figures but the
+    denominator are taken from one pre-aggregate; Spark reuses its exchange.
     """
     pool = pool if not jurisdictions else pool.where(F.col("jurisdiction").isin(jurisdictions))
     same = F.col("project_archetype") == archetype
     base = pool.where(same).agg(F.greatest(F.countDistinct(F.coalesce(F.nullif("project_id", F.lit("")), F.col("project"))), F.lit(1)).alias("n_base"))
     rows = pool.where((same if strong else ~same) & hits(disciplines) & ~((F.col("discipline") == "other") & (F.col("measure_type") == "other")))
     key = ["discipline", "measure_type"]
-    groups = rows.groupBy(*key).agg(
-        F.countDistinct("project").alias("precedent_projects"),
-        F.min("ord").alias("first_ord"),
-        F.min_by(F.substring("measure_text", 1, 300), "ord").alias("sample_condition"),
-        F.min_by("source_doc", "ord").alias("sample_source"),
-    )
-    few = rows.select(*key, "project").distinct().withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy("project"))).where("__rn <= 4")
+    # all figures come from one partial aggregate, by project, timing and jurisdiction
+    cells = rows.groupBy(*key, "project", "timing", "jurisdiction").agg(F.count("*").alias("n"), F.min(F.when(F.col("ord").isNotNull(), F.struct("ord", F.substring("measure_text", 1, 300).alias("text"), "source_doc"))).alias("first"))
+    groups = cells.groupBy(*key).agg(F.countDistinct("project").alias("precedent_projects"), F.min("first").alias("first"))
+    groups = groups.select(*key, "precedent_projects", F.col("first.ord").alias("first_ord"), F.col("first.text").alias("sample_condition"), F.col("first.source_doc").alias("sample_source"))
+    few = cells.select(*key, "project").distinct().withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy("project"))).where("__rn <= 4")
     examples = few.groupBy(*key).agg(F.array_sort(F.collect_list("project")).alias("examples"))
-    timing = rows.where(F.coalesce("timing", F.lit("")) != "").groupBy(*key, "timing").agg(F.count("*").alias("n"), F.min("ord").alias("o"))
+    timing = cells.where(F.coalesce("timing", F.lit("")) != "").groupBy(*key, "timing").agg(F.sum("n").alias("n"), F.min("first.ord").alias("o"))
     typical = timing.groupBy(*key).agg(F.max_by("timing", F.struct("n", (-F.col("o")).alias("o"))).alias("typical_timing"))
-    where = rows.groupBy(*key, "jurisdiction").agg(F.count("*").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("jurisdiction", "n")))).alias("jurisdictions"))
+    where = cells.groupBy(*key, "jurisdiction").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("jurisdiction", "n")))).alias("jurisdictions"))
     out = groups.join(examples, key).join(typical, key, "left").join(where, key).crossJoin(F.broadcast(base))
     frequency = F.concat(F.col("precedent_projects").cast("string"), F.lit("/"), F.col("n_base").cast("string"), F.lit(" comparable projects"))
     return out.withColumn("frequency", frequency).drop("n_base").orderBy(F.desc("precedent_projects"), "first_ord")

@@ -51,12 +51,25 @@ def match_all(ix: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def bm25(ix: DataFrame, wanted: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Documents that hold any term, by BM25, with ln(1 + (n - df + .5)/(df + .5))."""
+    """Documents that hold any term, by BM25, with ln(1 + (n - df + .5)/(df + .5)),
+    from an index."""
     lengths = ix.groupBy("doc").agg(F.first("doc_len").alias("doc_len"))
     corpus = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))
-    hit = ix.where(F.col("term").isin(wanted))
+    return _bm25(ix.where(F.col("term").isin(wanted)), corpus, k1, b)
+
+
+def bm25_texts(docs: DataFrame, id_col: str, text: Column, wanted: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As ``bm25``, from the texts: only occurrences of the wanted terms leave the
+    scan, so nothing else is exploded or shuffled."""
+    words = docs.select(F.col(id_col).alias("doc"), terms(text).alias("w")).where(F.size("w") > 0)
+    corpus = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avg_len"))
+    found = words.select("doc", F.size("w").alias("doc_len"), F.explode(F.filter("w", lambda t: t.isin(wanted))).alias("term"))
+    return _bm25(found.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len")), corpus, k1, b)
+
+
+def _bm25(hit: DataFrame, corpus: DataFrame, k1: float, b: float) -> DataFrame:
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
-    x = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))
+    x = hit.join(F.broadcast(df), "term").crossJoin(F.broadcast(corpus))  # a row for each wanted term, and one
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     score = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len")))
     return x.groupBy("doc").agg(F.round(F.sum(score), 6).alias("score"))

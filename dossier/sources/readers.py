@@ -1,11 +1,12 @@
 """Readers.  Each attaches the place a row came from, as order decides ties.
 
 A missing path gives an empty frame of the schema, a body that isn't what it
-should be gives no rows: extracts of one source must not stop the others."""
+should be gives no rows
+(``quarantine`` names those): extracts of one source must not stop the others."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -38,6 +39,21 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
+def quarantine(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``json_rows`` leaves out: file and body of every malformed object."""
+    if not exists(spark, path):
+        return empty(spark, "_file string, body string")
+    rows = spark.read.schema(f"{schema}, __bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
+    return rows.select(F.col("_metadata.file_path").alias("_file"), F.col("__bad").alias("body")).where("body is not null")
+
+
+def nested(spark: SparkSession, path: str, field: str, element: str) -> DataFrame:
+    """Elements of an array that is a field of a file's first object: [{field: [...]}]."""
+    rows = json_rows(spark, path, f"{field} array<struct<{element}>>")
+    first = rows.select("_file", F.col(field), F.row_number().over(Window.partitionBy("_file").orderBy(F.monotonically_increasing_id())).alias("n")).where("n = 1")
+    return first.select("_file", F.posexplode(field).alias("pos", "x")).select("_file", "pos", "x.*")
+
+
 def geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     """Features: lon, lat (null without a sound point), the properties named and
     pos.  A MultiPoint counts by its first point."""

@@ -154,3 +154,67 @@ def test_rollup_and_public_bodies(spark):
 def test_order_does_not_depend_on_partitions(spark, parts):
     df = spark.range(100).select((F.col("id") % 7).alias("k"), "id").repartition(parts)
     assert rows(dedupe.keep_first(df, ["k"], ["id"]), "k", "id") == [(i, i) for i in range(7)]
+
+
+def test_malformed_files_are_named(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"searchResults": [{"_id": "1"}, {"_id": "2"}]}, {"searchResults": [{"_id": "3"}]}]')
+    (tmp_path / "b.json").write_text('{"searchResults": [')
+    got = sorted((r.pos, r._id) for r in readers.nested(spark, str(tmp_path), "searchResults", "_id:string").collect())
+    assert got == [(0, "1"), (1, "2")]
+    bad = readers.quarantine(spark, str(tmp_path), "searchResults array<struct<_id:string>>").collect()
+    assert [r._file.rpartition("/")[2] for r in bad] == ["b.json"]
+    assert readers.quarantine(spark, str(tmp_path / "none"), "x int").count() == 0
+
+
+def test_table_moves_in_only_when_it_changed(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    one, two = spark.range(3), spark.range(4)
+    assert writers.if_changed(one, path) and not writers.if_changed(spark.range(3), path)
+    assert writers.if_changed(two, path) and spark.read.parquet(path).count() == 4
+    (tmp_path / "t").rename(tmp_path / "t.last")  # as a crash between the moves leaves it
+    assert not writers.if_changed(spark.range(4), path) and spark.read.parquet(path).count() == 4
+
+
+@pytest.mark.parametrize(("place", "want"), [("Kincardine to Milton", "Kincardine"), ("City of Greater Sudbury (north)", "Greater Sudbury"), ("near the Town of Ajax, ", "Ajax"), ("x; y", None), (None, None), ("Lot 5, Township of Perth; other", "Perth"), ("between Bath and Odessa", "Bath")])
+def test_places(spark, place, want):
+    from dossier.functions import text
+
+    assert spark.createDataFrame([(place,)], "x string").select(text.municipality(F.col("x")).alias("m")).first().m == want
+
+
+def test_keys_and_links(spark):
+    from dossier.functions import web
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(web.object_key(F.lit("on"), F.lit("P%201"), F.lit("https://x/a/My%20File%2b.pdf?q"))) == "on/P_1/My_File_.pdf"
+    assert one(web.object_key(F.lit("on"), F.lit("p"), F.lit("https://x/a/plain"))).endswith(".html")
+    assert one(web.object_key(F.lit("bc"), F.lit("p"), F.lit("https://x/document/" + "a1" * 12 + "/download"))) == "bc/p/" + "a1" * 12 + ".pdf"
+    assert one(web.object_key(F.lit("bc"), F.lit("p"), F.lit("https://x/"))) == "bc/p/file"
+    assert one(web.object_key(F.lit("qc"), F.lit("p"), F.lit("https://x/dl/"))) == "qc/p/file.pdf"
+    assert one(web.object_key(F.lit("federal"), F.lit("p"), F.lit("https://x/y.doc"))) == "federal/p/y.doc"
+    assert one(web.clean_url(F.lit("https://a/é [x]?b c#d"))) == "https://a/%C3%A9%20%5Bx%5D?b%20c"
+    assert one(web.followed(F.lit("https://a/outage/mine"), F.lit("environment"), 0)) is False
+    assert one(web.followed(F.lit(None).cast("string"), F.lit("environment"), 0)) is False
+
+
+def test_crosswalk_refuses_strangers(spark):
+    from dossier.operators import enrich
+
+    seed = spark.createDataFrame([("a",), ("b",)], "k string")
+    known = spark.createDataFrame([("P1",)], "pid string")
+    good = spark.createDataFrame([("a", "P1"), ("b", None)], "k string, pid string")
+    assert enrich.crosswalk(seed, good, "k", known, "pid").count() == 2
+    for bad in ([("a", "P1")], [("a", "P1"), ("b", "P9")]):
+        with pytest.raises(ValueError):
+            enrich.crosswalk(seed, spark.createDataFrame(bad, "k string, pid string"), "k", known, "pid")
+
+
+def test_instruments(spark):
+    from dossier.functions import text
+
+    pages = ["NOTICE OF REVOCATION NUMBER 1234-ABCDEF Issue Date: April 5, 2013", "AMENDMENT TO RENEWABLE ENERGY APPROVAL NUMBER 1111-222222", "RENEWABLE ENERGY APPROVAL", "You are notified that I have amended Approval No. 1234-ABCDEF, issued on May 2, 2012", "lunch"]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string")
+    got = [r for r in df.select("i", *[c.alias(k) for k, c in text.instrument(F.col("p")).items()]).orderBy("i").collect()]
+    assert [r.kind for r in got] == ["revocation", "amendment", "approval", "amendment", "other"]
+    assert (got[0].issue_date, got[0].rea_number) == ("2013-04-05", "1234-ABCDEF")
+    assert (got[3].amends_number, got[3].amends_date) == ("1234-ABCDEF", "2012-05-02")
