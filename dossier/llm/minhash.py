@@ -13,9 +13,9 @@
    all others are counted and confirmed against it.  A group of near copies is
    settled so with as many pairs as it has members; a posting whose members are
    all linked to one lead is done.
-5. What is left: the members of the other postings go to blocks of bounded shingle
-   mass, by the longest posting each has, and two blocks that share such a posting
-   are one unit of work.
+5. What is left: the members of the other postings gather in blocks of bounded
+   shingle mass, by the longest posting within ``HOPS`` steps, and two blocks that
+   share such a posting are one unit of work.
    Within it collisions are counted by merging prefix postings, pairs with at
    least T are tried best first, and each is confirmed on the full sets unless
    the two are already known to be connected.  Only confirmed forest edges leave
@@ -42,6 +42,7 @@ NEAR_PERCENT = 75
 BLOCK_SHINGLES = 1 << 19
 STAR_PART = 512
 FLOOR, LIKELY = 14, 44
+HOPS = 3
 _rng = np.random.default_rng(75)
 _A = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -316,8 +317,14 @@ def _near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
     mixed = scratch.cut(mixed.select("key", "size"), "mixed", "zstd")
     left = scratch.cut(lists.join(mixed, "key"), "left", "zstd")
-    # blocks: the members that have a posting as their longest, in parts of bounded mass
-    home = left.groupBy("node").agg(F.max_by("key", F.struct("size", "key")).alias("home"), F.first("component").alias("component"))
+    # blocks: members gather at the longest posting within a few steps, in parts of bounded mass
+    best = left.select("key", "node", F.struct("size", "key").alias("post"))
+    for step in range(HOPS):
+        at = best.groupBy("node").agg(F.max("post").alias("post")).select(F.col("node").alias("n"), "post")
+        if step + 1 < HOPS:
+            top = left.select("key", "node").join(at, F.col("node") == F.col("n")).groupBy("key").agg(F.max("post").alias("post")).withColumnRenamed("key", "k")
+            best = left.select("key", "node").join(scratch.cut(top, f"top-{step}", "zstd"), F.col("key") == F.col("k")).select("key", "node", "post")
+    home = left.groupBy("node").agg(F.first("component").alias("component")).join(at, F.col("node") == F.col("n")).select("node", "component", F.col("post.key").alias("home"))
     home = scratch.cut(home.join(members.select(F.col("node").alias("m"), "n", "sig"), F.col("node") == F.col("m")).drop("m"), "home")
     parts = scratch.cut(home.groupBy(F.col("home").alias("h")).agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts")), "parts", "zstd")
     blocks = home.join(parts, F.col("home") == F.col("h")).select("node", "component", "sig", F.xxhash64("home", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
