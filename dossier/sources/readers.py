@@ -39,12 +39,12 @@ def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("_file", F.col("_metadata.file_path"))
 
 
-def quarantine(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """What ``json_rows`` leaves out: file and body of every malformed object."""
+def quarantine(spark: SparkSession, path: str) -> DataFrame:
+    """What ``json_rows`` leaves out: file and body of everything that is no JSON."""
     if not exists(spark, path):
         return empty(spark, "_file string, body string")
-    rows = spark.read.schema(f"{schema}, __bad string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").json(path)
-    return rows.select(F.col("_metadata.file_path").alias("_file"), F.col("__bad").alias("body")).where("body is not null")
+    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("value").alias("body"))
+    return rows.where(F.try_parse_json("body").isNull())
 
 
 def nested(spark: SparkSession, path: str, field: str, element: str) -> DataFrame:
