@@ -14,10 +14,12 @@ CANADA = (-141.5, 41.5, -52.0, 84.0)
 
 
 def haversine_km(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Great-circle distance; null where a coordinate is missing."""
     p1, p2 = F.radians(lat1), F.radians(lat2)
     dp, dl = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     h = F.pow(F.sin(dp / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(dl / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    # least() passes over nulls, so a missing place would be at the antipode
+    return F.when(h.isNotNull(), 2 * EARTH_KM * F.asin(F.least(F.lit(1.0), F.sqrt(h))))
 
 
 def envelope(lon: Column, lat: Column, metres: float) -> tuple[Column, Column, Column, Column]:

@@ -476,7 +476,7 @@ def nearby_projects(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH p AS (SELECT c_nationkey, c_custkey, {_LON.format('c_custkey')} AS lon, {_LAT.format('c_custkey')} AS lat FROM customer),
 l AS (SELECT *, lag(lon) OVER w AS x, lag(lat) OVER w AS y FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))
-SELECT c_nationkey, round(coalesce(sum(2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2))))), 0), 6) AS km, count(*) AS points FROM l GROUP BY 1""")
+SELECT c_nationkey, round(coalesce(sum(CASE WHEN x IS NOT NULL THEN 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(lat - y) / 2), 2) + cos(radians(y)) * cos(radians(lat)) * pow(sin(radians(lon - x) / 2), 2)))) END), 0), 6) AS km, count(*) AS points FROM l GROUP BY 1""")
 def path_length(spark: SparkSession, d: str) -> DataFrame:
     from .plans.tables import lonlat
 

@@ -218,3 +218,11 @@ def test_instruments(spark):
     assert [r.kind for r in got] == ["revocation", "amendment", "approval", "amendment", "other"]
     assert (got[0].issue_date, got[0].rea_number) == ("2013-04-05", "1234-ABCDEF")
     assert (got[3].amends_number, got[3].amends_date) == ("1234-ABCDEF", "2012-05-02")
+
+
+def test_distance_of_a_missing_place_is_unknown(spark):
+    from dossier.functions import geo
+
+    df = spark.createDataFrame([(0.0, 0.0, 0.0, 90.0), (None, 0.0, 0.0, 90.0), (0.0, 0.0, 0.0, None)], "a double, b double, c double, d double")
+    got = [r.km for r in df.select(geo.haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("km")).collect()]
+    assert got[0] == pytest.approx(6371.0 * 3.141592653589793 / 2) and got[1:] == [None, None]
