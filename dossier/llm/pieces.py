@@ -37,10 +37,10 @@ from . import shared, words
 
 SHARPNESS = 0.35
 SAMPLES = 2
-BATCH = 2 << 20
+BATCH = 1 << 20
 LONGEST = 16
 #: Edges of remembered lattices, of 24 bytes each.
-KNOWN_EDGES = 5_000_000
+KNOWN_EDGES = 2_500_000
 _FAINT = -46.0
 _MARK = 0x2581
 _WIDTH = 192
@@ -260,7 +260,7 @@ def truncated(mass: float, top: float, u: float) -> float:
 class Known:
     """Numbers of chunks by hash: open addresses, looked up many at a time."""
 
-    def __init__(self, bits: int = 21):
+    def __init__(self, bits: int = 20):
         self.mask = np.int64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
         self.numbers = np.zeros(1 << bits, np.int32)
