@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, minhash, mips, mixing, passages, pieces, quality, sharding, tokens, urls, warc
+from . import ann, divergence, minhash, mips, mixing, passages, pieces, quality, sharding, tokens, turns, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_balanced_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
@@ -121,6 +129,74 @@ m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS f FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND f < page_id THEN f END AS refers_to FROM m"""
 
+ORACLE["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x60\x7B-\x7F]+') AS ts FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM w GROUP BY 1, 2 HAVING count(DISTINCT i) >= 3),
+c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY 1),
+n AS (SELECT lang, source, sum(c)::HUGEINT AS n FROM c GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(n.n, 0) + v.v) AS p,
+    1 + (1000000000::HUGEINT * (k.c + 1)) // (v.n + v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
+#: crc32 of the ASCII text k, bit by bit.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(range(1, length(k) + 1), lambda i: unicode(substr(k, i, 1))::UBIGINT),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda i: 0::UBIGINT)),
+      lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384::UBIGINT) ELSE x // 2 END), 4294967295::UBIGINT))"""
+
+
+def _then(state: str, cost: str, edit: str, when: str = "true") -> str:
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': ({state}).c + {cost}, 'a': ({state}).a || '{edit}'}} END"
+
+
+def _edits(state: str, role: str) -> str:
+    """A turn x that is kept or gets the role, behind a state."""
+    given = [_then(state, "2 + x.t", "R", "NOT x.m")] if role in "ua" else []
+    return ", ".join([_then(state, "x.t", "K", f"NOT x.m AND x.r = '{role}'"), *given])
+
+
+#: From the least (cost, audit) of each state, s[1] start, s[2] after s, s[3] after u,
+#: s[4] after a, to those behind one more turn and the turns inserted after it.
+_TURN = f"""list_transform([[{_then("s[1]", "3", "D")},
+    list_min([{_then("s[2]", "3", "D")}, {_edits("s[1]", "s")}]),
+    list_min([{_then("s[3]", "3", "D")}, {_edits("s[1]", "u")}, {_edits("s[2]", "u")}, {_edits("s[4]", "u")}]),
+    list_min([{_then("s[4]", "3", "D")}, {_edits("s[3]", "a")}])]],
+  lambda e: list_transform([list_min([e[3], {_then("e[1]", "2", "I")}, {_then("e[2]", "2", "I")}, {_then("e[4]", "2", "I")}])],
+    lambda u: [e[1], e[2], u, list_min([e[4], {_then("u", "2", "I")}])])[1])[1]"""
+
+ORACLE["op12_conversation_repair"] = rf"""
+WITH k AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC} % 20 AS way FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role,
+    CASE way WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE way WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM h),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM d),
+f AS (SELECT *, t = '' AS b, t <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS d,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM n),
+g AS (SELECT *, NOT b AND NOT d AND t NOT SIMILAR TO '(.|\n)*[.!?]' AS c FROM f),
+v AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (b) AS blank, count(*) FILTER (d) AS duplicate,
+    count(*) FILTER (c) AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+    list({{'m': b OR d, 't': c::BIGINT, 'r': left(role, 1), 'role': role, 'text': text}} ORDER BY n) AS xs FROM g GROUP BY conv_id),
+s AS (SELECT *, list_reduce(xs, lambda s, x: {_TURN}, [{{'c': 0::BIGINT, 'a': ''}}, NULL, {{'c': 2::BIGINT, 'a': 'I'}}, {{'c': 4::BIGINT, 'a': 'II'}}]) AS s FROM v),
+w AS (SELECT * EXCLUDE (s), list_min([s[1], s[4]]) AS w FROM s),
+o AS (SELECT *, list_reduce(list_filter(string_split(w.a, ''), lambda e: e <> ''), lambda q, e: list_transform([CASE WHEN e = 'K' THEN xs[q.i].role WHEN q.s = 2 THEN 'assistant' ELSE 'user' END],
+    lambda r: {{'i': q.i + CASE WHEN e = 'I' THEN 0 ELSE 1 END, 's': CASE WHEN e = 'D' THEN q.s ELSE CASE left(r, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END END,
+      'o': CASE WHEN e = 'D' THEN q.o ELSE list_append(q.o, r || ':' || CASE WHEN e = 'I' THEN '' ELSE xs[q.i].text END) END}})[1],
+    {{'i': 1::BIGINT, 's': 0, 'o': []::VARCHAR[]}}).o AS o FROM w),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(w.c, 0) AS cost, coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(o, chr(10)), '')) AS repaired_sha256
+FROM a LEFT JOIN o ON a.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
