@@ -113,10 +113,10 @@ def crosswalk_checked(spark: SparkSession, d: str) -> DataFrame:
     return enrich.crosswalk(table(spark, d, "nation"), r, "n_regionkey", r.select("pid"), "pid").select("n_nationkey", "n_name", "n_regionkey", "pid")
 
 
-@query("""WITH l(label, match) AS (VALUES ('A', 'gear'), ('B', 'red bolt'), ('C', 'no such'), ('D', 'Small')), e AS (SELECT p_partkey AS o, p_name AS title, 'l' || p_partkey AS link FROM part WHERE p_partkey % 3 <> 0)
+@query("""WITH l(label, match) AS (VALUES ('A', 'gear'), ('B', 'red bolt'), ('C', 'no such'), ('D', 'Small'), ('E', 'idge'), ('F', 'e w'), ('G', 't')), e AS (SELECT p_partkey AS o, p_name AS title, 'l' || p_partkey AS link FROM part WHERE p_partkey % 3 <> 0)
 SELECT label, arg_min(title, o) AS title, arg_min(link, o) AS link FROM l JOIN e ON contains(lower(title), lower(match)) GROUP BY 1""")
 def layer_titles(spark: SparkSession, d: str) -> DataFrame:
-    layers = spark.createDataFrame([("A", "gear"), ("B", "red bolt"), ("C", "no such"), ("D", "Small")], "label string, match string")
+    layers = spark.createDataFrame([("A", "gear"), ("B", "red bolt"), ("C", "no such"), ("D", "Small"), ("E", "idge"), ("F", "e w"), ("G", "t")], "label string, match string")
     k = F.col("p_partkey")
     return enrich.layer_titles(layers, table(spark, d, "part").select(k.alias("ord"), F.col("p_name").alias("title"), F.when(k % 3 != 0, F.concat(F.lit("l"), k)).otherwise("").alias("link")))
 
@@ -360,7 +360,7 @@ def coverage_rare_anchors(spark: SparkSession, d: str) -> DataFrame:
     return c.select("ext_id", "our_id", "shared", F.round("mass", 6).alias("mass"))
 
 
-@query("""WITH o AS (SELECT p_partkey AS our_id, list_distinct(string_split(p_name, ' ')) AS tok, list_distinct([lower(p_brand), lower(p_type)]) AS prop FROM part), x AS (SELECT s_suppkey AS ext_id, ['red', 'small', 'gizmo'] AS tok, ['brand#' || (s_suppkey % 25 + 1), 'promo'] AS prop FROM supplier WHERE s_suppkey <= 40),
+@query("""WITH o AS (SELECT p_partkey AS our_id, list_distinct(string_split(p_name, ' ')) AS tok, list_distinct([lower(p_brand), lower(p_type)]) AS prop FROM part), x AS (SELECT s_suppkey AS ext_id, ['red', 'small', 'gizmo'] AS tok, ['brand#' || (s_suppkey % 25 + 1), 'promo'] AS prop FROM supplier),
 n AS (SELECT count(*) AS n FROM o), ot AS (SELECT our_id, unnest(tok) AS token FROM o), idf AS (SELECT token, ln((any_value(n) + 1) / (count(*) + 1)) + 1.0 AS w FROM ot, n GROUP BY 1), xt AS (SELECT ext_id, u.token, coalesce(w, ln(n + 1.0) + 1.0) AS w FROM (SELECT ext_id, unnest(tok) AS token FROM x) u LEFT JOIN idf ON idf.token = u.token, n),
 xp AS (SELECT ext_id, u.token, coalesce(w, ln(n + 1.0) + 1.0) AS w FROM (SELECT ext_id, unnest(prop) AS token FROM x) u LEFT JOIN idf ON idf.token = u.token, n), op AS (SELECT our_id, unnest(prop) AS token FROM o),
 ns AS (SELECT ext_id, our_id, sum(xt.w) / any_value(em) AS ns FROM xt JOIN ot USING (token) JOIN (SELECT ext_id, sum(w) AS em FROM xt GROUP BY 1) USING (ext_id) GROUP BY 1, 2), pm AS (SELECT ext_id, sum(w) AS pm FROM xp GROUP BY 1), ps AS (SELECT ext_id, our_id, sum(w) AS h FROM xp JOIN op USING (token) GROUP BY 1, 2),
@@ -370,7 +370,7 @@ def proponent_boost(spark: SparkSession, d: str) -> DataFrame:
     nowhere = F.lit(None).cast("double")
     ours = table(spark, d, "part").select(F.col("p_partkey").alias("our_id"), F.col("p_partkey").alias("ord"), F.array_distinct(F.split("p_name", " ")).alias("tok"), F.array_distinct(F.array(F.lower("p_brand"), F.lower("p_type"))).alias("prop_tok"), nowhere.alias("lon"), nowhere.alias("lat"))
     k = F.col("s_suppkey")
-    ext = table(spark, d, "supplier").where(k <= 40).select(k.alias("ext_id"), F.array(*map(F.lit, ("red", "small", "gizmo"))).alias("tok"), F.array(F.concat(F.lit("brand#"), k % 25 + 1), F.lit("promo")).alias("prop_tok"), nowhere.alias("lon"), nowhere.alias("lat"))
+    ext = table(spark, d, "supplier").select(k.alias("ext_id"), F.array(*map(F.lit, ("red", "small", "gizmo"))).alias("tok"), F.array(F.concat(F.lit("brand#"), k % 25 + 1), F.lit("promo")).alias("prop_tok"), nowhere.alias("lon"), nowhere.alias("lat"))
     return match.best_match(ext, ours).select("ext_id", "score", "name_score")
 
 
@@ -403,7 +403,7 @@ def without_overlay(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH r(trigger, km, discipline) AS (VALUES ('R0', 300.0, 'wetlands'), ('R1', 150.0, 'noise'), ('R2', 50.0, 'noise')), s AS (SELECT s_suppkey AS k, s_nationkey % 3 AS kind, -140.0 + (s_suppkey * 7919) % 8700 / 100.0 AS lon, 42.0 + (s_suppkey * 104729) % 4100 / 100.0 AS lat FROM supplier),
-p AS (SELECT c_custkey AS k, -140.0 + (c_custkey * 7919) % 8700 / 100.0 AS lon, 42.0 + (c_custkey * 104729) % 4100 / 100.0 AS lat FROM customer WHERE c_custkey <= 150)
+p AS (SELECT c_custkey AS k, -140.0 + (c_custkey * 7919) % 8700 / 100.0 AS lon, 42.0 + (c_custkey * 104729) % 4100 / 100.0 AS lat FROM customer)
 SELECT p.k AS point_id, discipline, count(*) AS features FROM p, s JOIN r ON trigger = 'R' || kind WHERE 2 * 6371.0 * asin(least(1.0, sqrt(pow(sin(radians(s.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - p.lon) / 2), 2)))) <= km GROUP BY 1, 2""")
 def triggered_disciplines(spark: SparkSession, d: str) -> DataFrame:
     def places(name: str, key: str) -> DataFrame:
@@ -412,7 +412,7 @@ def triggered_disciplines(spark: SparkSession, d: str) -> DataFrame:
 
     table_ = spark.createDataFrame([("R0", 300.0, "wetlands"), ("R1", 150.0, "noise"), ("R2", 50.0, "noise")], "kind string, km double, discipline string")
     features = places("supplier", "s_suppkey").select(F.concat(F.lit("R"), F.col("s_nationkey") % 3).alias("kind"), "lon", "lat")
-    points = places("customer", "c_custkey").where("c_custkey <= 150").select(F.col("c_custkey").alias("point_id"), "lon", "lat")
+    points = places("customer", "c_custkey").select(F.col("c_custkey").alias("point_id"), "lon", "lat")
     return spatial.triggered(points, features, table_)
 
 

@@ -31,6 +31,9 @@ FILE_LINK = r"(?i)href=[\"']?(/050/documents/[^\"'\s>]+)"
 DOC_DATE = r"(?i)<meta\s+name=\"Document Date\"\s+content=\"(\d{4}-\d{2}-\d{2})"
 DOC_REF = r"(?i)Document reference number:\s*</strong>\s*([^<\s][^<]*?)\s*<"
 
+#: First letters by which matches meet titles.
+GRAM = 4
+
 
 def lookup(rows: DataFrame, key: Column, found: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """``rows`` with ``columns`` of ``found``, null where the key isn't there.
@@ -134,8 +137,8 @@ def variants_of(names: DataFrame, variants: DataFrame, least: int = 6) -> DataFr
     letters or more, it contains; names without any stay, with a null target.
 
     names: name_id, name; variants: target, variant, ord.  Containment is found by
-    the variant's first word's three letters: names are cut into all runs of three
-    letters, so the join is on equal keys, and checked afterwards.
+    the variant's first ``least`` letters: names are cut into all runs of as many, so
+    the join is on equal keys, and checked afterwards.
     """
     n = names.select("name_id", text.norm_company(F.col("name")).alias("__n"))
     v = variants.select("target", F.col("ord").alias("__o"), text.norm_company(F.col("variant")).alias("__v")).where("__v <> ''")
@@ -162,12 +165,15 @@ def crosswalk(seed: DataFrame, mapping: DataFrame, key: str, known: DataFrame, i
 
 def layer_titles(layers: DataFrame, entries: DataFrame) -> DataFrame:
     """For each layer (label, match) the first entry (ord, title, link) with a link
-    whose title is or contains the match.  Entries are met on the match's first
-    word, so a title that holds it inside another word isn't met."""
-    word = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    e = entries.where(F.nullif("link", F.lit("")).isNotNull()).select("ord", "title", "link", F.explode(F.array_distinct(word(F.col("title")))).alias("__w"))
-    m = layers.select("label", "match", word(F.col("match"))[0].alias("__w"))
-    hit = m.join(e, "__w").where(F.contains(F.lower("title"), F.lower("match")))
+    whose title contains the match, inside a word or across words.  Titles are cut
+    into all runs of one to ``GRAM`` letters and met on the match's first letters; an
+    empty match is in every title."""
+    title = F.lower(F.coalesce("title", F.lit("")))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - (n - 1), F.lit(1))), lambda i: F.substr(title, i, F.lit(n)))
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *(runs(n) for n in range(1, GRAM + 1))))
+    e = entries.where(F.nullif("link", F.lit("")).isNotNull()).select("ord", "title", "link", F.explode(grams).alias("__w"))
+    m = layers.select("label", "match", F.lower(F.substring("match", 1, GRAM)).alias("__w"))
+    hit = m.join(e, "__w").where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("match")))
     return hit.groupBy("label").agg(F.min_by(F.struct("title", "link"), "ord").alias("b")).select("label", "b.title", "b.link")
 
 

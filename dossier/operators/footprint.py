@@ -7,13 +7,36 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
-# Words of public bodies, those that always exclude, and those that keep a name in.
-LEAD_PUBLIC = r"(?i)^(ministry|minister|government|department|city|town|township|municipality|county|region|regional municipality|village|district) of\b"
-PUBLIC = r"(?i)\b(ministry|government|department|municipality|municipal|county|township|city|town|village|regional district|conservation authority)\b"
-KEEP = r"(?i)\b(hydro|power|energy|mining|mines|resources|corp|inc|ltd|limited)\b"
+# First words of public bodies, which always exclude a name, other words
+# of public bodies and of names that are no company's, and words that keep such a name.
+LEADS = (
+    "department", "ministry", "minist[èe]re", "city", "town", "village", "municipality", "county", "region", "district",
+    "province", "government", "her majesty", "his majesty", "crown",
+)
+BODIES = (
+    "department", "ministry", "minist[èe]re", "parks canada", "fisheries", "oceans canada", "canada border", "coast guard",
+    "national capital", "transport canada", "correctional", "environment and climate", "national defence", "dnd", "pspc",
+    "public services", "rcmp", "royal canadian", "canada post", "nav canada", "agriculture and agri", "national research",
+    "city of", "town of", "village of", "municipality", "county", "region of", "regional", "district of", "township",
+    "first nation", "nation", "band", "tribal", "province of", "government", "agency", "secretariat",
+    "infrastructure canada", "indigenous services", "crown-indigenous", "natural resources canada", "nrcan", "health canada",
+    "statistics", "revenue", "library", "museum", "school", "university", "college", "hospital", "health",
+    "conservation authority", "external proponent", "external", "not applicable", "upland owner", "security",
+    "transportation", "ducks unlimited", "telus", "bell canada", "rogers", "shaw", "airport", "a[ée]roport",
+    "port authority", "airports", "metro vancouver", "translink", "commission",
+)
+COMPANIES = (
+    "hydro", "power", "energy", "generation", "nuclear", "mines?", "mining", "gold", "lithium", "nickel", "iron", "potash",
+    "uranium", "lng", "pipeline", "resources",
+)
+LEAD_PUBLIC = rf"(?iU)^\s*(the\s+)?({'|'.join(LEADS)})\b"
+PUBLIC = rf"(?iU)\b({'|'.join(BODIES)})\b"
+KEEP = rf"(?iU)\b({'|'.join(COMPANIES)})\b"
 
 
 def is_public(name: Column) -> Column:
+    """Whether a name is a public body's: by its first words always, by others unless
+    a company's word stands beside them."""
     return name.rlike(LEAD_PUBLIC) | (name.rlike(PUBLIC) & ~name.rlike(KEEP))
 
 

@@ -90,14 +90,22 @@ def bidirectional(ext: DataFrame, ours: DataFrame, max_side: float = 0.72, min_s
 def match_documents(docs: DataFrame, projects: DataFrame) -> DataFrame:
     """The project whose name tokens a document's words hit best.
 
-    docs: owner, doc_id, words; projects: owner, project_id, tok.  Frequencies
-    count an owner's projects.  A hit needs two tokens of which one occurs in at
-    most two projects, or one of eight letters that at most three have.  Most hits
-    win, of equals the first project."""
+    docs: owner, doc_id, words (of title and file name) and folders (names of the
+    path's folders, as they are); projects: owner, project_id, tok.  Frequencies count
+    an owner's projects.  A project is met by two tokens or more of which one occurs
+    in at most two projects, or by exactly one, of eight letters, that at most three
+    have.  A project that isn't met so is met, with one hit, by a folder that is one
+    of its tokens, of eight letters and in at most three projects.  Most hits win, of
+    equals the first project."""
     t = projects.select("owner", "project_id", F.explode(F.array_distinct("tok")).alias("token"))
     f = t.groupBy("owner", "token").agg(F.count("*").alias("freq"))
     d = docs.select("owner", "doc_id", F.explode(F.array_distinct("words")).alias("token"))
     hits = d.join(t.join(f, ["owner", "token"]), ["owner", "token"])
-    g = hits.groupBy("owner", "doc_id", "project_id").agg(F.count("*").alias("hits"), F.max((F.col("freq") <= 2).cast("int")).alias("rare"), F.max(((F.length("token") >= 8) & (F.col("freq") <= 3)).cast("int")).alias("long"))
-    g = g.where("(hits >= 2 and rare = 1) or long = 1")
+    telling = (F.length("token") >= 8) & (F.col("freq") <= 3)
+    g = hits.groupBy("owner", "doc_id", "project_id").agg(F.count("*").alias("hits"), F.bool_or(F.col("freq") <= 2).alias("rare"), F.bool_or(telling).alias("telling"))
+    named = g.where("(hits >= 2 and rare) or (hits = 1 and telling)").select("owner", "doc_id", "project_id", "hits")
+    # a folder counts one hit, no more than any other way, so both may stand
+    folders = docs.select("owner", "doc_id", F.explode(F.array_distinct("folders")).alias("token"))
+    inside = folders.join(t.join(f, ["owner", "token"]).where(telling), ["owner", "token"]).select("owner", "doc_id", "project_id", F.lit(1).cast("long").alias("hits")).distinct()
+    g = named.unionByName(inside)
     return g.groupBy("owner", "doc_id").agg(F.max_by(F.struct("project_id", "hits"), F.struct("hits", (-F.col("project_id")).alias("o"))).alias("b")).select("owner", "doc_id", "b.project_id", "b.hits")

@@ -390,13 +390,18 @@ def enrich_bidirectional(spark: SparkSession, d: str) -> DataFrame:
     return match.bidirectional(*_sides(spark, d), max_side=0.5, min_side=0.2)
 
 
-@query("""WITH p AS (SELECT p_brand AS owner, p_partkey AS project_id, unnest(list_distinct(string_split(p_name, ' '))) AS token FROM part),
-f AS (SELECT owner, token, count(*) AS freq FROM p GROUP BY 1, 2), dd AS (SELECT 'Brand#' || (s_suppkey % 25 + 1) AS owner, s_suppkey AS doc_id, unnest(['red','gizmo','small','anvil','blue']) AS token FROM supplier),
-h AS (SELECT owner, doc_id, project_id, count(*) AS hits, max(CASE WHEN freq <= 2 THEN 1 ELSE 0 END) AS rare, max(CASE WHEN length(token) >= 8 AND freq <= 3 THEN 1 ELSE 0 END) AS lng FROM dd JOIN p USING (owner, token) JOIN f USING (owner, token) GROUP BY 1, 2, 3)
-SELECT owner, doc_id, project_id, hits FROM h WHERE (hits >= 2 AND rare = 1) OR lng = 1 QUALIFY row_number() OVER (PARTITION BY owner, doc_id ORDER BY hits DESC, project_id) = 1""")
+@query("""WITH p AS (SELECT p_partkey // 4 AS owner, p_partkey AS project_id, unnest(list_distinct(list_append(string_split(p_name, ' '), lower(p_type)))) AS token FROM part),
+f AS (SELECT owner, token, count(*) AS freq FROM p GROUP BY 1, 2),
+dd AS (SELECT p_partkey // 4 AS owner, l_orderkey * 1000000000 + l_partkey * 10 + l_linenumber AS doc_id, any_value(p_name) AS name, any_value(lower(p_type)) AS folder FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2),
+h AS (SELECT owner, doc_id, project_id, count(*) AS hits, bool_or(freq <= 2) AS rare, bool_or(length(token) >= 8 AND freq <= 3) AS telling FROM (SELECT owner, doc_id, unnest(list_distinct(string_split(name, ' '))) AS token FROM dd) JOIN p USING (owner, token) JOIN f USING (owner, token) GROUP BY 1, 2, 3),
+m AS (SELECT owner, doc_id, project_id, hits FROM h WHERE (hits >= 2 AND rare) OR (hits = 1 AND telling)),
+i AS (SELECT dd.owner, doc_id, project_id, 1 AS hits FROM dd JOIN p ON p.owner = dd.owner AND p.token = folder JOIN f ON f.owner = p.owner AND f.token = p.token WHERE length(folder) >= 8 AND freq <= 3 AND NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = dd.doc_id AND m.project_id = p.project_id))
+SELECT owner, doc_id, project_id, hits FROM (FROM m UNION ALL FROM i) QUALIFY row_number() OVER (PARTITION BY owner, doc_id ORDER BY hits DESC, project_id) = 1""")
 def doc_project_match(spark: SparkSession, d: str) -> DataFrame:
-    projects_ = table(spark, d, "part").select(F.col("p_brand").alias("owner"), F.col("p_partkey").alias("project_id"), F.split("p_name", " ").alias("tok"))
-    docs = table(spark, d, "supplier").select(F.concat(F.lit("Brand#"), F.col("s_suppkey") % 25 + 1).alias("owner"), F.col("s_suppkey").alias("doc_id"), F.array(*map(F.lit, ("red", "gizmo", "small", "anvil", "blue"))).alias("words"))
+    part = table(spark, d, "part").select("p_partkey", F.expr("p_partkey div 4").alias("owner"), F.split("p_name", " ").alias("words"), F.lower("p_type").alias("kind"))
+    projects_ = part.select("owner", F.col("p_partkey").alias("project_id"), F.concat("words", F.array("kind")).alias("tok"))
+    lines = table(spark, d, "lineitem").select("l_partkey", (F.col("l_orderkey") * 1000000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("doc_id")).distinct()
+    docs = lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("owner", "doc_id", "words", F.array("kind").alias("folders"))
     return match.match_documents(docs, projects_)
 
 
@@ -619,11 +624,16 @@ def alias_merge(spark: SparkSession, d: str) -> DataFrame:
     return footprint.apply_aliases(table(spark, d, "part").select(F.col("p_name").alias("key")), "key", a).groupBy("canonical").agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT s_suppkey, regexp_matches(n, '(?i)^(ministry|city) of\b') OR (regexp_matches(n, '(?i)\b(county|city)\b') AND NOT regexp_matches(n, '(?i)\b(power|inc)\b')) AS public FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'City of ' || s_name WHEN 1 THEN 'County Power ' || s_name WHEN 2 THEN s_name || ' County' ELSE s_name || ' Inc' END AS n FROM supplier)""")
+# Names around which public bodies and companies turn, for the customers.
+_BODIES = ("The City of {}", "{} University", "{} Hospital Power Inc", "{} First Nation", "{} Corp Commission", "{} Mining Agency", "{} Ltd", "Crown {} Resources", "Township Energy {}", "{} Township Inc", "Parks Canada {}", "Cityscape {}")
+
+
+@query(f"""WITH n AS (SELECT c_custkey, replace([{', '.join(f"'{b}'" for b in _BODIES)}][c_custkey % {len(_BODIES)} + 1], '{{}}', c_name) AS n FROM customer)
+SELECT c_custkey, regexp_matches(n, '(?i)^\\s*(the\\s+)?(department|ministry|city|town|village|municipality|county|region|district|province|government|crown)\\b')
+  OR (regexp_matches(n, '(?i)\\b(parks canada|township|first nation|nation|agency|university|hospital|commission)\\b') AND NOT regexp_matches(n, '(?i)\\b(power|energy|mines?|mining|resources)\\b')) AS public FROM n""")
 def public_body_filter(spark: SparkSession, d: str) -> DataFrame:
-    k, s = F.col("s_suppkey") % 4, F.col("s_name")
-    n = F.when(k == 0, F.concat(F.lit("City of "), s)).when(k == 1, F.concat(F.lit("County Power "), s)).when(k == 2, F.concat(s, F.lit(" County"))).otherwise(F.concat(s, F.lit(" Inc")))
-    return table(spark, d, "supplier").select("s_suppkey", footprint.is_public(n).alias("public"))
+    pattern = F.element_at(F.array(*map(F.lit, _BODIES)), (F.col("c_custkey") % len(_BODIES) + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", footprint.is_public(F.replace(pattern, F.lit("{}"), F.col("c_name"))).alias("public"))
 
 
 @query("""WITH e AS (SELECT user_id, event_id, value, CASE WHEN event_type IN ('view','click') THEN 'approval' ELSE 'amendment' END AS kind FROM events), k AS (SELECT user_id, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, count(*) AS n FROM e GROUP BY 1)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.operators import dedupe, footprint, links, match, merge, predict, quality, route, segment, spatial
+from dossier.operators import dedupe, enrich, footprint, links, match, merge, predict, quality, route, segment, spatial
 from dossier.plans import projects
 from dossier.sources import readers, writers
 from dossier.streaming import lanes
@@ -147,7 +147,8 @@ def test_rollup_and_public_bodies(spark):
     p = spark.createDataFrame([("a", "ok"), ("a", "error"), ("b", "ok")], "source string, verdict string")
     assert rows(links.rollup(p, "source", "verdict", ["ok", "error"], ["error"]), "source", "total", "broken") == [("a", 2, 1), ("b", 1, 0), ("total", 3, 1)]
     names = spark.createDataFrame([("City of Toronto",), ("Toronto Hydro",), ("Halton County",), ("County Power Corp",)], "n string")
-    assert rows(names.where(footprint.is_public(F.col("n"))), "n") == [("City of Toronto",), ("Halton County",)]
+    # a leading "County" excludes whatever follows
+    assert rows(names.where(footprint.is_public(F.col("n"))), "n") == [("City of Toronto",), ("County Power Corp",), ("Halton County",)]
 
 
 @pytest.mark.parametrize("parts", [1, 7])
@@ -226,3 +227,27 @@ def test_distance_of_a_missing_place_is_unknown(spark):
     df = spark.createDataFrame([(0.0, 0.0, 0.0, 90.0), (None, 0.0, 0.0, 90.0), (0.0, 0.0, 0.0, None)], "a double, b double, c double, d double")
     got = [r.km for r in df.select(geo.haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("km")).collect()]
     assert got[0] == pytest.approx(6371.0 * 3.141592653589793 / 2) and got[1:] == [None, None]
+
+
+def test_documents_by_one_telling_token_or_two(spark):
+    """Three projects with the same two tokens are met by none: two hits want a rare
+    one, and a long one counts alone only.  Folders count where nothing else does."""
+    p = spark.createDataFrame([("o", i, ["waasigan", "corridor"]) for i in (1, 2, 3)] + [("o", 4, ["lakeshore", "wind"]), ("o", 5, ["northern", "wind"]), ("q", 6, ["lakeshore"])], "owner string, project_id long, tok array<string>")
+    docs = [(1, ["waasigan", "corridor", "plan"], []), (2, ["waasigan"], []), (3, ["lakeshore", "wind"], []), (4, ["wind"], []), (5, ["notes"], ["documents", "northern"]), (6, ["lakeshore"], ["northern"]), (7, ["waasigan", "corridor"], ["waasigan"]), (8, [], ["wind"])]
+    d = spark.createDataFrame([("o", *x) for x in docs] + [("q", 9, ["lakeshore"], None)], "owner string, doc_id long, words array<string>, folders array<string>")
+    got = {r.doc_id: (r.project_id, r.hits) for r in match.match_documents(d, p).collect()}
+    # 7: two hits fail, so the folder rule meets the first of the three
+    assert got == {2: (1, 1), 3: (4, 2), 5: (5, 1), 6: (4, 1), 7: (1, 1), 9: (6, 1)}
+
+
+def test_public_bodies(spark):
+    public = ["City of Toronto", "the Ministère X", "University of Guelph", "Grand River Hospital", "Moose Cree First Nation", "Parks Canada", "Gaming Commission", "Aéroport de Québec", "Department of Energy", "Halton County", "Town Mining"]
+    others = ["Ontario Power Generation", "University Power Corp", "Regional Gold Mines", "Acme Inc", "Corp Ltd", "Bandwidth Ltd", "Cityscape", "Nationwide Resources Agency"]
+    df = spark.createDataFrame([(n,) for n in public + others], "n string")
+    assert {r.n for r in df.where(footprint.is_public(F.col("n"))).collect()} == set(public)
+
+
+def test_layer_titles_are_met_inside_words(spark):
+    layers = spark.createDataFrame([("a", "land"), ("b", "of on"), ("c", "x"), ("d", ""), ("e", "Wetlands of Ontario"), ("f", "lando")], "label string, match string")
+    entries = spark.createDataFrame([(1, "Nothing", "u1"), (2, "Wetlands of Ontario", "u2"), (3, "Islands", "u3"), (4, "x", ""), (5, "A x", "u5"), (6, None, "u6")], "ord int, title string, link string")
+    assert dict(rows(enrich.layer_titles(layers, entries), "label", "link")) == {"a": "u2", "b": "u2", "c": "u5", "d": "u1", "e": "u2"}
