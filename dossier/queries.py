@@ -826,4 +826,4 @@ def resume_unseen(spark: SparkSession, d: str) -> DataFrame:
     return archive.unseen(e.select("event_id", "user_id"), e.where("event_type = 'signup' and event_id < 500").select("user_id"), "user_id").select("event_id")
 
 
-from . import more_queries  # noqa: E402,F401  registers its own
+from . import more_queries, space_queries  # noqa: E402,F401  register their own
