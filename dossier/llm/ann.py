@@ -2,20 +2,26 @@
 
 Vectors of unit length are hashed, in each of ``TABLES`` tables, to the floors of
 ``FUNCTIONS`` Gaussian projections, shifted at random and divided by ``WIDTH``.
-A query visits its own bucket and the buckets of ``PROBES`` - 1 perturbations of
-it by +-1, in the order of their estimated success: the sum of squared distances
-to the boundaries crossed, generated best first.  The candidates of all tables
-are merged and ranked by their exact cosine.
+A query visits its own bucket and the buckets of perturbations of it by +-1, in the
+order of their estimated success: the sum of squared distances to the boundaries
+crossed, generated best first.  The candidates of all tables are merged and ranked by
+their exact cosine.
+
+Probes adapt to each query.  The first ``PROBES`` buckets give a kth score.  At that
+distance a neighbour differs from the query by a Gaussian of known width in every
+projection, so each perturbation has a known chance to hold it.  The query goes on
+until the chances of its buckets reach ``SUCCESS`` over all tables; if ``MOST`` buckets
+a table don't, it is compared with all vectors.
 
 Directions in a space where everything is nearly orthogonal to a query (here the
 fifth neighbour has a cosine near 0.4 against a deviation of 1/8) share few
-buckets, so a recall of 0.9 takes many probes; the parameters below reach about
-0.95.  Vectors with closer neighbours can do with a few dozen.
+buckets and take many probes.  Vectors with closer neighbours do with few.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +31,8 @@ from pyspark.sql import functions as F
 
 from . import shared, vectors
 
-TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 10, 2.5, 400, 7
+TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 4, 10, 2.5, 200, 7
+SUCCESS, MOST = 0.95, 4096
 PIECE = 4096
 GROUP_ROWS = 8192
 
@@ -91,10 +98,19 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("ids"), batch.column("v"), pa.array(key)], names=["rep", "ids", "v", "bucket"])
 
 
+def _moves(f: np.ndarray, sets: list[list[int]]) -> np.ndarray:
+    """Perturbations (sets, FUNCTIONS) of one query: sets are of ranks, and crossing a
+    boundary down costs f, up 1 - f."""
+    order = np.argsort(np.concatenate([f, 1 - f]), kind="stable")
+    which = order[np.array([x for s in sets for x in s], np.int64)]
+    move = np.zeros((len(sets), FUNCTIONS), np.int64)
+    move[np.repeat(np.arange(len(sets)), [len(s) for s in sets]), which % FUNCTIONS] += np.where(which < FUNCTIONS, -1, 1)
+    return move
+
+
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first PROBES buckets of each table."""
     sets = probe_sets(FUNCTIONS, PROBES)
-    flat = np.array([x for s in sets for x in s])
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,15 +119,44 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in range(TABLES):
             p = _project(x, t)
             cell = np.floor(p).astype(np.int64)
-            f = p - cell
             for i, q in enumerate(ids):
-                # crossing down costs f, crossing up 1 - f
-                costs = np.concatenate([f[i], 1 - f[i]])
-                order = np.argsort(costs, kind="stable")
-                move = np.zeros((len(sets), FUNCTIONS), np.int64)
-                which = order[flat]
-                move[owner, which % FUNCTIONS] += np.where(which < FUNCTIONS, -1, 1)
-                key = np.unique(_keys(t, cell[i] + move))
+                key = np.unique(_keys(t, cell[i] + _moves(p[i] - cell[i], sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), q)), pa.array(key)], names=["query_id", "bucket"])
+
+
+def _normal(x: np.ndarray) -> np.ndarray:
+    return np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in x.ravel()]).reshape(x.shape)
+
+
+def chances(f: np.ndarray, moves: np.ndarray, far: float) -> np.ndarray:
+    """The chance that a neighbour at distance ``far`` lies in each perturbed bucket of
+    a query at ``f`` in its own: its projections differ by Gaussians of width
+    far / WIDTH."""
+    edges = _normal((np.arange(-1, 3)[:, None] - f) / max(far / WIDTH, 1e-9))
+    each = np.maximum(np.diff(edges, axis=0), 1e-300)
+    return np.exp(np.log(each[moves + 1, np.arange(FUNCTIONS)]).sum(1))
+
+
+def _more(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Buckets beyond the first PROBES, as many as the query's kth score asks for; a
+    null bucket if MOST aren't enough."""
+    sets = probe_sets(FUNCTIONS, MOST)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = vectors.matrix(batch.column("v"))
+        p = [_project(x, t) for t in range(TABLES)]
+        for i, (q, least) in enumerate(zip(batch.column("query_id").to_pylist(), batch.column("least").to_pylist(), strict=True)):
+            far = math.sqrt(max(0.0, 2 - 2 * least))
+            cells = [np.floor(p[t][i]).astype(np.int64) for t in range(TABLES)]
+            moves = [_moves(p[t][i] - cells[t], sets) for t in range(TABLES)]
+            missed = np.prod([1 - np.minimum(1, np.cumsum(chances(p[t][i] - cells[t], moves[t], far))) for t in range(TABLES)], axis=0)
+            n = int(np.searchsorted(-missed, -(1 - SUCCESS))) + 1
+            if n > len(sets):
+                yield pa.RecordBatch.from_arrays([pa.array([q], pa.int64()), pa.array([None], pa.int64())], names=["query_id", "bucket"])
+                continue
+            for t in range(TABLES):
+                key = np.unique(_keys(t, cells[t] + moves[t][PROBES:n]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), q)), pa.array(key)], names=["query_id", "bucket"])
 
 
@@ -183,9 +228,8 @@ def nearest(rows: DataFrame, k: int = 5, every: int = vectors.QUERY_EVERY, id_co
     no part, nor do rows with a null id.  Equal vectors are indexed once, with
     the ids that can matter.  Vectors of another length than most take no
     part.  Of several vectors under one id the smallest, component by component,
-    counts.  A query whose buckets hold too few
-    candidates is searched in all buckets.  Other columns are
-    not read.
+    counts.  A query whose first buckets hold too few candidates, or whose chances stay
+    below SUCCESS, is searched in all buckets.  Other columns are not read.
     """
     spark = rows.sparkSession
     scratch = shared.Scratch(spark, "ann")
@@ -207,14 +251,19 @@ def nearest(rows: DataFrame, k: int = 5, every: int = vectors.QUERY_EVERY, id_co
         both = spread.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind")
         return both.mapInArrow(_rerank(k + 1), "query_id long, rep long, ids array<long>, score double")
 
-    probes = queries.mapInArrow(_probe, "query_id long, bucket long")
-    dealt = probes.join(directory, "bucket").select("query_id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-    visits = dealt.select("query_id", "bucket", part("piece")).groupBy("query_id", "part").agg(F.collect_set("bucket").alias("visits"))
-    found = scratch.cut(search(visits), "found")
-    ranked = vectors.rank(found, k)
-    short = scratch.cut(queries.join(ranked.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k), "query_id", "left_anti").select("query_id"), "short")
-    if short.isEmpty():
-        return ranked
-    everywhere = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.array().cast("array<long>").alias("visits"))
-    more = scratch.cut(search(everywhere), "more")
-    return vectors.rank(found.unionByName(more), k)
+    def visits(probes: DataFrame) -> DataFrame:
+        dealt = probes.join(directory, "bucket").select("query_id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
+        return dealt.select("query_id", "bucket", part("piece")).groupBy("query_id", "part").agg(F.collect_set("bucket").alias("visits"))
+
+    first = scratch.cut(search(visits(queries.mapInArrow(_probe, "query_id long, bucket long"))), "first")
+    enough = vectors.rank(first, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
+    asked = queries.join(enough, "query_id").select("query_id", "v", "least")
+    more = scratch.cut(asked.mapInArrow(_more, "query_id long, bucket long"), "more")
+    second = scratch.cut(search(visits(more)), "second")
+    found = first.unionByName(second)
+    open_ = queries.join(enough, "query_id", "left_anti").select("query_id").unionByName(more.where("bucket IS NULL").select("query_id"))
+    open_ = scratch.cut(open_, "open")
+    if open_.isEmpty():
+        return vectors.rank(found, k)
+    everywhere = open_.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.array().cast("array<long>").alias("visits"))
+    return vectors.rank(found.unionByName(scratch.cut(search(everywhere), "everywhere")), k)
