@@ -9,6 +9,7 @@ from .functions import rules, text, web
 from .operators import dedupe, enrich, match, merge, predict, quality, segment, spatial
 from .plans.tables import lonlat, table
 from .queries import _IDF, _sides, query
+from .streaming import hosts
 
 # ---- lookups
 
@@ -420,3 +421,22 @@ def triggered_disciplines(spark: SparkSession, d: str) -> DataFrame:
 def recurring_unmapped(spark: SparkSession, d: str) -> DataFrame:
     return predict.recurring(table(spark, d, "orders").select("o_orderpriority"), "o_orderpriority", ["1-URGENT"], 3)
 
+
+
+# ---- hosts that refuse
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS host, list({'seq': event_id, 'at': epoch_us(ts) / 1e6, 'url': 'u' || (event_id % 5), 'verdict': CASE event_type WHEN 'error' THEN 'http_error' WHEN 'signup' THEN 'error' ELSE 'ok' END, 'no': user_id % 5 > 0 AND value < 10} ORDER BY ts, event_id) AS ps FROM events GROUP BY 1),
+f AS (SELECT host, list_reduce(ps, lambda s, p: list_transform([CASE WHEN s.until IS NOT NULL AND p.at >= s.until THEN {'hits': 0::BIGINT, 'until': NULL::DOUBLE, 'open': []::VARCHAR[], 'out': s.out} ELSE s END],
+  lambda w: list_transform([CASE WHEN w.until IS NOT NULL THEN 'skipped' WHEN p.no AND (w.hits + 1) % 4 = 0 THEN 'dropped' WHEN p.no AND p.verdict = 'http_error' THEN 'refused' WHEN p.verdict = 'ok' THEN 'ok' ELSE 'failed' END],
+    lambda a: {'hits': CASE WHEN a = 'skipped' THEN w.hits ELSE w.hits + 1 END, 'until': CASE WHEN a IN ('dropped', 'refused') THEN p.at + 21600 ELSE w.until END,
+      'open': CASE WHEN a IN ('dropped', 'refused') THEN [] WHEN a = 'ok' THEN list_filter(w.open, lambda u: u <> p.url) WHEN a = 'failed' THEN list_distinct(list_append(w.open, p.url)) ELSE w.open END,
+      'out': list_append(w.out, {'seq': p.seq, 'url': p.url, 'action': a, 'withdrawn': CASE WHEN a IN ('dropped', 'refused') THEN len(w.open) ELSE 0 END})})[1])[1],
+  {'hits': 0::BIGINT, 'until': NULL::DOUBLE, 'open': []::VARCHAR[], 'out': []::STRUCT(seq BIGINT, url VARCHAR, action VARCHAR, withdrawn BIGINT)[]}).out AS out FROM e)
+SELECT host, o.seq, o.url, o.action, CAST(o.withdrawn AS INTEGER) AS withdrawn FROM (SELECT host, unnest(out) AS o FROM f)""")
+def host_canaries(spark: SparkSession, d: str) -> DataFrame:
+    """Users as hosts, six hours of rest; nothing is given up, so that SQL can say it."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    verdict = F.when(F.col("event_type") == "error", "http_error").when(F.col("event_type") == "signup", "error").otherwise("ok")
+    probes = e.select(F.col("user_id").cast("string").alias("host"), F.col("ts").alias("at"), k.alias("seq"), F.concat(F.lit("u"), k % 5).alias("url"), verdict.alias("verdict"), F.when(F.col("user_id") % 5 > 0, F.col("value") >= 10).alias("canary"))
+    return hosts.replay(probes, every=4, give_up=1_000_000, rest=21600.0).drop("fails")
