@@ -37,7 +37,7 @@ from . import shared, words
 
 SHARPNESS = 0.35
 SAMPLES = 2
-BATCH = 1 << 20
+BATCH = 1 << 18
 LONGEST = 16
 #: Edges of remembered lattices, of 24 bytes each.
 KNOWN_EDGES = 2_500_000
@@ -546,6 +546,7 @@ def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 def _segment(path: str, k: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.trim()
         coder = _coder(path)
         for batch in shared.small(batches, limit=BATCH):
             texts, keys = shared.texts_of(batch), batch.column("key").to_numpy().view(np.uint64)

@@ -4,6 +4,8 @@ connected components and small Arrow helpers."""
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -126,7 +128,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return nodes.unionAll(e.select("v", "v").distinct())
 
 
-def small(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def trim() -> None:
+    """Give memory that earlier tasks of this worker process have freed back to the
+    system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small(batches: Iterator[pa.RecordBatch], name: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about ``limit`` bytes of the column ``name``, for
     functions that run with whatever batches the caller's session makes."""
     for batch in batches:
