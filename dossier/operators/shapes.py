@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+
 #: Cells reach a little further than numbers say, as quotients are rounded.
 MARGIN = 1e-9
 # Fixed value: what a layer adds that a route must not cross.
@@ -92,7 +94,7 @@ def inside(places: DataFrame, shapes: DataFrame, size: float, by: tuple[str, ...
     buffer, where they agree in the columns ``by``.  Places with a null coordinate are
     nowhere."""
     at = places.select("place_id", *by, "x", "y", F.floor(F.col("x") / size).cast("int").alias("cx"), F.floor(F.col("y") / size).cast("int").alias("cy"))
-    met = at.join(cover(shapes, size, by), [*by, "cx", "cy"])
+    met = cut(at.join(cover(shapes, size, by), [*by, "cx", "cy"]))
     rest = met.where("NOT sure").drop("sure")
     edge = edges(shapes)
     spot = [F.col("x"), F.col("y")]

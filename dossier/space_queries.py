@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import shapes
+from .operators import shapes, tiles
 from .plans.tables import lonlat, table
 from .queries import query
 
@@ -53,16 +53,23 @@ _WEIGHTS = [("nature", 0.4), ("people", 0.35), ("cost", 0.25)]
 _LAYERS = [("ground", ["nature", "people"], "3", None, [(0.5, 2.0), (1.0, 1.0)]), ("path", ["cost"], "-4", None, [(0.4, -2.0)]), ("post", ["people"], "FB", 0.3, [])]
 
 
-def burned_cells(spark: SparkSession, d: str) -> DataFrame:
-    """The cost of every cell in which a customer of a region lies, and its neighbours:
-    suppliers' grounds with two rings, the lines through the suppliers of each nation,
-    and forbidden posts at every tenth supplier."""
-    nation = table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("area"))
-    c = _places(spark, d, "customer", "c_custkey").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("area"))
+
+
+def customer_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Every cell in which a customer of a region lies, and its neighbours."""
+    c = _places(spark, d, "customer", "c_custkey").join(_regions(spark, d), F.col("c_nationkey") == F.col("n_nationkey"))
     near = F.sequence(F.lit(-1), F.lit(1))
     cells = c.select("area", F.floor(F.col("y") / _CELL).alias("r0"), F.floor(F.col("x") / _CELL).alias("c0")).distinct()
     cells = cells.select("area", "r0", "c0", F.explode(near).alias("dr")).select("area", "r0", "c0", "dr", F.explode(near).alias("dc"))
-    cells = cells.select("area", (F.col("r0") + F.col("dr")).cast("int").alias("row"), (F.col("c0") + F.col("dc")).cast("int").alias("col")).distinct()
+    return cells.select("area", (F.col("r0") + F.col("dr")).cast("int").alias("row"), (F.col("c0") + F.col("dc")).cast("int").alias("col")).distinct()
+
+
+def burned(spark: SparkSession, d: str, cells: DataFrame, cell: float) -> DataFrame:
+    """The cost of cells by three layers: suppliers' grounds with two rings, the lines
+    through the suppliers of each nation, and forbidden posts at every tenth supplier."""
+    nation = _regions(spark, d)
     s = _grounds(spark, d).join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     spot = F.struct("x", "y")
     ground = s.select("area", F.col("s_suppkey").cast("long").alias("shape_id"), F.lit("ground").alias("layer"), F.lit(True).alias("closed"), "rings")
@@ -71,7 +78,7 @@ def burned_cells(spark: SparkSession, d: str) -> DataFrame:
     post = s.where("s_suppkey % 10 = 0").select("area", F.col("s_suppkey").cast("long").alias("shape_id"), F.lit("post").alias("layer"), F.lit(False).alias("closed"), F.array(F.array(spot)).alias("rings"))
     layers = spark.createDataFrame(_LAYERS, "layer string, categories array<string>, resistance string, ring_m double, rings array<struct<buffer:double,resistance:double>>")
     weights = spark.createDataFrame(_WEIGHTS, "category string, weight double")
-    return shapes.burn(cells, ground.unionByName(path).unionByName(post), shapes.rings_of(layers, weights), _CELL)
+    return shapes.burn(cells, ground.unionByName(path).unionByName(post), shapes.rings_of(layers, weights), cell)
 
 
 _SQL_RINGS = "(VALUES ('ground', 0, 0.0, 3.0 * (0.4 + 0.35)), ('ground', 1, 0.5, 2.0 * (0.4 + 0.35)), ('ground', 2, 1.0, 1.0 * (0.4 + 0.35)), ('path', 0, 0.0, -4.0 * 0.25), ('path', 1, 0.4, -2.0 * 0.25), ('post', 0, 0.3, 14000.0)) r(layer, ring, b, value)"
@@ -92,4 +99,19 @@ s AS (SELECT area, "row", col, sum(value) AS value FROM v GROUP BY 1, 2, 3),
 c AS (SELECT cc.*, coalesce(value, 0.0) AS cost FROM cc LEFT JOIN s USING (area, "row", col))
 SELECT CAST(area AS BIGINT) AS area, "row", col, round(CAST(cost AS DOUBLE) - min(CAST(cost AS DOUBLE)) OVER (PARTITION BY area) + 1, 6) AS cost FROM c""")
 def shape_cost_surface(spark: SparkSession, d: str) -> DataFrame:
-    return burned_cells(spark, d).withColumn("cost", F.round("cost", 6))
+    return burned(spark, d, customer_cells(spark, d), _CELL).withColumn("cost", F.round("cost", 6))
+
+
+@query()
+def burned_routes(spark: SparkSession, d: str) -> DataFrame:
+    """A route across each region's grid, burned by the layers, from its first
+    supplier to its last, over tiles."""
+    size = 2.0
+    s = _places(spark, d, "supplier", "s_suppkey").join(_regions(spark, d), F.col("s_nationkey") == F.col("n_nationkey"))
+    s = s.select("area", "s_suppkey", F.floor(F.col("y") / size).alias("row"), F.floor(F.col("x") / size).alias("col"))
+    span = lambda c: F.explode(F.sequence(F.col(f"{c}_low"), F.col(f"{c}_high"))).alias(c)
+    box = s.groupBy("area").agg(*(f(c).alias(f"{c}_{n}") for c in ("row", "col") for f, n in ((F.min, "low"), (F.max, "high"))))
+    cells = box.select("area", span("row"), "col_low", "col_high").select("area", "row", span("col"))
+    first, last = (f(F.struct("row", "col"), "s_suppkey").alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "b")))
+    ends = s.groupBy("area").agg(first, last).select("area", F.col("a.row").alias("r0"), F.col("a.col").alias("c0"), F.col("b.row").alias("r1"), F.col("b.col").alias("c1"))
+    return tiles.routes(burned(spark, d, cells, size), ends, k=1, tile=32)
