@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import rules, text, web
-from .operators import dedupe, enrich, match, merge, predict, quality, segment, spatial
+from .operators import dedupe, enrich, match, merge, numbering, predict, quality, segment, spatial
 from .plans.tables import lonlat, table
 from .queries import _IDF, _sides, query
 from .streaming import hosts
@@ -217,8 +217,8 @@ def prefer_named(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT p_partkey, lower(p_name) AS k FROM part QUALIFY row_number() OVER (PARTITION BY lower(p_name) ORDER BY p_partkey) = 1) SELECT k, CAST(row_number() OVER (ORDER BY p_partkey) AS INTEGER) AS n FROM f""")
 def counted_firsts(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", text.fold_latin(F.col("p_name")).alias("k"), F.lit(1).alias("all"))
-    return dedupe.numbered(dedupe.keep_first(p, ["k"], ["p_partkey"]), ["all"], ["p_partkey"], "n").select("k", "n")
+    p = table(spark, d, "part").select("p_partkey", text.fold_latin(F.col("p_name")).alias("k"))
+    return numbering.numbered(dedupe.keep_first(p, ["k"], ["p_partkey"]), ["p_partkey"]).select("k", F.col("n").cast("int").alias("n"))
 
 
 @query("""WITH a AS (SELECT DISTINCT p_brand || '|' || p_size AS u FROM part WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey, p_brand || '|' || p_size AS u FROM part WHERE p_partkey % 2 = 1)
@@ -253,8 +253,8 @@ def seen_urls(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT o_orderkey, ['gap','weak','matched'][o_orderkey % 3 + 1] AS v, CASE o_orderkey % 4 WHEN 0 THEN NULL ELSE o_totalprice END AS x FROM orders)""")
 def gap_order(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
-    o = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, ("gap", "weak", "matched"))), (k % 3 + 1).cast("int")).alias("verdict"), F.when(k % 4 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("value"), F.lit(1).alias("all"))
-    return dedupe.numbered(o, ["all"], [*enrich.gaps_first(), "o_orderkey"], "pos").select("o_orderkey", "pos")
+    o = table(spark, d, "orders").select("o_orderkey", F.element_at(F.array(*map(F.lit, ("gap", "weak", "matched"))), (k % 3 + 1).cast("int")).alias("verdict"), F.when(k % 4 == 0, "n/a").otherwise(F.col("o_totalprice").cast("string")).alias("value"))
+    return numbering.numbered(o, [*enrich.gaps_first(), "o_orderkey"], "pos").select("o_orderkey", F.col("pos").cast("int").alias("pos"))
 
 
 _DT = "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE strftime(o_orderdate, '%Y-%m-%d') END"

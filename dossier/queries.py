@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, rules, text, web
-from .operators import archive, crawl, dedupe, footprint, links, match, merge, predict, quality, route, search, segment, spatial
+from .operators import archive, crawl, dedupe, footprint, links, match, merge, numbering, predict, quality, route, search, segment, spatial
 from .plans import projects as P
 from .plans.tables import conditions, projects, table
 from .sources import readers
@@ -219,9 +219,8 @@ def make_id_md5(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH s AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents), l AS (SELECT doc_id AS lab, quality, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM labels)
 SELECT count(*) FILTER (lab = doc_id) AS good, count(*) FILTER (lab IS DISTINCT FROM doc_id) AS rejected FROM s LEFT JOIN l USING (pos)""")
 def positional_merge(spark: SparkSession, d: str) -> DataFrame:
-    docs = dedupe.numbered(table(spark, d, "documents").select("doc_id", F.lit(0).alias("one")), ["one"], ["doc_id"]).select("doc_id", (F.col("rn") - 1).alias("pos"))
-    lab = dedupe.numbered(table(spark, d, "labels").select("doc_id", "quality", F.lit(0).alias("one")), ["one"], ["doc_id"])
-    shards = lab.select("doc_id", "quality", F.floor((F.col("rn") - 1) / 250).alias("shard"), ((F.col("rn") - 1) % 250).alias("index"))
+    docs = numbering.numbered(table(spark, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", (F.col("n") - 1).alias("pos"))
+    shards = numbering.shards(table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"], 250)
     good, bad = merge.positional(docs, shards, 250, "doc_id")
     return good.agg(F.count("*").alias("good")).crossJoin(bad.agg(F.count("*").alias("rejected")))
 
