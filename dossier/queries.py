@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, rules, text, web
-from .operators import archive, crawl, dedupe, footprint, links, match, merge, numbering, predict, quality, route, search, segment, spatial
+from .operators import archive, blocks, crawl, dedupe, footprint, links, match, merge, numbering, predict, quality, route, search, segment, spatial
 from .plans import projects as P
 from .plans.tables import conditions, projects, table
 from .sources import readers
@@ -674,6 +674,29 @@ def fts_bm25_index(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(_index(spark, d), ["notice", "the"])
 
 
+_FIELDS = {"source": 10.0, "lang": 5.0, "text": 1.0}
+_TOK = "list_filter(string_split_regex(lower(coalesce({}, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {', '.join(f"{_TOK.format(c)} AS f{i}" for i, c in enumerate(_FIELDS))} FROM documents), l AS (SELECT doc_id, len(f0) + len(f1) + len(f2) AS doc_len FROM w), c AS (SELECT count(*) AS n, avg(doc_len) AS a FROM l),
+h AS (SELECT doc_id, unnest(f0) AS term, 10.0 AS k FROM w UNION ALL SELECT doc_id, unnest(f1), 5.0 FROM w UNION ALL SELECT doc_id, unnest(f2), 1.0 FROM w),
+x AS (SELECT doc_id, term, sum(k) AS f FROM h WHERE term IN ('license', 'apache', 'src3', 'en') GROUP BY 1, 2), d AS (SELECT term, count(*) AS df FROM x GROUP BY 1),
+s AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.2 / (f + 1.2 * (1 - 0.75 + 0.75 * doc_len / a))) AS score FROM x JOIN d USING (term) JOIN l USING (doc_id), c GROUP BY 1)
+SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 6) DESC, doc_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 10""")
+def fts_fields_top(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best documents by three weighted fields, from the block index."""
+    wanted = ["license", "apache", "src3", "en"]
+    ix = blocks.build(table(spark, d, "documents"), "doc_id", _FIELDS, only=wanted)
+    return blocks.top(ix, wanted)[0].withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {_IX} SELECT term, count(*) AS df, CAST(count(DISTINCT doc) AS BIGINT) AS docs, count(DISTINCT (SELECT count(*) FROM documents x WHERE x.doc_id < doc) // 1024) AS blocks FROM ix GROUP BY 1")
+def fts_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """How many postings and blocks each term of the whole index has."""
+    ix = blocks.build(table(spark, d, "documents"), "doc_id", {"text": 1.0})
+    return ix.blocks.groupBy("term").agg(F.sum("n").alias("df"), F.sum("n").alias("docs"), F.count("*").alias("blocks"))
+
+
 @query()
 def fts_porter(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents").select("doc_id", F.explode(search.stemmed(search.folded(F.col("text")))).alias("stem"))
