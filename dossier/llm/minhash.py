@@ -72,6 +72,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.trim()
     for batch in batches:
         ids, texts = batch.column("doc_id"), shared.texts_of(batch)
         for a, b in words.batches(texts):
@@ -91,6 +92,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, h1, h2, text) to the sorted set as bytes; only the text whose set has
     those hashes counts, as several may stand under one id."""
+    shared.trim()
     for batch in batches:
         texts = shared.texts_of(batch)
         for a, b in words.batches(texts):
@@ -185,13 +187,18 @@ def _forest(nodes: list[int], known: list[int], split: int, sig: np.ndarray, set
     for i, js, hits in collisions(sig, split):
         ok = 100 * np.minimum(size[js], size[i]) >= NEAR_PERCENT * np.maximum(size[js], size[i])
         sure = ok & (hits >= LIKELY)
-        likely += [(-h, i, j) for h, j in zip(hits[sure].tolist(), js[sure].tolist())]
+        likely.append((hits[sure].astype(np.int32), np.full(int(sure.sum()), i, np.int32), js[sure].astype(np.int32)))
         ok &= ~sure
         if ok.any():
             rest.append((i, js[ok]))
-    for _, i, j in sorted(likely):  # the best first: they settle most of the others
-        if find(i) != find(j) and near(sets[i], sets[j]):
-            link(i, j)
+    if likely:  # the best first: they settle most of the others
+        hits, left, right = (np.concatenate(x) for x in zip(*likely))
+        order = np.lexsort((right, left, -hits))
+        for first in range(0, len(order), STAR_PART):
+            part = order[first : first + STAR_PART]
+            for i, j in zip(left[part].tolist(), right[part].tolist()):
+                if find(i) != find(j) and near(sets[i], sets[j]):
+                    link(i, j)
     for i, js in rest:
         own = find(i)
         js = [j for j in js.tolist() if find(j) != own]
@@ -213,6 +220,7 @@ def _links(pairs: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
 
 def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by unit: one after another."""
+    shared.trim()
     unit, nodes, known, sides, sigs, sets = None, [], [], [], [], []
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -236,6 +244,7 @@ def _confirm_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _confirm_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (lead, part), the lead's own set (node null) first."""
+    shared.trim()
     lead, own = None, None
     for batch in batches:
         found = []

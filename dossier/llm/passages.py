@@ -57,6 +57,7 @@ def _batch(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shared.trim()
     for batch in batches:
         keys, texts = batch.column("key").to_numpy(), shared.texts_of(batch)
         for a, b in words.batches(texts):
@@ -76,6 +77,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of suffixes sorted by prefix and text, those whose prefix two texts share,
     each once.  What lies at the ends of the range is kept unseen."""
+    shared.trim()
     held: list[np.ndarray] = []  # the last run, which may go on
     start = True
 
@@ -136,6 +138,7 @@ def _codes(column: pa.Array) -> np.ndarray:
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Retained suffixes with the words around them that their windows hold, and
     a row without words for each text that has copies (near, far: its windows)."""
+    shared.trim()
     for batch in batches:
         doc, last, key = (batch.column(c).to_numpy() for c in ("doc", "last", "key"))
         texts, places = shared.texts_of(batch), batch.column("places")
@@ -183,6 +186,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes to ranges of starts (low to high) of windows that several
     documents hold, with their owner; and, of runs dealt in parts, every window
     with its hash and its suffix's part."""
+    shared.trim()
     names = ("prefix", "doc", "last", "key", "place", "near", "far")
     held: tuple | None = None
 
@@ -262,6 +266,7 @@ def _sums(codes: np.ndarray) -> np.ndarray:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The ranges of one text to maximal spans."""
+    shared.trim()
     for batch in batches:
         out = ([], [], [], [], [], [])
         for doc, key, rows in zip(batch.column("doc").to_pylist(), batch.column("key").to_pylist(), batch.column("rows")):
@@ -353,6 +358,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the spans in __cut; rows without any pass as they are."""
+    shared.trim()
     for batch in shared.small(batches):
         columns = dict(zip(batch.schema.names, batch.columns))
         cuts = columns.pop("__cut").to_pylist()

@@ -147,6 +147,7 @@ def votes_of(code: np.ndarray) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[Features]:
+    shared.trim()
     for batch in batches:
         texts = shared.texts_of(batch)
         for a, b in words.batches(texts):
@@ -259,6 +260,7 @@ def classify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     weights, posterior, prior = model.weights, model.posterior, model.prior
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.trim()
         for batch in shared.small(batches):
             texts = shared.texts_of(batch)
             for a, b in words.batches(texts):
@@ -278,6 +280,7 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     weights = (model or fit(docs)).weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared.trim()
         for batch in shared.small(batches):
             texts = shared.texts_of(batch)
             for a, b in words.batches(texts):
