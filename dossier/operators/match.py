@@ -2,8 +2,11 @@
 
 All matches are anchored on a shared token: both sides are exploded and joined on
 it, so no pair without one is ever made, and each pair is one row after a partial
-aggregate.  Frequent tokens carry little weight but make many pairs; ``max_df``
-leaves tokens beyond it out of the anchors, not of the scores.
+aggregate.  Frequent tokens carry little weight but make many pairs.  Where a pair
+must share a part of a row's mass to count, it shares a token outside the row's
+commonest ones that stay below that part: only such tokens anchor, and no pair that
+counts is lost.  ``max_df`` leaves tokens beyond it out of the anchors, not of the
+scores, and may lose pairs.
 """
 
 from __future__ import annotations
@@ -12,8 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_km
+from ..plans.cut import cut
 
 STRONG, WEAK, NAME_FLOOR = 0.72, 0.40, 0.50
+# What a score gains at most by the same proponent and by the same place.
+BY_PROPONENT, BY_PLACE = 0.25, 0.20
+#: The part of a row's mass that a first search asks for.
+FIRST = 0.5
+#: Sums come in any order; parts are compared with this much to spare.
+SPARE = 1e-6
 
 
 def document_frequency(rows: DataFrame, tokens: str = "tok") -> DataFrame:
@@ -23,20 +33,41 @@ def document_frequency(rows: DataFrame, tokens: str = "tok") -> DataFrame:
     return df.crossJoin(F.broadcast(total)).select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1.0).alias("idf"))
 
 
-def coverage(ext: DataFrame, ours: DataFrame, idf: DataFrame, n_ours: DataFrame, max_df: int | None = None) -> DataFrame:
+def telling(rows: DataFrame, key: str, mass: str, share) -> DataFrame:
+    """The tokens (token, idf) of each row that a pair with ``share`` of the row's mass
+    can't do without: all but the commonest, as long as those stay below it."""
+    common = Window.partitionBy(key).orderBy("idf", "token").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("__up", F.sum("idf").over(common)).where(F.col("__up") >= share * F.col(mass) - SPARE).drop("__up")
+
+
+def coverage(ext: DataFrame, ours: DataFrame, idf: DataFrame, n_ours: DataFrame, max_df: int | None = None, share: float | DataFrame | None = None, mutual: bool = False) -> DataFrame:
     """For pairs that share a token: shared (how many), mass (their idf), ext_mass
     and our_mass.  ext has ext_id and tok, ours our_id and tok; tokens that no
-    document of ours has weigh ln(n + 1) + 1."""
+    document of ours has weigh ln(n + 1) + 1.
+
+    ``share`` asks for pairs with that part of ext_mass at least, one number or a table
+    (ext_id, share) that also says which rows are searched; others may be left out.
+    ``mutual`` asks for the same part of our_mass.  A column region on both sides leaves
+    out pairs of different ones."""
     e = ext.select("ext_id", F.explode(F.array_distinct("tok")).alias("token"))
     unseen = F.log(F.col("n") + 1.0) + 1.0
     e = e.join(idf, "token", "left").crossJoin(F.broadcast(n_ours)).withColumn("idf", F.coalesce("idf", unseen))
     e = e.select("ext_id", "token", "df", "idf", F.sum("idf").over(Window.partitionBy("ext_id")).alias("ext_mass"))
     o = ours.select("our_id", F.explode(F.array_distinct("tok")).alias("token")).join(idf.select("token", F.col("idf").alias("our_idf")), "token")
-    o = o.select("our_id", "token", F.sum("our_idf").over(Window.partitionBy("our_id")).alias("our_mass"))
-    anchors = e if max_df is None else e.where(F.col("df") <= max_df)
-    pairs = anchors.join(o, "token")
-    if max_df is not None:  # rare tokens make the pairs, all tokens weigh in them
-        pairs = pairs.select("ext_id", "our_id").distinct().join(e, "ext_id").join(o, ["our_id", "token"])
+    o = o.select("our_id", "token", "our_idf", F.sum("our_idf").over(Window.partitionBy("our_id")).alias("our_mass"))
+    left, right = e if max_df is None else e.where(F.col("df") <= max_df), o
+    if isinstance(share, DataFrame):
+        left = telling(left.join(share, "ext_id"), "ext_id", "ext_mass", F.col("share"))
+    elif share is not None:
+        left = telling(left, "ext_id", "ext_mass", F.lit(share))
+    if mutual:
+        right = telling(o.withColumnRenamed("our_idf", "idf"), "our_id", "our_mass", F.lit(share))
+    pairs = left.select("ext_id", "token", "idf", "ext_mass").join(right.select("our_id", "token", "our_mass"), "token")
+    if max_df is not None or share is not None:  # some tokens make the pairs, all weigh in them
+        pairs = pairs.select("ext_id", "our_id").distinct()
+        if "region" in ext.columns and "region" in ours.columns:
+            pairs = pairs.join(ext.select("ext_id", F.col("region").alias("er")), "ext_id").join(ours.select("our_id", F.col("region").alias("orr")), "our_id").where("er is null or orr is null or er = orr").select("ext_id", "our_id")
+        pairs = pairs.join(e, "ext_id").join(o, ["our_id", "token"])
     return pairs.groupBy("ext_id", "our_id").agg(F.count("*").alias("shared"), F.sum("idf").alias("mass"), F.first("ext_mass").alias("ext_mass"), F.first("our_mass").alias("our_mass"))
 
 
@@ -49,9 +80,25 @@ def best_match(ext: DataFrame, ours: DataFrame, max_df: int | None = None) -> Da
     less 0.15 beyond 150 km while the score is below 0.72.  Of equal scores the
     first of ours wins; scores of 0 and less match nothing.  External rows
     without a match stay, as gaps.
+
+    A first search asks for half of a row's mass.  Where the best score that it finds
+    is out of reach for pairs with less, it stands; other rows are searched again for
+    the part that such a score takes.
     """
+    if max_df is not None:
+        return _best(ext, ours, max_df, None)
+    least = ext.select("ext_id", (F.when(F.size("prop_tok") > 0, BY_PROPONENT).otherwise(0.0) + F.when(F.col("lon").isNotNull() & F.col("lat").isNotNull(), BY_PLACE).otherwise(0.0)).alias("gain"))
+    first = cut(_best(ext, ours, None, FIRST))
+    again = least.join(first.select("ext_id", "score"), "ext_id").where(F.col("score") < F.col("gain") + FIRST + SPARE)
+    again = cut(again.select("ext_id", F.greatest(F.lit(0.0), F.col("score") - F.col("gain") - SPARE).alias("share")))
+    second = _best(ext.join(again.select("ext_id"), "ext_id", "left_semi"), ours, None, again)
+    return first.join(again, "ext_id", "left_anti").unionByName(second)
+
+
+def _best(ext: DataFrame, ours: DataFrame, max_df: int | None, share: float | DataFrame | None) -> DataFrame:
+    """``best_match`` over the pairs that one way of anchoring makes."""
     idf, n = document_frequency(ours), ours.agg(F.count("*").alias("n"))
-    pairs = coverage(ext, ours, idf, n, max_df).withColumn("name_score", F.col("mass") / F.col("ext_mass"))
+    pairs = coverage(ext.drop("region"), ours, idf, n, max_df, share).withColumn("name_score", F.col("mass") / F.col("ext_mass"))
     side = lambda df, p, key: df.select(key, F.col("prop_tok").alias(f"{p}_prop"), F.col("lon").alias(f"{p}_lon"), F.col("lat").alias(f"{p}_lat"))
     pairs = pairs.join(side(ext, "e", "ext_id"), "ext_id").join(side(ours, "o", "our_id").join(ours.select("our_id", "ord"), "our_id"), "our_id")
     # proponents are short: their weights come by joining their exploded tokens
@@ -78,7 +125,7 @@ def bidirectional(ext: DataFrame, ours: DataFrame, max_side: float = 0.72, min_s
     candidate of each external row, then the best external row of each of ours;
     of equal scores the first.  ext: ext_id, tok, region; ours: our_id, tok, region."""
     idf, n = document_frequency(ours), ours.agg(F.count("*").alias("n"))
-    c = coverage(ext, ours, idf, n, max_df).where("shared >= 2")
+    c = coverage(ext, ours, idf, n, max_df, min_side if max_df is None else None, mutual=max_df is None).where("shared >= 2")
     c = c.withColumn("a", F.col("mass") / F.col("ext_mass")).withColumn("b", F.col("mass") / F.col("our_mass"))
     c = c.where((F.greatest("a", "b") >= max_side) & (F.least("a", "b") >= min_side)).withColumn("score", (F.col("a") + F.col("b")) / 2)
     c = c.join(ext.select("ext_id", F.col("region").alias("er")), "ext_id").join(ours.select("our_id", F.col("region").alias("orr")), "our_id")

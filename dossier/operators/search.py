@@ -81,7 +81,7 @@ def snippet(text: Column, term: str, width: int = 60) -> Column:
     return F.when(at > 0, F.substring(text, F.greatest(at - width // 2, F.lit(1)), F.lit(width)))
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 19)
 def stem(word: str) -> str:
     """The Porter stemmer, by its published steps."""
     if len(word) <= 2:
@@ -136,6 +136,18 @@ def stem(word: str) -> str:
     return w[:-1] if m(w) > 1 and double(w) and w.endswith("l") else w
 
 
+def stems(text: Column) -> Column:
+    """The distinct stems of a text's folded words: a word is stemmed once a text, and
+    once a task as long as it is remembered."""
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda t: [] if t is None else list({stem(w) for w in set(_RUNS.findall(_plain(t)))}))
+
+    return run(text)
+
+
 def stemmed(words: Column) -> Column:
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

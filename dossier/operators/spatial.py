@@ -43,14 +43,23 @@ def path_length(points: DataFrame, key: str, order: str) -> DataFrame:
     return points.withColumn("d", d).groupBy(key).agg(F.round(F.coalesce(F.sum("d"), F.lit(0.0)), 6).alias("km"), F.count("*").alias("points"))
 
 
-def candidates(names: DataFrame, gazetteer_stop: tuple[str, ...] = ()) -> DataFrame:
+def candidates(names: DataFrame, gazetteer_stop: tuple[str, ...] = (), heads: DataFrame | None = None) -> DataFrame:
     """id, place, tier and at: the place names a row could mean, best tier first:
     its municipality, the name's runs of 4, 3 and 2 words, single words of 6
-    letters or more."""
+    letters or more.  With ``heads`` (head, admin1: first words of known places) runs
+    that begin otherwise are left out before anything is shuffled."""
     words = F.filter(F.split(F.lower("name"), "[^a-z0-9]+"), lambda t: t != "")
     n = names.withColumn("w", words)
     town = F.when(F.coalesce("municipality", F.lit("")) != "", F.array(F.lower("municipality"))).otherwise(F.array().cast("array<string>"))
     single = F.filter("w", lambda t: (F.length(t) >= 6) & (~t.isin(*gazetteer_stop) if gazetteer_stop else F.lit(True)))
+    if heads is not None:
+        spots = n.where(F.size("w") > 0).select("id", "admin1", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice("w", i, F.lit(4)))).alias("at", "s"))
+        near = spots.join(heads.select(F.col("head"), F.col("admin1").alias("of")), (F.col("s")[0] == F.col("head")) & (F.col("admin1") == F.col("of")))
+        run = lambda k: F.when(F.size("s") >= k, F.array_join(F.slice("s", 1, k), " "))
+        alone = F.when((F.length("head") >= 6) & (~F.col("head").isin(*gazetteer_stop) if gazetteer_stop else F.lit(True)), F.col("head"))
+        made = F.array(*(F.struct(F.lit(tier).alias("tier"), place.alias("place")) for tier, place in enumerate((run(4), run(3), run(2), alone), 1)))
+        runs = near.select("id", "admin1", "at", F.explode(made).alias("x")).select("id", "admin1", "x.tier", "at", "x.place").where("place IS NOT NULL")
+        return n.select("id", "admin1", F.lit(0).alias("tier"), F.posexplode(town).alias("at", "place")).unionByName(runs)
     tiers = [town, *(T.ngrams(F.col("w"), k) for k in (4, 3, 2)), single]
     parts = [n.select("id", "admin1", F.lit(i).alias("tier"), F.posexplode(t).alias("at", "place")) for i, t in enumerate(tiers)]
     out = parts[0]
@@ -62,7 +71,8 @@ def candidates(names: DataFrame, gazetteer_stop: tuple[str, ...] = ()) -> DataFr
 def geocode(names: DataFrame, gazetteer: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """Each row's first place in the gazetteer (place, admin1, lat, lon): id, place,
     tier (how it was found), lat, lon.  Rows without one are left out."""
-    hit = candidates(names, stop).join(gazetteer, ["place", "admin1"])
+    heads = gazetteer.select(F.split("place", " ")[0].alias("head"), "admin1").distinct()
+    hit = candidates(names, stop, heads).join(gazetteer, ["place", "admin1"])
     first = F.struct("tier", "at")
     return hit.groupBy("id").agg(F.min_by(F.struct("place", "tier", "lat", "lon"), first).alias("b")).select("id", "b.place", "b.tier", "b.lat", "b.lon")
 
