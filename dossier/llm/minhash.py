@@ -366,5 +366,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs``, all columns, without near copies of a document with
     a smaller id.  Rows with a null id stay, as do all rows of a kept id and documents
     without words; an empty table stays empty; other columns pass through."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    free = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias(free)).distinct()
+    return docs.join(gone, F.col(id_col).cast("long") == F.col(free), "left_anti")

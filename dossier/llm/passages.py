@@ -360,8 +360,8 @@ def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts the spans in __cut; rows without any pass as they are."""
     shared.trim()
     for batch in shared.small(batches):
-        columns = dict(zip(batch.schema.names, batch.columns))
-        cuts = columns.pop("__cut").to_pylist()
+        *names, cuts = batch.schema.names  # the cuts stand last
+        columns, cuts = dict(zip(names, batch.columns)), batch.column(cuts).to_pylist()
         if any(cuts):
             texts, changed = shared.texts_of(batch), {}
             for i, rows in enumerate(cuts):
@@ -393,7 +393,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     repeated under one id are cut each by its own spans; an empty table stays
     empty; other columns, whatever their names, pass through.
     """
-    cuts = repeated_spans(docs).where("repeat").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start_word", "n_words")).alias("__cut"))
-    cuts = cuts.withColumnsRenamed({"doc_id": "__id", "text_key": "__key"}).hint("shuffle_hash")
-    both = docs.join(cuts, (F.col("doc_id").cast("long") == F.col("__id")) & (text_key("text") == F.col("__key")), "left").drop("__id", "__key")
+    free = "_" * (1 + max(map(len, docs.columns)))  # names that no column has
+    cuts = repeated_spans(docs).where("repeat").groupBy(F.col("doc_id").alias(f"{free}i"), F.col("text_key").alias(f"{free}k")).agg(F.collect_list(F.struct("start_word", "n_words")).alias(f"{free}c")).hint("shuffle_hash")
+    both = docs.join(cuts, (F.col("doc_id").cast("long") == F.col(f"{free}i")) & (text_key("text") == F.col(f"{free}k")), "left").select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"{free}c"))
     return both.mapInArrow(_cut_text, docs.schema)

@@ -234,13 +234,14 @@ def fit(docs: DataFrame) -> Model:
         codes, counts = np.array([r["pattern"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.float64)
         good, chance, prior = accuracies(codes, counts) if len(rows) else (np.zeros(0), np.zeros((len(LABELLERS) + 1, len(LABELLERS), 3)), 0.5)
         posterior = dict(zip(codes.tolist(), good.tolist()))
-        span = 1 << 20
+        span = 1 << 40
         # in a word's features as well as in documents: what comes to the driver is bounded
         whole = max(1.0, float(sum(r["words"] for r in rows)))
         share = min(span, int(np.ceil(span * min(SAMPLE / max(1.0, counts.sum()), SAMPLE_WORDS / whole))))
-        sample = texts.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(span)) < share).select("text")
+        # by id and text, so that rows without an id are sampled like others
+        sample = texts.where(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(span)) < share).select("text")
         index, value, labels = [], [], []
-        for r in sample.mapInArrow(_examples, "pattern long, index array<long>, value array<double>").limit(2 * SAMPLE).toLocalIterator():
+        for r in sample.mapInArrow(_examples, "pattern long, index array<long>, value array<double>").toLocalIterator():
             index.append(np.array(r["index"], np.int64))
             value.append(np.array(r["value"]))
             labels.append(posterior.get(r["pattern"], prior))

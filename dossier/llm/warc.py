@@ -12,7 +12,9 @@ the attempt; a commit moves them into place, so lost attempts leave nothing.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
+import io
 import struct
 import uuid
 import zlib
@@ -61,56 +63,108 @@ def record(page_id: int, url: str | None, digest: str, size: int, refers_to: int
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def _number(text: str | None) -> int | None:
+    """A whole number of this profile; what other archives put there is none."""
+    return int(text) if text and text.lstrip("-").isascii() and text.lstrip("-").isdigit() else None
+
+
 def parse_headers(head: bytes) -> dict:
-    """The named columns of a record's header block."""
-    lines = head.decode("utf-8").split("\r\n")
+    """The named columns of a record's header block.  Bytes that aren't UTF-8 are read
+    as Latin-1; columns that only this profile has are null in other archives."""
+    try:
+        lines = head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError:
+        lines = head.decode("latin-1").split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"no WARC record: {lines[0][:40]!r}")
-    h = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-    refers, page = h.get("warc-refers-to", ""), h.get("x-page-id")
+    h: dict[str, str] = {}
+    for x in lines[1:]:
+        k, _, v = x.partition(":")
+        h.setdefault(k.strip().lower(), v.strip())
+    refers = h.get("warc-refers-to", "").rpartition(":")[2].rstrip(">")
     return {
-        "page_id": int(page) if page else None,
-        "target_uri": h.get("warc-target-uri"),
+        "page_id": _number(h.get("x-page-id")),
+        "target_uri": h["warc-target-uri"].strip("<>") if "warc-target-uri" in h else None,
         "record_type": h.get("warc-type"),
-        "payload_bytes": int(h["x-payload-bytes"]) if "x-payload-bytes" in h else None,
+        "payload_bytes": _number(h.get("x-payload-bytes")),
         "payload_digest": h.get("warc-payload-digest", "").rpartition(":")[2] or None,
-        "refers_to": int(refers.rpartition(":")[2].rstrip(">")) if refers else None,
+        "refers_to": _number(refers),
         "content_length": int(h["content-length"]),
     }
 
 
-def read_records(data: bytes, wanted, payloads: bool) -> Iterator[dict]:
-    """Records of a file whose headers pass ``wanted``."""
-    at = 0
-    while at < len(data):
-        flags = data[at + 3]
-        length = None
-        start = at + 10
-        if flags & 4:
-            extra = struct.unpack_from("<H", data, start)[0]
-            if extra == 12 and data[start + 2 : start + 4] == b"SL":
-                length = struct.unpack_from("<I", data, start + 6)[0]
-            start += 2 + extra
-        inflate = zlib.decompressobj(-15)
-        body = memoryview(data)[start : at + length if length else len(data)]
-        head = inflate.decompress(body, _HEAD)
+def _payload(block: bytes, row: dict) -> bytes | None:
+    return block.partition(b"\r\n\r\n")[2] if row["record_type"] == "response" else None
+
+
+def _own_length(start: bytes) -> int | None:
+    """The compressed length that a member of this profile tells."""
+    return struct.unpack_from("<I", start, 16)[0] if len(start) == 24 and start[3] & 4 and start[10:14] == b"\x0c\0SL" else None
+
+
+def _sought(source, at: int, wanted, payloads: bool) -> Iterator[tuple[dict | None, int]]:
+    """Records whose members tell their length, with where the next one starts: headers
+    are inflated first, what isn't wanted is passed over."""
+    while True:
+        source.seek(at)
+        length = _own_length(source.read(24))
+        if length is None:
+            return
+        inflate, left, head = zlib.decompressobj(-15), length - 32, b""
         while (cut := head.find(b"\r\n\r\n")) < 0:
-            more = inflate.decompress(inflate.unconsumed_tail, _HEAD)
+            more = inflate.unconsumed_tail or source.read(min(left, _HEAD))
+            left -= 0 if inflate.unconsumed_tail else len(more)
             if not more:
                 raise ValueError("a record without the end of its headers")
-            head += more
-        row = parse_headers(head[:cut])
-        keep = wanted(row)
-        size = row.pop("content_length")
-        if keep and payloads or length is None:
-            whole = head if inflate.eof else head + inflate.decompress(inflate.unconsumed_tail)
-            block = whole[cut + 4 : cut + 4 + size]
-            row["payload"] = block.partition(b"\r\n\r\n")[2] if row["record_type"] == "response" and payloads else None
-        else:
+            head += inflate.decompress(more, _HEAD)
+        row, at = parse_headers(head[:cut]), at + length
+        size, keep = row.pop("content_length"), wanted(row)
+        row["payload"] = None
+        if keep and payloads and row["record_type"] == "response":
+            rest = inflate.unconsumed_tail + source.read(left)
+            whole = head if inflate.eof else head + inflate.decompress(rest)
+            row["payload"] = _payload(whole[cut + 4 : cut + 4 + size], row)
+        yield (row if keep else None), at
+
+
+def _inflated(source, at: int, wanted, payloads: bool) -> Iterator[dict]:
+    """Records of any gzip stream from ``at`` on, whatever its members are, in one pass;
+    blocks that aren't wanted are inflated, as nothing tells their compressed length, and
+    dropped piece by piece."""
+    source.seek(at)
+    with gzip.GzipFile(fileobj=source) as stream:
+        while True:
+            head = stream.readline()
+            while head in (b"\r\n", b"\n"):  # what ends the record before
+                head = stream.readline()
+            if not head:
+                return
+            while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+                head += line
+            row = parse_headers(head.replace(b"\r\n", b"\n").replace(b"\n", b"\r\n").removesuffix(b"\r\n"))
+            size, keep = row.pop("content_length"), wanted(row)
             row["payload"] = None
-        if keep:
+            if keep and payloads and row["record_type"] == "response":
+                row["payload"] = _payload(stream.read(size), row)
+            else:
+                while size > 0 and (gone := len(stream.read(min(size, 1 << 16)))):
+                    size -= gone
+            if keep:
+                yield row
+
+
+def read_records(source, wanted, payloads: bool) -> Iterator[dict]:
+    """Records of a file (bytes, or an open file that can seek) whose headers pass
+    ``wanted``.  Members of this profile are sought; from the first other one on the
+    file is read as one stream.  One record is held at a time."""
+    source = io.BytesIO(source) if isinstance(source, bytes) else source
+    at = 0
+    for row, at in _sought(source, 0, wanted, payloads):
+        if row is not None:
             yield row
-        at = at + length if length else len(data) - len(inflate.unused_data) + 8
+    source.seek(at)
+    if source.read(1):
+        yield from _inflated(source, at, wanted, payloads)
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -157,8 +211,6 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         where, _ = _open(self.path)
-        with where.open_input_file(partition.path) as f:
-            data = f.read()
         tests = self.tests
 
         def wanted(row: dict) -> bool:
@@ -171,12 +223,13 @@ class WarcReader(DataSourceReader):
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names=names)
 
-        for row in read_records(data, wanted, self.payloads):
-            rows.append(row)
-            size += len(row["payload"] or b"")
-            if len(rows) >= 1000 or size >= 4 << 20:
-                yield batch()
-                rows, size = [], 0
+        with where.open_input_file(partition.path) as f:
+            for row in read_records(f, wanted, self.payloads):
+                rows.append(row)
+                size += len(row["payload"] or b"")
+                if len(rows) >= 1000 or size >= 4 << 20:
+                    yield batch()
+                    rows, size = [], 0
         if rows:
             yield batch()
 

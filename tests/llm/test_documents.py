@@ -551,3 +551,14 @@ def test_mix_settings_and_folders(spark):
 
     with pytest.raises(ValueError):
         shared.work_dir(Far)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that an operator might use for itself."""
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, text, 1, 2, 3, 4, 5), (2, text, 6, 7, 8, 9, 10), (3, "other " + text, 11, 12, 13, 14, 15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __gone int, __id int, __key int, __cut int, ____ int")
+    kept = minhash.keep_one(df)
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [rows[0]]
+    cut = {r.doc_id: tuple(r) for r in passages.cut_repeats(df).collect()}
+    assert cut[1] == rows[0] and cut[2][2:] == rows[1][2:] and len(cut[3][1]) < len(rows[2][1])

@@ -253,3 +253,70 @@ def test_searches_with_clashing_names(spark):
     for f in (ann.nearest, mips.top_products):
         got = f(df).collect()
         assert len(got) == 15 and {r.query_id for r in got} == {0, 50, 100}
+
+
+def foreign(n, size=3000):
+    """Records as others write them: urn ids, Latin-1 in a header, no length of members."""
+    rng = np.random.default_rng(2)
+    out = []
+    for i in range(n):
+        body = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n" + bytes(rng.integers(97, 123, size, np.uint8))
+        kind = ("response", "request", "metadata")[i % 3]
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{i:08x}-0>\r\nWARC-Refers-To: <urn:uuid:ab-cd>\r\nWARC-Target-URI: <http://x.net/{i}>\r\nX-Note: caf".encode() + b"\xe9" + f"\r\nContent-Length: {len(body)}".encode()
+        out.append((kind, body.partition(b"\r\n\r\n")[2], head + b"\r\n\r\n" + body + b"\r\n\r\n"))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["members", "named", "whole"])
+def test_archives_of_others(spark, tmp_path, kind):
+    import gzip
+    import io
+
+    rows = foreign(60)
+
+    def named(data):
+        buffer = io.BytesIO()
+        with gzip.GzipFile("record with a name.warc", "wb", fileobj=buffer) as f:
+            f.write(data)
+        return buffer.getvalue()
+
+    pack = named if kind == "named" else gzip.compress
+    data = pack(b"".join(r[2] for r in rows)) if kind == "whole" else b"".join(pack(r[2]) for r in rows)
+    # after records of our own in the same file, too
+    own = warc._member(warc.record(7, "http://y/", "0" * 64, 3, None, b"abc"))
+    got = list(warc.read_records(own + data, lambda r: r["record_type"] == "response", True))
+    assert [r["payload"] for r in got] == [b"abc"] + [r[1] for r in rows if r[0] == "response"]
+    assert got[1]["target_uri"] == "http://x.net/0" and got[1]["refers_to"] is None and got[1]["page_id"] is None
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    df = warc.read(spark, f"file://{tmp_path}")
+    assert df.where("record_type = 'request'").count() == 20 and df.where("payload IS NOT NULL").count() == 20
+
+
+def test_archives_of_others_in_one_pass():
+    """Time grows with the file: once as many members were 60 times as slow."""
+    import gzip
+    import time
+
+    rows = foreign(6000, 1500)
+    data = b"".join(gzip.compress(r[2], 1) for r in rows)
+    start = time.perf_counter()
+    assert sum(1 for _ in warc.read_records(data, lambda r: True, True)) == 6000
+    assert time.perf_counter() - start < 20
+
+
+def test_members_are_sought_not_read():
+    """Of records that aren't wanted only the first bytes are read."""
+    import io
+
+    class Counted(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.seen += len(data)
+            return data
+
+    rng = np.random.default_rng(1)
+    data = b"".join(warc._member(warc.record(i, f"http://y/{i}", "0" * 64, 3, None, rng.bytes(50_000))) for i in range(50))
+    assert [r["page_id"] for r in warc.read_records(Counted(data), lambda r: r["page_id"] == 20, True)] == [20]
+    assert Counted.seen < len(data) / 5
