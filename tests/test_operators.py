@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,7 +113,7 @@ def test_html(spark):
 def test_writers(spark, tmp_path):
     f = spark.createDataFrame([(2, -75.0, 45.0, "b", None), (1, None, None, "a", "t")], "ord long, lon double, lat double, name string, type string")
     writers.feature_collection(f, str(tmp_path / "out"))
-    data = json.loads("".join(p.read_text() for p in (tmp_path / "out").glob("part-*")))
+    data = json.loads((tmp_path / "out").read_text())  # one file, joined at commit
     assert [x["properties"]["name"] for x in data["features"]] == ["a", "b"]
     assert data["features"][1]["geometry"]["coordinates"] == [-75.0, 45.0]
     assert writers.if_changed(f, str(tmp_path / "t")) and not writers.if_changed(f, str(tmp_path / "t"))
@@ -251,3 +253,59 @@ def test_layer_titles_are_met_inside_words(spark):
     layers = spark.createDataFrame([("a", "land"), ("b", "of on"), ("c", "x"), ("d", ""), ("e", "Wetlands of Ontario"), ("f", "lando")], "label string, match string")
     entries = spark.createDataFrame([(1, "Nothing", "u1"), (2, "Wetlands of Ontario", "u2"), (3, "Islands", "u3"), (4, "x", ""), (5, "A x", "u5"), (6, None, "u6")], "ord int, title string, link string")
     assert dict(rows(enrich.layer_titles(layers, entries), "label", "link")) == {"a": "u2", "b": "u2", "c": "u5", "d": "u1", "e": "u2"}
+
+
+def _masses(ext, ours):
+    n = len(ours)
+    df = {}
+    for toks in ours.values():
+        for t in set(toks):
+            df[t] = df.get(t, 0) + 1
+    weight = lambda t: math.log((n + 1) / (df[t] + 1)) + 1 if t in df else math.log(n + 1.0) + 1
+    out = {}
+    for e, a in ext.items():
+        for o, b in ours.items():
+            both = set(a) & set(b)
+            if both:
+                mass = sum(map(weight, both))
+                out[e, o] = (len(both), mass / sum(map(weight, set(a))), mass / sum(map(weight, set(b))))
+    return out
+
+
+def _sides(spark, seed):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(120)]
+    weights = [1 / (i + 1) for i in range(120)]
+    bag = lambda k: list(dict.fromkeys(rng.choices(words, weights, k=k)))
+    ours = {i: bag(rng.randrange(4, 30)) for i in range(60)}
+    ext = {i: (rng.sample(ours[i], max(1, len(ours[i]) * 2 // 3)) if i % 2 else bag(8)) for i in range(30)}
+    schema = "tok array<string>, prop_tok array<string>, lon double, lat double, region long"
+    e = spark.createDataFrame([(i, t, [], None, None, i % 3) for i, t in ext.items()], f"ext_id long, {schema}")
+    o = spark.createDataFrame([(i, i, t, [], None, None, i % 3) for i, t in ours.items()], f"our_id long, ord long, {schema}")
+    return ext, ours, e, o
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_anchors_lose_no_pair_that_counts(spark, seed):
+    """By every share that may be asked for, and fewer pairs than share any token."""
+    ext, ours, e, o = _sides(spark, seed)
+    known = _masses(ext, ours)
+    idf, n = match.document_frequency(o), o.agg(F.count("*").alias("n"))
+    for share in (0.2, 0.5, 0.8):
+        got = {(r.ext_id, r.our_id): r.mass / r.ext_mass for r in match.coverage(e.drop("region"), o, idf, n, share=share, mutual=True).collect()}
+        want = {k: v[1] for k, v in known.items() if min(v[1:]) >= share}
+        assert set(want) <= set(got) and all(got[k] == pytest.approx(known[k][1]) for k in got) and len(got) < len(known)
+    best = {r.ext_id: (r.our_id, r.score) for r in match.best_match(e, o).collect()}
+    for i in ext:
+        score, ours_ = max(((round(v[1], 9), -k[1]) for k, v in known.items() if k[0] == i), default=(0.0, None))
+        assert best[i] == (ours_ if ours_ is None else -ours_, pytest.approx(round(score, 6)))
+    pairs = {}
+    for (i, j), (shared, a, b) in known.items():
+        if shared >= 2 and max(a, b) >= 0.72 and min(a, b) >= 0.5 and i % 3 == j % 3:
+            pairs.setdefault(i, []).append((round((a + b) / 2, 9), -j))
+    got = {r.our_id: r.ext_id for r in match.bidirectional(e, o).collect()}
+    firsts = {}
+    for i, found in pairs.items():
+        score, j = max(found)
+        firsts.setdefault(-j, []).append((round(score, 3), -i))
+    assert got == {j: -max(x)[1] for j, x in firsts.items()}
