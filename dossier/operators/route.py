@@ -57,7 +57,7 @@ def routes(costs: DataFrame, ends: DataFrame, k: int = 3, penalty: float = 1.35,
     """k routes for each area between its ends (r0, c0, r1, c1): area, route, seq,
     row, col, cost (of the unpenalised grid).  After each route the cells within
     ``window`` of every cell of it cost ``penalty`` times as much, again for each."""
-    both = costs.join(F.broadcast(ends), "area")
+    both = costs.join(ends, "area")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         base = {(int(r), int(c)): float(x) for r, c, x in zip(pdf["row"], pdf["col"], pdf["cost"])}

@@ -6,6 +6,9 @@ should be gives no rows
 
 from __future__ import annotations
 
+import re
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -130,6 +133,20 @@ def capture_index(rows: Column) -> Column:
     return F.filter(named, lambda r: r["status"].isin("200", "-"))
 
 
+# Types of documents that are sought among captures.
+DOCUMENT_TYPES = ("application/pdf", "application/msword", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/zip")
+
+
+def captured_documents(captures: DataFrame) -> DataFrame:
+    """Of captures (host, url, timestamp, status, mime), the documents: the first capture
+    of each url of a host that was there, by type in the order of ``DOCUMENT_TYPES`` and
+    then by time, with the address of the capture's own bytes."""
+    there = captures.where(F.col("mime").isin(*DOCUMENT_TYPES) & F.col("status").isin("200", "-"))
+    order = F.struct(F.array_position(F.array(*map(F.lit, DOCUMENT_TYPES)), F.col("mime")).alias("kind"), "timestamp")
+    first = there.groupBy("host", "url").agg(F.min_by(F.struct("timestamp", "status", "mime"), order).alias("x"))
+    return first.select("host", "url", "x.*", F.concat(F.lit("https://web.archive.org/web/"), F.col("x.timestamp"), F.lit("id_/"), F.col("url")).alias("wayback_url"))
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path) if exists(spark, path) else empty(spark, schema)
 
@@ -155,9 +172,14 @@ def whole_pdfs(files: DataFrame, least: int = 1000) -> DataFrame:
 
 
 def jdbc(spark: SparkSession, url: str, table: str, like: str, column: str, fallback: DataFrame) -> DataFrame:
-    """Distinct values like a pattern, from a database, or else from a fallback."""
+    """Distinct values like a pattern, from a database, or else from a fallback: where the
+    database can't be reached or has no driver here, which a warning says.  A table that
+    isn't there, or any other fault, is raised."""
     try:
         rows = spark.read.format("jdbc").options(url=url, dbtable=table).load()
-    except Exception:  # the database is optional
+    except Exception as e:
+        if not re.search("No suitable driver|Connection|connect|Communications link|ClassNotFound", str(e)):
+            raise
+        warnings.warn(f"{url} can't be reached, its fallback is read", stacklevel=2)
         rows = fallback
     return rows.where(F.col(column).like(like)).select(column).distinct().orderBy(column)
