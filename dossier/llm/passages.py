@@ -178,14 +178,16 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _batch({"prefix": x["prefix"], "right": r, "left": l, "doc": doc[row], "last": last[row], "key": key[row], "place": x["place"].astype(np.int32), "near": x["near"].astype(np.int32), "far": x["far"].astype(np.int32)})
 
 
+_RANGES = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("first", pa.int64())]))
 SUFFIX = "prefix long, right binary, left binary, doc long, last long, key long, place int, near int, far int"
-MATCH = "doc long, key long, low int, high int, first long, part long, window long, last long"
+RANGES = "array<struct<low:int,high:int,first:long>>"
+MATCH = f"doc long, key long, rows {RANGES}, low int, part long, window long, last long"
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes to ranges of starts (low to high) of windows that several
-    documents hold, with their owner; and, of runs dealt in parts, every window
-    with its hash and its suffix's part."""
+    documents hold, with their owner, a row for each text that a piece of the array
+    has; and, of runs dealt in parts, every window with its hash and its suffix's part."""
     shared.trim()
     names = ("prefix", "doc", "last", "key", "place", "near", "far")
     held: tuple | None = None
@@ -197,8 +199,8 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r, l = _sums(right), _sums(left)
         h = words.mix(words.mix(prefix.view(np.uint64)[row] ^ r[row, SIDE - back]) + l[row, back] + back.astype(np.uint64))
         start = (place[row] - back).astype(np.int32)
-        none = pa.nulls(len(row), pa.int64())
-        return _batch({"doc": doc[row], "key": key[row], "low": start, "high": start, "first": none, "part": part[row], "window": h.view(np.int64), "last": last[row]})
+        none = pa.nulls(len(row), _RANGES)
+        return _batch({"doc": doc[row], "key": key[row], "rows": none, "low": start, "part": part[row], "window": h.view(np.int64), "last": last[row]})
 
     def ranges(prefix, right, left, doc, last, key, place, near, far) -> Iterator[pa.RecordBatch]:
         n = len(prefix)
@@ -232,8 +234,13 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, a = np.nonzero(head)
         _, b = np.nonzero(tail)
         if len(row):
-            none = pa.nulls(len(row), pa.int64())
-            yield _batch({"doc": doc[row], "key": key[row], "low": (place[row] - b).astype(np.int32), "high": (place[row] - a).astype(np.int32), "first": first[row, a], "part": none, "window": none, "last": last[row]})
+            order = np.lexsort((doc[row], key[row]))
+            row, a, b = row[order], a[order], b[order]
+            heads = np.flatnonzero(np.r_[True, (key[row][1:] != key[row][:-1]) | (doc[row][1:] != doc[row][:-1])])
+            parts = pa.StructArray.from_arrays([pa.array((place[row] - b).astype(np.int32)), pa.array((place[row] - a).astype(np.int32)), pa.array(first[row, a])], ["low", "high", "first"])
+            rows = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(row)].astype(np.int32)), parts)
+            none = pa.nulls(len(heads), pa.int64())
+            yield _batch({"doc": doc[row][heads], "key": key[row][heads], "rows": rows, "low": pa.nulls(len(heads), pa.int32()), "part": none, "window": none, "last": last[row][heads]})
 
     def arrays(batch: pa.RecordBatch) -> tuple:
         x = {c: batch.column(c).to_numpy() for c in names}
@@ -339,11 +346,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         opened = matches.where("window is not null")
         owners = opened.groupBy("window").agg(F.min("doc").alias("first"), F.max("last").alias("final"), F.collect_set("part").alias("parts"))
         owners = scratch.cut(owners.where("first < final").select(F.col("window").alias("w"), F.col("first").alias("f"), F.explode("parts").alias("p")), "owners", "zstd")
-        ranges = matches.where("window is null").select("doc", "key", "low", "high", "first")
+        one = lambda low, high, first: F.array(F.struct(F.col(low).alias("low"), F.col(high).alias("high"), F.col(first).alias("first"))).alias("rows")
+        ranges = matches.where("window is null").select("doc", "key", "rows")
         # a window's rows meet its owner part by part, so no key is hotter than a part
-        ranges = ranges.unionAll(opened.join(owners, (F.col("part") == F.col("p")) & (F.col("window") == F.col("w"))).select("doc", "key", "low", "high", F.col("f").alias("first")))
-        ranges = ranges.unionAll(suffixes.where("place < 0").select("doc", "key", "near", "far", "doc"))
-        rows = ranges.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high", "first")).alias("rows"))
+        ranges = ranges.unionAll(opened.join(owners, (F.col("part") == F.col("p")) & (F.col("window") == F.col("w"))).select("doc", "key", one("low", "low", "f")))
+        ranges = ranges.unionAll(suffixes.where("place < 0").select("doc", "key", one("near", "far", "doc")))
+        rows = ranges.groupBy("doc", "key").agg(F.flatten(F.collect_list("rows")).alias("rows"))
         spans = scratch.cut(rows.mapInArrow(_merge, "doc_id long, text_key long, start_word long, n_words long, first_doc_id long, repeat boolean"), "spans")
         scratch.drop("suffixes", "matches", "owners")
 
@@ -357,7 +365,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts the spans in __cut; rows without any pass as they are."""
+    """Cuts the spans that the last column holds; rows without any pass as they are."""
     shared.trim()
     for batch in shared.small(batches):
         *names, cuts = batch.schema.names  # the cuts stand last
