@@ -117,8 +117,9 @@ def least_rows(rows: DataFrame, item: str, least: int) -> DataFrame:
 
 
 def major_gaps(gaps: DataFrame, least: float = 1e9) -> DataFrame:
-    """Warns of projects (name, verdict, value) of great value that nothing matches."""
-    return violations(gaps, F.col("name"), [("warn", "major_gap", (F.col("verdict") == "gap") & (F.col("value") >= least), F.col("value"))])
+    """Warns of projects (name, verdict, value) of great value that nothing matches.  The
+    value itself is compared; the message has it in whole numbers."""
+    return violations(gaps, F.col("name"), [("warn", "major_gap", (F.col("verdict") == "gap") & (F.col("value") >= least), F.round("value").cast("long"))])
 
 
 def predictions(p: DataFrame) -> DataFrame:

@@ -1,7 +1,27 @@
 """Rows that the small tables don't have, or that only larger tables show."""
 
+import shutil
+
+from compare import connect, same
+from dossier import queries
 from dossier.operators import match
 
+FOLDER = "/root/testdata/sf0.001"
+
+
+def _folder(to, **tables):
+    """A copy of the smallest tables with some of them replaced."""
+    shutil.copytree(FOLDER, to, copy_function=shutil.copyfile)
+    to.chmod(0o755)
+    for name, rows in tables.items():
+        (to / f"{name}.parquet").unlink()
+        rows.write.parquet(f"{to}/{name}.parquet")
+    return str(to)
+
+
+def _equal(spark, name, folder):
+    return same(spark, connect(folder), queries.queries()[name], queries.oracle_sql()[name], folder)
+
 
 def test_rare_anchors_ask_for_no_region(spark):
     """Pairs of different regions count, unless they are to be left out."""
@@ -13,3 +33,11 @@ def test_rare_anchors_ask_for_no_region(spark):
     found = lambda **more: {(r.ext_id, r.our_id, r.shared) for r in match.coverage(e, o, idf, n, 2, **more).collect()}
     assert found() == {(1, 1, 2), (1, 2, 1)}
     assert found(apart=True) == {(1, 2, 1)}
+
+
+def test_values_are_compared_before_they_are_rounded(spark, tmp_path):
+    values = {2: 9899.49, 4: 9899.5, 6: 9899.99, 8: 9900.0, 10: 9900.27, 12: 9900.5, 13: 9950.0, 14: None}
+    rows = [(k, f"C{k}", k % 25, v, "BUILDING") for k, v in values.items()]
+    customer = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
+    folder = _folder(tmp_path / "t", customer=customer)
+    assert _equal(spark, "checks_that_may_crash", folder) == 2 + 3
