@@ -29,6 +29,18 @@ def envelope(lon: Column, lat: Column, metres: float) -> tuple[Column, Column, C
     return lon - dx, lat - dy, lon + dx, lat + dy
 
 
+def reach(lon: Column, lat: Column, km: Column) -> tuple[Column, Column, Column, Column]:
+    """West, south, east and north of all that lies within a distance, in degrees.  The
+    farthest meridian is met nearer to the pole than the place itself; a circle around a
+    pole has all of them.  West and east may lie beyond a full turn's ends."""
+    turn = km / EARTH_KM
+    # a little further than numbers say, as sines are rounded
+    dy = F.degrees(turn) * (1 + 1e-9) + 1e-9
+    side = F.sin(F.least(turn, F.lit(math.pi / 2))) / F.cos(F.radians(lat))
+    dx = F.when(F.abs(lat) + dy >= 90, 180.0).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), side))) * (1 + 1e-9) + 1e-6)
+    return lon - dx, lat - dy, lon + dx, lat + dy
+
+
 def in_canada(lon: Column, lat: Column, inclusive: bool = False) -> Column:
     w, s, e, n = CANADA
     return ((lon >= w) & (lon <= e) & (lat >= s) & (lat <= n)) if inclusive else ((lon > w) & (lon < e) & (lat > s) & (lat < n))

@@ -6,18 +6,36 @@ envelope covers, so joins are equi-joins on cells with an exact residual.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.geo import envelope, haversine_km
+from ..functions.geo import envelope, haversine_km, reach
 
 
 def _cell(x, size: float):
     return F.floor(x / size).cast("int")
 
 
+def _column(lon, size: float):
+    """The column of cells of a meridian, counted from 0 once around the earth."""
+    return F.floor(F.pmod(lon, F.lit(360.0)) / size).cast("int")
+
+
+def _reached(rows: DataFrame, lon, lat, km, size: float) -> DataFrame:
+    """Rows with each cell (cx, cy) that holds places within km of theirs."""
+    w, s, e, n = reach(lon, lat, km)
+    last = F.lit(math.ceil(360 / size) - 1)
+    west, east = _column(w, size), _column(e, size)
+    # from west to east, past the end of the turn where that comes between
+    columns = F.when(e - w >= 360 - size, F.sequence(F.lit(0), last)).when(west <= east, F.sequence(west, east)).otherwise(F.concat(F.sequence(west, last), F.sequence(F.lit(0), east)))
+    known = rows.where(lon.isNotNull() & lat.isNotNull() & km.isNotNull())
+    return known.select("*", columns.alias("__xs"), F.sequence(_cell(s, size), _cell(n, size)).alias("__ys")).select("*", F.explode("__xs").alias("cx")).select("*", F.explode("__ys").alias("cy")).drop("__xs", "__ys")
+
+
 def envelope_hits(points: DataFrame, layer: DataFrame, metres: float, cell: float = 1.0) -> DataFrame:
     """Points (point_id, lon, lat) and layer points (hit_id, lon, lat) inside the
     envelope of each point."""
@@ -30,8 +48,9 @@ def envelope_hits(points: DataFrame, layer: DataFrame, metres: float, cell: floa
 
 def within(a: DataFrame, b: DataFrame, km: float, cell: float = 1.0) -> DataFrame:
     """Pairs (point_id, hit_id, km) no further apart than km."""
-    near = envelope_hits(a, b, km * 1000 * 1.01, cell)
-    j = near.join(a, "point_id").join(b.select("hit_id", F.col("lon").alias("x"), F.col("lat").alias("y")), "hit_id")
+    p = _reached(a.select("point_id", "lon", "lat"), F.col("lon"), F.col("lat"), F.lit(float(km)), cell)
+    q = b.select("hit_id", F.col("lon").alias("x"), F.col("lat").alias("y"), _column(F.col("lon"), cell).alias("cx"), _cell(F.col("lat"), cell).alias("cy"))
+    j = p.join(q, ["cx", "cy"])
     d = haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y"))
     return j.withColumn("km", d).where(F.col("km") <= km).select("point_id", "hit_id", F.round("km", 6).alias("km"))
 
@@ -97,11 +116,9 @@ def in_polygon(points: DataFrame, rings: dict[str, list[tuple[float, float]]]) -
 def triggered(points: DataFrame, features: DataFrame, rules: DataFrame, cell: float = 1.0) -> DataFrame:
     """point_id, discipline and how many features trigger it: those of a kind that a
     rule (kind, km, discipline) names and within the rule's distance.  Features
-    meet points on the cells of each rule's envelope."""
-    fires = features.join(rules, "kind").select(F.monotonically_increasing_id().alias("f"), F.col("lon").alias("x"), F.col("lat").alias("y"), "km", "discipline")
-    w, s, e, n = envelope(F.col("x"), F.col("y"), F.col("km") * 1010)
-    wide = fires.select("*", w.alias("w"), s.alias("s"), e.alias("e"), n.alias("n"))
-    wide = wide.select("*", F.explode(F.sequence(_cell(F.col("w"), cell), _cell(F.col("e"), cell))).alias("cx")).select("*", F.explode(F.sequence(_cell(F.col("s"), cell), _cell(F.col("n"), cell))).alias("cy"))
-    p = points.withColumn("cx", _cell(F.col("lon"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
+    meet points on the cells that each rule's distance reaches."""
+    fires = features.join(rules, "kind").select(F.col("lon").alias("x"), F.col("lat").alias("y"), "km", "discipline")
+    wide = _reached(fires, F.col("x"), F.col("y"), F.col("km"), cell)
+    p = points.withColumn("cx", _column(F.col("lon"), cell)).withColumn("cy", _cell(F.col("lat"), cell))
     near = p.join(wide, ["cx", "cy"]).where(haversine_km(F.col("lon"), F.col("lat"), F.col("x"), F.col("y")) <= F.col("km"))
     return near.groupBy("point_id", "discipline").agg(F.count("*").alias("features"))

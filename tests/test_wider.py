@@ -1,10 +1,12 @@
 """Rows that the small tables don't have, or that only larger tables show."""
 
+import math
+import random
 import shutil
 
 from compare import connect, same
 from dossier import queries
-from dossier.operators import match
+from dossier.operators import match, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -41,3 +43,26 @@ def test_values_are_compared_before_they_are_rounded(spark, tmp_path):
     customer = spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string")
     folder = _folder(tmp_path / "t", customer=customer)
     assert _equal(spark, "checks_that_may_crash", folder) == 2 + 3
+
+
+def test_distances_near_a_pole_and_past_the_end_of_a_turn(spark):
+    """Meridians draw together: a box as wide as at the place's own latitude is too narrow."""
+    rng = random.Random(3)
+    spots = [(rng.uniform(-180, 180), rng.choice((rng.uniform(78, 90), rng.uniform(-90, 90)))) for _ in range(300)]
+    spots += [(179.9, 10.0), (-179.9, 10.0), (180.0, 0.0), (-180.0, 0.0), (0.0, 90.0), (90.0, 90.0), (5.0, -89.9), (-170.0, -89.9)]
+
+    def km(a, b):
+        (x1, y1), (x2, y2) = ((math.radians(v) for v in p) for p in (a, b))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2)))
+
+    rows = [(i, x, y) for i, (x, y) in enumerate(spots)]
+    a = spark.createDataFrame([*rows, (900, None, 1.0)], "point_id long, lon double, lat double")
+    b = spark.createDataFrame([*rows, (901, 1.0, None)], "hit_id long, lon double, lat double")
+    for far in (30, 400, 2500):
+        want = {(i, j) for i, p in enumerate(spots) for j, q in enumerate(spots) if km(p, q) <= far}
+        got = [(r.point_id, r.hit_id) for r in spatial.within(a, b, far, 2.0 if far > 30 else 0.7).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    rules = spark.createDataFrame([("k", 400.0, "noise")], "kind string, km double, discipline string")
+    kinds = b.selectExpr("'k' AS kind", "lon", "lat")
+    got = {r.point_id: r.features for r in spatial.triggered(a, kinds, rules, 2.0).collect()}
+    assert got == {i: sum(km(p, q) <= 400 for q in spots) for i, p in enumerate(spots)}
