@@ -169,11 +169,15 @@ def layer_titles(layers: DataFrame, entries: DataFrame) -> DataFrame:
     into all runs of one to ``GRAM`` letters and met on the match's first letters; an
     empty match is in every title."""
     title = F.lower(F.coalesce("title", F.lit("")))
-    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - (n - 1), F.lit(1))), lambda i: F.substr(title, i, F.lit(n)))
+    # the first entry of a title stands for it; of entries without an order, any
+    first = entries.where(F.nullif("link", F.lit("")).isNotNull()).groupBy(title.alias("__t")).agg(F.min_by(F.struct("ord", "title", "link"), "ord").alias("f"))
+    t = F.col("__t")
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substr(t, i, F.lit(n)))
     grams = F.array_distinct(F.concat(F.array(F.lit("")), *(runs(n) for n in range(1, GRAM + 1))))
-    e = entries.where(F.nullif("link", F.lit("")).isNotNull()).select("ord", "title", "link", F.explode(grams).alias("__w"))
+    e = first.select("__t", "f.*", F.explode(grams).alias("__w"))
     m = layers.select("label", "match", F.lower(F.substring("match", 1, GRAM)).alias("__w"))
-    hit = m.join(e, "__w").where(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower("match")))
+    # Spark takes the runs for as small as the titles and would broadcast them
+    hit = m.join(e.hint("merge"), "__w").where(F.contains("__t", F.lower("match")))
     return hit.groupBy("label").agg(F.min_by(F.struct("title", "link"), "ord").alias("b")).select("label", "b.title", "b.link")
 
 

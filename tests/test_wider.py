@@ -6,7 +6,7 @@ import shutil
 
 from compare import connect, same
 from dossier import queries
-from dossier.operators import match, spatial
+from dossier.operators import enrich, match, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -97,3 +97,20 @@ def test_equal_rows_are_searched_once(spark, monkeypatch):
         score, _, j, part = max(found, default=(0.0, 0, None, 0.0))
         assert got[i][:3] == (j, round(score, 6), round(part, 6))
     assert len(got) == len(ext)
+
+
+def _broadcasts(df):
+    """What the plan would send from the driver to all tasks."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "BroadcastExchange" in line]
+
+
+def test_runs_of_letters_are_never_broadcast(spark, tmp_path):
+    """Spark doesn't know how many there are of the second side's; titles weigh once."""
+    rows = [(9, "Red Gear", "l9"), (3, "red gear", "l3"), (1, "red gear", ""), (5, "blue ring", "l5"), (7, None, "l7"), (8, "red gear", None)]
+    spark.createDataFrame(rows, "ord long, title string, link string").write.parquet(f"{tmp_path}/e")
+    entries = spark.read.parquet(f"{tmp_path}/e")
+    layers = spark.createDataFrame([("A", "GEAR"), ("B", "e ri"), ("C", "none"), ("D", "")], "label string, match string")
+    df = enrich.layer_titles(layers, entries)
+    assert not _broadcasts(df)
+    assert {tuple(r) for r in df.collect()} == {("A", "red gear", "l3"), ("B", "blue ring", "l5"), ("D", "red gear", "l3")}
