@@ -21,6 +21,9 @@ from ..plans.cut import cut
 
 #: Cells reach a little further than numbers say, as quotients are rounded.
 MARGIN = 1e-9
+#: Spark takes cells for as few as the shapes that they were made of, and would broadcast
+#: them from the driver; joins with cells shuffle.
+APART = "merge"
 # Fixed value: what a layer adds that a route must not cross.
 FORBIDDEN = 14000.0
 
@@ -85,7 +88,7 @@ def cover(shapes: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame
     span = xs.where(F.size("xs") > 1).select("shape_id", *by, "cy", pair)
     first, last = F.ceil(F.col("p.a") / size - 0.5).cast("int"), F.floor(F.col("p.b") / size - 0.5).cast("int")
     inner = span.where(first <= last).select("shape_id", *by, F.explode(F.sequence(first, last)).alias("cx"), "cy").distinct()
-    inner = inner.join(border, ["shape_id", "cx", "cy"], "left_anti")
+    inner = inner.join(border.hint(APART), ["shape_id", "cx", "cy"], "left_anti")
     return border.unionByName(inner.withColumn("sure", F.lit(True)))
 
 
@@ -93,19 +96,44 @@ def inside(places: DataFrame, shapes: DataFrame, size: float, by: tuple[str, ...
     """place_id and shape_id of each place (place_id, x, y) inside a shape or within its
     buffer, where they agree in the columns ``by``.  Places with a null coordinate are
     nowhere."""
-    at = places.select("place_id", *by, "x", "y", F.floor(F.col("x") / size).cast("int").alias("cx"), F.floor(F.col("y") / size).cast("int").alias("cy"))
-    met = cut(at.join(cover(shapes, size, by), [*by, "cx", "cy"]))
-    rest = met.where("NOT sure").drop("sure")
+    at = _at(places, size, by)
+    met = cut(at.join(cover(shapes, size, by).hint(APART), [*by, "cx", "cy"]))
+    pair = ["place_id", "shape_id"]
+    return met.where("sure").select(*pair).unionByName(_tested(met.where("NOT sure").drop("sure"), shapes, size)).distinct()
+
+
+def _at(places: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
+    return places.select("place_id", *by, "x", "y", F.floor(F.col("x") / size).cast("int").alias("cx"), F.floor(F.col("y") / size).cast("int").alias("cy"))
+
+
+def _tested(rest: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
+    """place_id and shape_id, once, of the places (place_id, x, y, cx, cy, shape_id) in
+    border cells of a shape that are in it or within its buffer."""
     edge = edges(shapes)
     spot = [F.col("x"), F.col("y")]
-    near = rest.join(touched(edge, size), ["shape_id", "cx", "cy"])
+    near = rest.join(touched(edge, size).hint(APART), ["shape_id", "cx", "cy"])
     near = near.where(square_distance(*spot, *(F.col(c) for c in ("x1", "y1", "x2", "y2"))) <= F.col("buffer") * F.col("buffer"))
     row = edge.where("closed AND y1 <> y2").select("shape_id", "x1", "y1", "x2", "y2", F.explode(_span(F.least("y1", "y2"), F.greatest("y1", "y2"), size)).alias("cy"))
-    cast = rest.join(row, ["shape_id", "cy"]).where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
+    cast = rest.join(row.hint(APART), ["shape_id", "cy"]).where((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y")))
     right = F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1")
     odd = cast.where(right).groupBy("place_id", "shape_id").agg(F.count("*").alias("n")).where("n % 2 = 1")
     pair = ["place_id", "shape_id"]
-    return met.where("sure").select(*pair).unionByName(near.select(*pair)).unionByName(odd.select(*pair)).distinct()
+    return near.select(*pair).unionByName(odd.select(*pair)).distinct()
+
+
+def counted(places: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
+    """place_id, the first (least) shape_id and how many shapes a place is inside, as
+    ``inside`` has them; null and 0 where it is in none.  Inner cells count their shapes
+    once for all places, and places of one spot are tested once."""
+    spots = places.where("x IS NOT NULL AND y IS NOT NULL").select(F.struct("x", "y").alias("place_id"), "x", "y").distinct()
+    covered = cut(cover(shapes, size))
+    figures = lambda rows, *key: rows.groupBy(*key).agg(F.min("shape_id").alias("first"), F.count("*").alias("n"))
+    at = cut(_at(spots, size))
+    sure = at.join(figures(covered.where("sure"), "cx", "cy"), ["cx", "cy"]).select("place_id", "first", "n")
+    rest = cut(at.join(covered.where("NOT sure").drop("sure").hint(APART), ["cx", "cy"]))
+    both = sure.unionByName(figures(_tested(rest, shapes, size), "place_id"))
+    found = both.groupBy("place_id").agg(F.min("first").alias("first"), F.sum("n").alias("n")).select(F.col("place_id.x").alias("x"), F.col("place_id.y").alias("y"), "first", "n")
+    return places.select("place_id", "x", "y").join(found.hint(APART), ["x", "y"], "left").select("place_id", "first", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def first_inside(places: DataFrame, shapes: DataFrame, size: float) -> DataFrame:

@@ -44,8 +44,8 @@ def buffered_grounds(spark: SparkSession, d: str) -> DataFrame:
     """In how many suppliers' grounds, buffered, a customer lies, and the first of them."""
     g = _grounds(spark, d).select(F.col("s_suppkey").alias("shape_id"), F.lit(True).alias("closed"), ((F.col("s_suppkey") % 3) * 0.3).alias("buffer"), "rings", F.col("s_suppkey").alias("ord"), F.col("s_suppkey").alias("name"))
     c = _places(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("place_id"), "x", "y")
-    n = shapes.inside(c, g, 0.5).groupBy("place_id").agg(F.min("shape_id").alias("first_ground"), F.count("*").alias("grounds"))
-    return c.select("place_id").join(n, "place_id", "left").select(F.col("place_id").alias("c_custkey"), "first_ground", F.coalesce("grounds", F.lit(0)).alias("grounds"))
+    n = shapes.counted(c, g, 0.5)
+    return n.select(F.col("place_id").alias("c_custkey"), F.col("first").alias("first_ground"), F.col("n").alias("grounds"))
 
 
 _CELL = 0.5

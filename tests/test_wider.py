@@ -6,7 +6,7 @@ import shutil
 
 from compare import connect, same
 from dossier import queries
-from dossier.operators import enrich, match, spatial
+from dossier.operators import enrich, match, shapes, spatial
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -114,3 +114,21 @@ def test_runs_of_letters_are_never_broadcast(spark, tmp_path):
     df = enrich.layer_titles(layers, entries)
     assert not _broadcasts(df)
     assert {tuple(r) for r in df.collect()} == {("A", "red gear", "l3"), ("B", "blue ring", "l5"), ("D", "red gear", "l3")}
+
+
+def test_cells_of_shapes_are_never_broadcast(spark, tmp_path):
+    """Neither by pairs nor counted, and both say the same."""
+    rng = random.Random(5)
+    at = lambda: (round(rng.uniform(-6, 6), 1), round(rng.uniform(-6, 6), 1))
+    places = [(i, *at()) for i in range(300)] + [(900 + i, 1.0, 1.0) for i in range(4)] + [(990, None, 1.0)]
+    grounds = [(i, i % 4 > 0, (i % 3) * 0.3, [[at() for _ in range(1 + i % 5)]]) for i in range(40)]
+    spark.createDataFrame(places, "place_id long, x double, y double").write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame(grounds, "shape_id long, closed boolean, buffer double, rings array<array<struct<x:double,y:double>>>").write.parquet(f"{tmp_path}/g")
+    p, g = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/g")
+    assert not _broadcasts(shapes.cover(g, 0.5)) and not _broadcasts(shapes.inside(p, g, 0.5))
+    found = {}
+    for r in shapes.inside(p, g, 0.5).collect():
+        found.setdefault(r.place_id, []).append(r.shape_id)
+    assert found and all(len(v) == len(set(v)) for v in found.values())
+    got = {r.place_id: (r.first, r.n) for r in shapes.counted(p, g, 0.5).collect()}
+    assert got == {i: (min(found[i]), len(found[i])) if i in found else (None, 0) for i, *_ in places}
