@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.geo import envelope, haversine_km, reach
+from ..plans.cut import cut
 
 
 def _cell(x, size: float):
@@ -90,7 +91,8 @@ def candidates(names: DataFrame, gazetteer_stop: tuple[str, ...] = (), heads: Da
 def geocode(names: DataFrame, gazetteer: DataFrame, stop: tuple[str, ...] = ()) -> DataFrame:
     """Each row's first place in the gazetteer (place, admin1, lat, lon): id, place,
     tier (how it was found), lat, lon.  Rows without one are left out."""
-    heads = gazetteer.select(F.split("place", " ")[0].alias("head"), "admin1").distinct()
+    # written, so that Spark knows how few they are and need not shuffle every word
+    heads = cut(gazetteer.select(F.split("place", " ")[0].alias("head"), "admin1").distinct())
     hit = candidates(names, stop, heads).join(gazetteer, ["place", "admin1"])
     first = F.struct("tier", "at")
     return hit.groupBy("id").agg(F.min_by(F.struct("place", "tier", "lat", "lon"), first).alias("b")).select("id", "b.place", "b.tier", "b.lat", "b.lon")

@@ -132,3 +132,9 @@ def test_cells_of_shapes_are_never_broadcast(spark, tmp_path):
     assert found and all(len(v) == len(set(v)) for v in found.values())
     got = {r.place_id: (r.first, r.n) for r in shapes.counted(p, g, 0.5).collect()}
     assert got == {i: (min(found[i]), len(found[i])) if i in found else (None, 0) for i, *_ in places}
+
+
+def test_words_of_texts_are_not_shuffled_to_meet_a_few_heads(spark):
+    plan = queries.queries()["gazetteer_cascade"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    met = [line for line in plan.split("\n") if "Join" in line and "head#" in line]
+    assert len(met) == 1 and "BroadcastHashJoin" in met[0]
