@@ -15,8 +15,9 @@
    left.  Together they tell which windows around a suffix other documents hold
    too; the smallest document that holds a window owns it.
 4. Equal prefixes meet in one task, unless more than ``RUN`` suffixes have one: then
-   they are dealt over many, and their windows, and no others, are aggregated over
-   the cluster.
+   they are dealt over many, text by text.  Each part names its windows once, with the
+   first and last document that it has of them; these are aggregated over the cluster,
+   and the owners go back to the parts, where the suffixes are.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ PREFIX = LENGTH - SPAN + 1
 SIDE = SPAN - 1
 BUFFER = RUN = 1 << 16
 _STEP = 1 << 15
+_PIECE = 1 << 13  # suffixes of a part whose windows are laid out at once
 
 
 def selected(h: np.ndarray) -> np.ndarray:
@@ -181,27 +183,40 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _RANGES = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32()), ("first", pa.int64())]))
 SUFFIX = "prefix long, right binary, left binary, doc long, last long, key long, place int, near int, far int"
 RANGES = "array<struct<low:int,high:int,first:long>>"
-MATCH = f"doc long, key long, rows {RANGES}, low int, part long, window long, last long"
+MATCH = f"doc long, key long, rows {RANGES}"
+WINDOW = "window long, first long, final long, part long"
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple:
+    x = {c: batch.column(c).to_numpy() for c in ("prefix", "doc", "last", "key", "place", "near", "far")}
+    return (x["prefix"], _codes(batch.column("right")), _codes(batch.column("left")), x["doc"], x["last"], x["key"], x["place"].astype(np.int64), x["near"].astype(np.int64), x["far"].astype(np.int64))
+
+
+def _listed(first: np.ndarray, found: np.ndarray, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """The windows found around suffixes (a column for each word further back) as ranges
+    of starts with one owner, a row for each text."""
+    head = found.copy()
+    head[:, 1:] &= ~(found[:, :-1] & (first[:, 1:] == first[:, :-1]))
+    tail = found.copy()
+    tail[:, :-1] &= ~(found[:, 1:] & (first[:, 1:] == first[:, :-1]))
+    row, a = np.nonzero(head)
+    _, b = np.nonzero(tail)
+    order = np.lexsort((doc[row], key[row]))
+    row, a, b = row[order], a[order], b[order]
+    d, k = doc[row], key[row]
+    heads = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (d[1:] != d[:-1])][: len(row)])
+    parts = pa.StructArray.from_arrays([pa.array((place[row] - b).astype(np.int32)), pa.array((place[row] - a).astype(np.int32)), pa.array(first[row, a])], ["low", "high", "first"])
+    rows = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(row)].astype(np.int32)), parts)
+    return _batch({"doc": d[heads], "key": k[heads], "rows": rows})
 
 
 def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted suffixes to ranges of starts (low to high) of windows that several
     documents hold, with their owner, a row for each text that a piece of the array
-    has; and, of runs dealt in parts, every window with its hash and its suffix's part."""
+    has."""
     shared.trim()
-    names = ("prefix", "doc", "last", "key", "place", "near", "far")
     held: tuple | None = None
 
-    def windows(part, prefix, right, left, doc, last, key, place, near, far) -> pa.RecordBatch:
-        n = (far - near + 1).astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        back = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + near[row]
-        r, l = _sums(right), _sums(left)
-        h = words.mix(words.mix(prefix.view(np.uint64)[row] ^ r[row, SIDE - back]) + l[row, back] + back.astype(np.uint64))
-        start = (place[row] - back).astype(np.int32)
-        none = pa.nulls(len(row), _RANGES)
-        return _batch({"doc": doc[row], "key": key[row], "rows": none, "low": start, "part": part[row], "window": h.view(np.int64), "last": last[row]})
-
     def ranges(prefix, right, left, doc, last, key, place, near, far) -> Iterator[pa.RecordBatch]:
         n = len(prefix)
         same = np.zeros(n, np.int64)  # words beyond PREFIX in common with the suffix before; -1: not even those
@@ -211,7 +226,7 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same[0] = -1
         sums = _sums(left)
         first = np.zeros((n, SPAN), np.int64)
-        found = np.zeros((n, SPAN + 1), bool)
+        found = np.zeros((n, SPAN), bool)
         for back in range(SPAN):
             run = np.cumsum(same < SIDE - back)
             live = (near <= back) & (far >= back)
@@ -228,32 +243,13 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             several = np.repeat(owner < final, size)
             first[at, back] = np.repeat(owner, size)
             found[at[several], back] = True
-        head = found[:, :-1].copy()
-        head[:, 1:] &= ~(found[:, :-2] & (first[:, 1:] == first[:, :-1]))
-        tail = found[:, :-1] & ~(found[:, 1:] & np.c_[first[:, 1:] == first[:, :-1], np.zeros(n, bool)])
-        row, a = np.nonzero(head)
-        _, b = np.nonzero(tail)
-        if len(row):
-            order = np.lexsort((doc[row], key[row]))
-            row, a, b = row[order], a[order], b[order]
-            heads = np.flatnonzero(np.r_[True, (key[row][1:] != key[row][:-1]) | (doc[row][1:] != doc[row][:-1])])
-            parts = pa.StructArray.from_arrays([pa.array((place[row] - b).astype(np.int32)), pa.array((place[row] - a).astype(np.int32)), pa.array(first[row, a])], ["low", "high", "first"])
-            rows = pa.ListArray.from_arrays(pa.array(np.r_[heads, len(row)].astype(np.int32)), parts)
-            none = pa.nulls(len(heads), pa.int64())
-            yield _batch({"doc": doc[row][heads], "key": key[row][heads], "rows": rows, "low": pa.nulls(len(heads), pa.int32()), "part": none, "window": none, "last": last[row][heads]})
-
-    def arrays(batch: pa.RecordBatch) -> tuple:
-        x = {c: batch.column(c).to_numpy() for c in names}
-        return (x["prefix"], _codes(batch.column("right")), _codes(batch.column("left")), x["doc"], x["last"], x["key"], x["place"].astype(np.int64), x["near"].astype(np.int64), x["far"].astype(np.int64))
+        if found.any():
+            yield _listed(first, found, doc, key, place)
 
     for batch in batches:
-        parts = batch.column("part")
-        dealt, whole = batch.filter(parts.is_valid()), batch.filter(parts.is_null())
-        if dealt.num_rows:
-            yield windows(dealt.column("part").to_numpy(), *arrays(dealt))
-        if not whole.num_rows:
+        if not batch.num_rows:
             continue
-        held = tuple(np.concatenate(v) for v in zip(held, arrays(whole))) if held is not None else arrays(whole)
+        held = tuple(np.concatenate(v) for v in zip(held, _arrays(batch))) if held is not None else _arrays(batch)
         if len(held[0]) < BUFFER:
             continue
         last = int(np.searchsorted(held[0], held[0][-1]))
@@ -264,6 +260,53 @@ def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from ranges(*held)
 
 
+def _around(prefix: np.ndarray, right: np.ndarray, left: np.ndarray, near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every window around suffixes: its suffix, how far back it starts, its hash."""
+    n = far - near + 1
+    row = np.repeat(np.arange(len(n)), n)
+    back = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + near[row]
+    r, l = _sums(right), _sums(left)
+    h = words.mix(words.mix(prefix.view(np.uint64)[row] ^ r[row, SIDE - back]) + l[row, back] + back.astype(np.uint64))
+    return row, back, h.view(np.int64)
+
+
+def _windows(part: pa.Table) -> pa.Table:
+    """The windows of a part of a run, each once, with the least and the last document
+    that the part has of it."""
+    shared.trim()
+    window, first, final = (np.zeros(0, np.int64) for _ in range(3))
+    for batch in part.select([c for c in part.schema.names if c != "part"]).to_batches(_PIECE):
+        prefix, right, left, doc, last, _, _, near, far = _arrays(batch)
+        row, _, h = _around(prefix, right, left, near, far)
+        window, first, final = np.r_[window, h], np.r_[first, doc[row]], np.r_[final, last[row]]
+        order = np.argsort(window, kind="stable")
+        window = window[order]
+        heads = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+        window, first, final = window[heads], np.minimum.reduceat(first[order], heads), np.maximum.reduceat(final[order], heads)
+    return pa.Table.from_batches([_batch({"window": window, "first": first, "final": final, "part": np.full(len(window), part.column("part")[0].as_py())})])
+
+
+def _owned(part: pa.Table, owners: pa.Table) -> pa.Table:
+    """What ``_matches`` finds, for a part of a run and the owners of its windows."""
+    shared.trim()
+    order = np.argsort(owners.column("window").to_numpy())
+    known, first_of = owners.column("window").to_numpy()[order], owners.column("first").to_numpy()[order]
+    out = []
+    # a text's suffixes side by side, so that it has a row or two
+    for batch in part.sort_by("key").to_batches(_PIECE) if len(known) else ():
+        prefix, right, left, doc, _, key, place, near, far = _arrays(batch)
+        row, back, h = _around(prefix, right, left, near, far)
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        hit = known[at] == h
+        first = np.zeros((len(prefix), SPAN), np.int64)
+        found = np.zeros((len(prefix), SPAN), bool)
+        first[row[hit], back[hit]] = first_of[at[hit]]
+        found[row[hit], back[hit]] = True
+        out.append(_listed(first, found, doc, key, place))
+    kinds = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("rows", _RANGES)])
+    return pa.Table.from_batches([b.cast(kinds) for b in out], kinds)
+
+
 def _sums(codes: np.ndarray) -> np.ndarray:
     """Hashes of the first 0, 1, ... codes of each row."""
     out = np.zeros((len(codes), SIDE + 1), np.uint64)
@@ -339,21 +382,19 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         array = suffixes.where("place >= 0")
         many = array.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > RUN)
         many = scratch.cut(many.select(F.col("prefix").alias("hot"), F.ceil(F.col("n") / RUN).alias("shares")), "many")
-        part = F.when(F.col("hot").isNotNull(), F.xxhash64("prefix", F.pmod(F.xxhash64("key"), "shares")))
-        array = array.join(many, F.col("prefix") == F.col("hot"), "left").withColumn("part", part).drop("hot", "shares")
-        array = array.repartition(parts, "prefix", "part").sortWithinPartitions("prefix", "right", "doc", "place")
-        matches = scratch.cut(array.mapInArrow(_matches, MATCH), "matches", "zstd")
-        opened = matches.where("window is not null")
-        owners = opened.groupBy("window").agg(F.min("doc").alias("first"), F.max("last").alias("final"), F.collect_set("part").alias("parts"))
-        owners = scratch.cut(owners.where("first < final").select(F.col("window").alias("w"), F.col("first").alias("f"), F.explode("parts").alias("p")), "owners", "zstd")
+        alone = array.join(many, F.col("prefix") == F.col("hot"), "left_anti").repartition(parts, "prefix").sortWithinPartitions("prefix", "right", "doc", "place")
+        matches = scratch.cut(alone.mapInArrow(_matches, MATCH), "matches", "zstd")
+        part = F.xxhash64("prefix", F.pmod(F.xxhash64("key"), "shares"))
+        dealt = array.join(many, F.col("prefix") == F.col("hot")).withColumn("part", part).drop("hot", "shares").repartition(parts, "part")
+        owners = dealt.groupBy("part").applyInArrow(_windows, WINDOW).groupBy("window").agg(F.min("first").alias("first"), F.max("final").alias("final"), F.collect_set("part").alias("parts"))
+        owners = scratch.cut(owners.where("first < final").select("window", "first", F.explode("parts").alias("part")), "owners", "zstd")
+        owned = scratch.cut(dealt.groupBy("part").cogroup(owners.repartition(parts, "part").groupBy("part")).applyInArrow(_owned, MATCH), "owned", "zstd")
         one = lambda low, high, first: F.array(F.struct(F.col(low).alias("low"), F.col(high).alias("high"), F.col(first).alias("first"))).alias("rows")
-        ranges = matches.where("window is null").select("doc", "key", "rows")
-        # a window's rows meet its owner part by part, so no key is hotter than a part
-        ranges = ranges.unionAll(opened.join(owners, (F.col("part") == F.col("p")) & (F.col("window") == F.col("w"))).select("doc", "key", one("low", "low", "f")))
+        ranges = matches.unionAll(owned)
         ranges = ranges.unionAll(suffixes.where("place < 0").select("doc", "key", one("near", "far", "doc")))
         rows = ranges.groupBy("doc", "key").agg(F.flatten(F.collect_list("rows")).alias("rows"))
         spans = scratch.cut(rows.mapInArrow(_merge, "doc_id long, text_key long, start_word long, n_words long, first_doc_id long, repeat boolean"), "spans")
-        scratch.drop("suffixes", "matches", "owners")
+        scratch.drop("suffixes", "matches", "owners", "owned")
 
         # copies of a text are later copies as a whole
         several = texts.where("doc < last").select("doc", F.col("key").alias("k1"), F.col("key2").alias("k2"))

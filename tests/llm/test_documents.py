@@ -144,6 +144,25 @@ def test_spans_do_not_depend_on_ranges(spark, corpus, monkeypatch):
     assert got == want
 
 
+def test_runs_in_parts_make_a_row_a_text(spark, monkeypatch):
+    """A passage that texts hold many times: its windows aren't laid out as rows."""
+    rng = random.Random(5)
+    passage = prose(rng, 56)
+    rows = [(i, " ".join([passage, prose(rng, 1)] * 25), "a") for i in range(1, 13)]
+    monkeypatch.setattr(passages, "RUN", 40)
+    made, cut = {}, passages.shared.Scratch.cut
+
+    def counted(self, df, name, *more):
+        out = cut(self, df, name, *more)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(passages.shared.Scratch, "cut", counted)
+    got = {(r.doc_id, r.start_word, r.n_words, r.first_doc_id, r.repeat) for r in passages.repeated_spans(frame(spark, rows)).collect()}
+    assert got == spans(rows) and got
+    assert made["many"] and made["matches"] + made.get("owned", 0) < made["suffixes"]
+
+
 def test_texts_under_one_id(spark):
     """Two texts of one document: no crash, no spans of the other's, no foreign cut."""
     rng = random.Random(11)
