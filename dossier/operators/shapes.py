@@ -121,6 +121,20 @@ def _tested(rest: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     return near.select(*pair).unionByName(odd.select(*pair)).distinct()
 
 
+def kinds_inside(places: DataFrame, shapes: DataFrame, size: float, kind: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """place_id and the fields ``kind`` of shape_id, once, of the shapes that a place is
+    inside, as ``inside`` has them.  Where one shape of a kind holds a cell as a whole,
+    no other of the kind is met there."""
+    covered = cut(cover(shapes, size, by)).select("*", *(f"shape_id.{k}" for k in kind))
+    at = cut(_at(places, size, by))
+    key = [*by, "cx", "cy"]
+    sure = covered.where("sure").select(*key, *kind).distinct()
+    rest = covered.where("NOT sure").join(sure.hint(APART), [*key, *kind], "left_anti").select("shape_id", *key)
+    rest = cut(at.join(rest.hint(APART), key))
+    tested = _tested(rest, shapes, size).select("place_id", *(f"shape_id.{k}" for k in kind))
+    return at.join(sure.hint(APART), key).select("place_id", *kind).unionByName(tested).distinct()
+
+
 def counted(places: DataFrame, shapes: DataFrame, size: float) -> DataFrame:
     """place_id, the first (least) shape_id and how many shapes a place is inside, as
     ``inside`` has them; null and 0 where it is in none.  Inner cells count their shapes
@@ -161,10 +175,11 @@ def burn(cells: DataFrame, shapes: DataFrame, rings: DataFrame, cell: float, joi
     """The cost of each cell (area, row, col), whose centre is half a ``cell`` further:
     the value of every ring (layer, ring, buffer, value) in which its centre lies, once
     however many shapes (area, shape_id, layer, closed, rings) of the layer say so,
-    shifted so that an area's least is 1.  Shapes of an area meet its cells only."""
+    shifted so that an area's least is 1.  Shapes of an area meet its cells only, on a
+    grid ``join`` times as wide; the result doesn't depend on it."""
     places = cells.select(F.struct("area", "row", "col").alias("place_id"), ((F.col("col") + 0.5) * cell).alias("x"), ((F.col("row") + 0.5) * cell).alias("y"), "area")
     wide = shapes.select("area", "layer", "closed", "rings", "shape_id").join(rings.select("layer", "ring", "buffer"), "layer").withColumn("shape_id", F.struct("shape_id", "layer", "ring"))
-    hit = inside(places, wide, cell * join, ("area",)).select("place_id", "shape_id.layer", "shape_id.ring").distinct()
+    hit = kinds_inside(places, wide, cell * join, ("layer", "ring"), ("area",))
     total = hit.join(rings.select("layer", "ring", "value"), ["layer", "ring"]).groupBy("place_id").agg(F.sum("value").alias("value"))
     cost = places.join(total, "place_id", "left").select("place_id.*", F.coalesce("value", F.lit(0.0)).alias("cost"))
     least = cost.groupBy("area").agg(F.min("cost").alias("least"))

@@ -177,7 +177,7 @@ def routes(costs: DataFrame, ends: DataFrame, k: int = 3, penalty: float = PENAL
     row, col and cost (of the unpenalised grid), as ``route.routes`` gives them for grids
     of one task.  After each route the cells within ``window`` of every cell of it cost
     ``penalty`` times as much, again for each."""
-    now, out = costs.select("area", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cost"), None
+    now, out = cut(costs.select("area", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), "cost")), None  # read for tiles and for the result
     base = now
     goals = ends.select("area", F.col("r1").alias("row"), F.col("c1").alias("col"))
     starts = ends.select("area", F.col("r0").alias("row"), F.col("c0").alias("col"))

@@ -66,7 +66,7 @@ def customer_cells(spark: SparkSession, d: str) -> DataFrame:
     return cells.select("area", (F.col("r0") + F.col("dr")).cast("int").alias("row"), (F.col("c0") + F.col("dc")).cast("int").alias("col")).distinct()
 
 
-def burned(spark: SparkSession, d: str, cells: DataFrame, cell: float) -> DataFrame:
+def burned(spark: SparkSession, d: str, cells: DataFrame, cell: float, join: int = 8) -> DataFrame:
     """The cost of cells by three layers: suppliers' grounds with two rings, the lines
     through the suppliers of each nation, and forbidden posts at every tenth supplier."""
     nation = _regions(spark, d)
@@ -78,7 +78,7 @@ def burned(spark: SparkSession, d: str, cells: DataFrame, cell: float) -> DataFr
     post = s.where("s_suppkey % 10 = 0").select("area", F.col("s_suppkey").cast("long").alias("shape_id"), F.lit("post").alias("layer"), F.lit(False).alias("closed"), F.array(F.array(spot)).alias("rings"))
     layers = spark.createDataFrame(_LAYERS, "layer string, categories array<string>, resistance string, ring_m double, rings array<struct<buffer:double,resistance:double>>")
     weights = spark.createDataFrame(_WEIGHTS, "category string, weight double")
-    return shapes.burn(cells, ground.unionByName(path).unionByName(post), shapes.rings_of(layers, weights), cell)
+    return shapes.burn(cells, ground.unionByName(path).unionByName(post), shapes.rings_of(layers, weights), cell, join)
 
 
 _SQL_RINGS = "(VALUES ('ground', 0, 0.0, 3.0 * (0.4 + 0.35)), ('ground', 1, 0.5, 2.0 * (0.4 + 0.35)), ('ground', 2, 1.0, 1.0 * (0.4 + 0.35)), ('path', 0, 0.0, -4.0 * 0.25), ('path', 1, 0.4, -2.0 * 0.25), ('post', 0, 0.3, 14000.0)) r(layer, ring, b, value)"
@@ -114,4 +114,5 @@ def burned_routes(spark: SparkSession, d: str) -> DataFrame:
     cells = box.select("area", span("row"), "col_low", "col_high").select("area", "row", span("col"))
     first, last = (f(F.struct("row", "col"), "s_suppkey").alias(n) for f, n in ((F.min_by, "a"), (F.max_by, "b")))
     ends = s.groupBy("area").agg(first, last).select("area", F.col("a.row").alias("r0"), F.col("a.col").alias("c0"), F.col("b.row").alias("r1"), F.col("b.col").alias("c1"))
-    return tiles.routes(burned(spark, d, cells, size), ends, k=1, tile=32)
+    # a wider grid than the cells' would test every shape with all cells around it
+    return tiles.routes(burned(spark, d, cells, size, join=1), ends, k=1, tile=32)

@@ -99,3 +99,23 @@ def test_burn(spark):
     low = {a: min(v for k, v in want.items() if k[0] == a) for a in "abc"}
     assert got == pytest.approx({k: v - low[k[0]] + 1 for k, v in want.items()})
     assert max(got.values()) > 14000 and {v for k, v in got.items() if k[0] == "c"} == {1.0}
+
+
+def test_shapes_of_a_kind_that_hold_a_cell_are_not_tested_again(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    cells = spark.range(100).select(F.lit("a").alias("area"), (F.col("id") / 10).cast("int").alias("row"), (F.col("id") % 10).cast("int").alias("col"))
+    square = "array(array(struct(-20D AS x, -20D AS y), struct(30D AS x, -20D AS y), struct(30D AS x, 30D AS y), struct(-20D AS x, 30D AS y)))"
+    df = spark.range(60).selectExpr("'a' AS area", "id AS shape_id", "'ground' AS layer", "true AS closed", f"{square} AS rings")
+    rings = spark.createDataFrame([("ground", 0, 0.0, 2.0), ("ground", 1, 0.5, 1.0)], "layer string, ring int, buffer double, value double")
+    met, cut = [], shapes.cut
+
+    def counted(frame):
+        out = cut(frame)
+        met.append(out.count() if "place_id" in out.columns and "shape_id" in out.columns else 0)
+        return out
+
+    monkeypatch.setattr(shapes, "cut", counted)
+    narrow, wide = ({tuple(r) for r in shapes.burn(cells, df, rings, 1.0, join).collect()} for join in (1, 8))
+    assert narrow == wide == {("a", r, c, 1.0) for r in range(10) for c in range(10)}
+    assert sum(met) < 100 * 60
