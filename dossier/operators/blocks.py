@@ -16,6 +16,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,9 @@ RANGE = 1024
 K1, B = 1.2, 0.75
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Whole numbers from 0, seven bits a byte, low ones first; a set high bit goes on."""
+def _laid(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers from 0, seven bits a byte, low ones first, a set high bit goes on;
+    and where the bytes of each end."""
     v = np.asarray(values, np.uint64)
     size = np.ones(len(v), np.int64)
     for k in range(1, 10):
@@ -39,7 +42,18 @@ def pack(values: np.ndarray) -> bytes:
         on = size > k
         low = (v[on] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
         out[(ends - size)[on] + k] = low | np.where(size[on] > k + 1, 128, 0).astype(np.uint8)
-    return out.tobytes()
+    return out, ends
+
+
+def pack(values: np.ndarray) -> bytes:
+    return _laid(values)[0].tobytes()
+
+
+def _pack_each(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """What ``pack`` makes of the values from each start to the next."""
+    data, ends = _laid(values)
+    offsets = np.r_[0, ends][np.r_[starts, len(values)]].astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -67,6 +81,38 @@ def _gain(f: np.ndarray, length: np.ndarray, mean: float) -> np.ndarray:
     return f * (K1 + 1) / (f + K1 * (1 - B + B * length / mean))
 
 
+def _heads(rows: pa.Table, size: int) -> np.ndarray:
+    """Whether each of the sorted rows (term, doc_no) is the first of a block."""
+    term, where = rows.column("term"), rows.column("doc_no").to_numpy() // size
+    other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy()
+    return np.r_[True, other | (where[1:] != where[:-1])]
+
+
+def _blocks(rows: pa.Table, size: int, weight: np.ndarray, mean: float) -> pa.RecordBatch:
+    """The blocks of rows (term, doc_no, length, field, place), sorted."""
+    doc, length, field, place = (rows.column(c).to_numpy().astype(np.int64) for c in ("doc_no", "length", "field", "place"))
+    head, width = _heads(rows, size), len(weight)
+    new = head | np.r_[True, doc[1:] != doc[:-1]]  # of postings, a document's rows each
+    at = np.flatnonzero(new)
+    first, starts = np.flatnonzero(head), np.flatnonzero(head[at])
+    low, length = doc[at] % size, length[at]
+    count = np.bincount((np.cumsum(new) - 1) * width + field, minlength=len(at) * width).reshape(-1, width)
+    gap = low - np.where(head[at], 0, np.r_[0, low[:-1]])
+    goes_on = ~new & (field == np.r_[-1, field[:-1]])
+    step = place - np.where(goes_on, np.r_[0, place[:-1]], 0)
+    columns = {
+        "term": rows.column("term").take(pa.array(first)).combine_chunks(),
+        "range": pa.array(doc[first] // size),
+        "n": pa.array(np.diff(np.r_[starts, len(at)])),
+        "best": pa.array(np.maximum.reduceat(_gain(count @ weight, length, mean), starts)),
+        "docs": _pack_each(gap, starts),
+        "counts": _pack_each(count.ravel(), starts * width),
+        "lengths": _pack_each(length, starts),
+        "positions": _pack_each(step, first),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def build(rows: DataFrame, ident: str, fields: dict[str, float], only: list[str] | None = None, analyze: Callable[[Column], Column] = terms) -> Index:
     """An index of ``fields``, by their weights in a score.  ``only`` leaves other terms
     out of the blocks, but not out of lengths.  Documents without terms count."""
@@ -80,29 +126,28 @@ def build(rows: DataFrame, ident: str, fields: dict[str, float], only: list[str]
         each = part if each is None else each.unionAll(part)
     if only is not None:
         each = each.where(F.col("term").isin(only))
-    posting = each.groupBy("term", "doc_no", "length").agg(F.array_sort(F.collect_list(F.struct("field", "place"))).alias("at"))
-    group = posting.groupBy("term", F.expr(f"doc_no div {RANGE}").alias("range")).agg(F.array_sort(F.collect_list(F.struct("doc_no", "length", "at"))).alias("rows"))
-    weight, mean = np.array(weights), float(mean or 0) or 1.0
-
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for term, where, rows_ in frame.itertuples(index=False, name=None):
-                doc = np.array([r["doc_no"] for r in rows_], np.int64) - where * RANGE
-                length = np.array([r["length"] for r in rows_], np.int64)
-                owner = np.repeat(np.arange(len(rows_)), [len(r["at"]) for r in rows_])
-                field = np.array([a["field"] for r in rows_ for a in r["at"]], np.int64)
-                place = np.array([a["place"] for r in rows_ for a in r["at"]], np.int64)
-                count = np.zeros((len(rows_), len(weight)), np.int64)
-                np.add.at(count, (owner, field), 1)
-                same = np.zeros(len(place), bool)
-                same[1:] = (owner[1:] == owner[:-1]) & (field[1:] == field[:-1])
-                step = place - np.where(same, np.concatenate([[0], place[:-1]]), 0)
-                best = float(_gain(count @ weight, length, mean).max())
-                out.append((term, where, len(rows_), best, pack(np.diff(doc, prepend=0)), pack(count.ravel()), pack(length), pack(step)))
-            yield pd.DataFrame(out, columns=["term", "range", "n", "best", "docs", "counts", "lengths", "positions"])
-
-    blocks = group.mapInPandas(packed, "term string, range long, n long, best double, docs binary, counts binary, lengths binary, positions binary")
+    rows = each.select("term", "doc_no", "length", "field", "place").repartition("term", F.expr(f"doc_no div {RANGE}")).sortWithinPartitions("term", "doc_no", "field", "place")
+    size, weight, mean = RANGE, np.array(weights), float(mean or 0) or 1.0
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last block, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # one row before the batch tells whether its first one goes on
+            ahead = held[-1].slice(held[-1].num_rows - 1) if held else batch.slice(0, 1)
+            heads = np.flatnonzero(_heads(pa.Table.from_batches([ahead, batch]), size)[1:])
+            if len(heads):
+                last = int(heads[-1])
+                whole = [*held, batch.slice(0, last)]
+                if sum(x.num_rows for x in whole):
+                    yield _blocks(pa.Table.from_batches(whole), size, weight, mean)
+                held, batch = [], batch.slice(last)
+            held.append(batch)
+        if held:
+            yield _blocks(pa.Table.from_batches(held), size, weight, mean)
+
+    blocks = rows.mapInArrow(packed, "term string, range long, n long, best double, docs binary, counts binary, lengths binary, positions binary")
     return Index(cut(blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")), docs.select("doc_no", "id", "length"), n, mean, weights)
 
 

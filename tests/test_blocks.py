@@ -78,3 +78,46 @@ def test_packing():
 def test_empty_table(spark):
     ix = blocks.build(spark.createDataFrame([], "id long, project string, title string, body string"), "id", FIELDS)
     assert blocks.top(ix, ["a"])[0].count() == 0
+
+
+def test_postings_reach_blocks_as_rows_in_any_batches(spark, monkeypatch):
+    """No list of postings is made for each block, and blocks go on over batches."""
+    import random
+
+    import numpy as np
+
+    from dossier.operators import blocks
+
+    rng = random.Random(3)
+    docs = [(i, " ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.randrange(9))), f"w{i % 3}") for i in range(300)]
+    plans, cut = [], blocks.cut
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().toString())
+        return cut(frame)
+
+    monkeypatch.setattr(blocks, "cut", seen)
+    monkeypatch.setattr(blocks, "RANGE", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        ix = blocks.build(spark.createDataFrame(docs, "id long, a string, b string"), "id", {"a": 1.0, "b": 2.0})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert not any("collect_list" in p for p in plans)
+    want = {}
+    for i, *fields in docs:
+        for f, t in enumerate(fields):
+            for p, w in enumerate(t.split()):
+                want.setdefault(w, {}).setdefault(i, []).append((f, p))
+    got = {}
+    for b in ix.blocks.collect():
+        number = np.cumsum(blocks.unpack(b["docs"])) + b["range"] * blocks.RANGE
+        count, step = blocks.unpack(b["counts"]).reshape(-1, 2), blocks.unpack(b["positions"]).tolist()
+        assert b["n"] == len(number) == len(blocks.unpack(b["lengths"]))
+        for d, each in zip(number.tolist(), count.tolist(), strict=True):
+            assert d // blocks.RANGE == b["range"] and d not in got.get(b["term"], {})
+            for f, n in enumerate(each):
+                for p in np.cumsum([step.pop(0) for _ in range(n)]).tolist():
+                    got.setdefault(b["term"], {}).setdefault(d, []).append((f, p))
+        assert not step
+    assert got == want
